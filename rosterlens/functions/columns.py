@@ -26,7 +26,7 @@ def parse_mdy_date(text: ColumnOrName) -> Column:
     ``12/31/2006 0:00`` and ``1/5/2006`` parse; ``13/40/2006`` and ``""`` give NULL.
     """
     head = F.regexp_extract(_col(text), r"^\s*(\d{1,2}/\d{1,2}/\d{4})", 1)
-    return F.try_to_date(head, F.lit(RAW_DATE_FORMAT))
+    return F.try_to_date(head, RAW_DATE_FORMAT)
 
 
 def years_between(later: ColumnOrName, earlier: ColumnOrName) -> Column:
