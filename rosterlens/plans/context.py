@@ -100,6 +100,8 @@ def workforce(spark: SparkSession, sf_dir: str) -> Workforce:
     storage = spark.conf.get(STORAGE_CONF, "cache")
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), storage)
     ctx = _CONTEXTS.get(key)
+    if ctx is not None and ctx.panel.sparkSession is not spark:
+        ctx = None  # another session on the same context: build its own bases
     if ctx is None:
         panel = panel_from_tables(spark, sf_dir)
         if storage == "table":

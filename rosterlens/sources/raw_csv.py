@@ -65,3 +65,23 @@ def read_panel_csv(spark: SparkSession, path: str) -> DataFrame:
         .csv(path)
     )
     return typed_panel(raw)
+
+
+def check_panel_schema(df: DataFrame, expected: T.StructType | None = None) -> None:
+    """Fail fast if ``df`` lacks a panel column or carries it with another type.
+
+    The panel columns are the raw ones with the four dates parsed, plus
+    ``snapshot_id``; extra columns are allowed.
+    """
+    want = expected or T.StructType(
+        [T.StructField(K.SNAPSHOT, T.LongType())]
+        + [T.StructField(f.name, T.DateType() if f.name in _DATES else f.dataType) for f in RAW_SCHEMA.fields]
+    )
+    have = {f.name: f.dataType for f in df.schema.fields}
+    problems = [
+        f"{f.name}: missing" if f.name not in have else f"{f.name}: {have[f.name].simpleString()} != {f.dataType.simpleString()}"
+        for f in want.fields
+        if have.get(f.name) != f.dataType
+    ]
+    if problems:
+        raise ValueError("not a snapshot panel: " + "; ".join(problems))
