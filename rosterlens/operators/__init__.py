@@ -1,5 +1,6 @@
 """Table operators: flows, picks, thresholds, statistics, reshape."""
 
+from rosterlens.operators.joins import broadcast_if_small, hot_split_join
 from rosterlens.operators.flows import flow_by, hires_by, outer_merge, running_total, terms_by, to_long
 from rosterlens.operators.picks import earliest_snapshot, extreme_member_per, first_row_per, latest_snapshot
 from rosterlens.operators.reshape import pivot_wide
@@ -31,6 +32,7 @@ __all__ = [
     "at_or_above",
     "at_or_below",
     "best_group_means",
+    "broadcast_if_small",
     "bottom_share_by",
     "box_stats",
     "count_by",
@@ -41,6 +43,7 @@ __all__ = [
     "flow_by",
     "group_mean",
     "hires_by",
+    "hot_split_join",
     "id_gap",
     "latest_snapshot",
     "linear_fit",

@@ -6,15 +6,17 @@ oracle, so the constants below are fixed values.
 
 Plan shape (checked with ``explain``):
 
-* per-customer helpers (first/last record date, latest order) come from one
-  aggregation with a map-side partial step, so a customer that owns a third
-  of all orders still collapses to one row per map task before the shuffle;
-* the helpers are joined to ``customer`` (and the 25-row ``nation``, which
-  the planner broadcasts after checking its size) first, one row per
-  customer on both sides;
-* the orders are then joined once to that customer table on the customer
-  key. A hot customer shows up as one skewed partition of that join, which
-  adaptive execution splits (``spark.sql.adaptive.skewJoin.enabled``).
+* per-customer helpers (first/last record date, latest order, order count)
+  come from one aggregation with a map-side partial step, so a customer
+  that owns a third of all orders still collapses to one row per map task
+  before the shuffle;
+* the helpers are joined to ``customer`` and to ``nation`` (broadcast only
+  after a bounded row-count check) first: one row per customer;
+* the orders are joined to that customer table with a hot-key split
+  (``operators.joins.hot_split_join``): customers with very many orders
+  (a bounded number of them) are broadcast and joined without a shuffle,
+  their orders are removed before the shuffle join of all other customers,
+  so no reducer receives a hot customer's orders.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlens import constants as K
+from rosterlens.operators.joins import HOT_MIN_ROWS, MAX_HOT_KEYS, broadcast_if_small, hot_split_join
 
 # --- fixed values of the derived-panel definition ----------------------------
 FIRST_EMPLOYEE_ID = 1318
@@ -36,6 +39,7 @@ DEPT_MODULUS, JOB_MODULUS, STORE_MODULUS = 4, 47, 46
 HEAD_OFFICE_REGION = 0
 NOT_TERMINATED_DATE = "1900-01-01"
 # -----------------------------------------------------------------------------
+MAX_BROADCAST_NATIONS = 10_000
 
 PANEL_COLUMNS = [
     K.SNAPSHOT, K.ID, K.RECORD_DATE, K.BIRTH_DATE, K.HIRE_DATE, K.TERM_DATE, K.AGE,
@@ -44,8 +48,18 @@ PANEL_COLUMNS = [
 ]
 
 
-def panel_from_frames(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
-    """Build the snapshot panel from ``orders``, ``customer`` and ``nation``."""
+def panel_from_frames(
+    orders: DataFrame,
+    customer: DataFrame,
+    nation: DataFrame,
+    hot_min_rows: int = HOT_MIN_ROWS,
+    max_hot_keys: int = MAX_HOT_KEYS,
+) -> DataFrame:
+    """Build the snapshot panel from ``orders``, ``customer`` and ``nation``.
+
+    ``hot_min_rows`` / ``max_hot_keys`` set the hot-customer split of the
+    final join (see :func:`rosterlens.operators.joins.hot_split_join`).
+    """
     ck = F.col("o_custkey")
     o = (
         orders.where(ck % SKIP_MODULUS != SKIP_REMAINDER)
@@ -56,14 +70,16 @@ def panel_from_frames(orders: DataFrame, customer: DataFrame, nation: DataFrame)
         F.min("rec").alias("hire"),
         F.max("rec").alias("last"),
         F.max(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"].alias("latest_key"),
+        F.count(F.lit(1)).alias("n_orders"),
     )
+    nations = broadcast_if_small(nation.select("n_nationkey", "n_name", "n_regionkey"), MAX_BROADCAST_NATIONS)
     customers = (
         customer.select("c_custkey", "c_nationkey", "c_mktsegment")
-        .join(nation.select("n_nationkey", "n_name", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(per_customer, F.col("c_custkey") == F.col("o_custkey"))
         .drop("o_custkey", "c_nationkey", "n_nationkey")
     )
-    j = o.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    j = hot_split_join(o, customers, "o_custkey", "c_custkey", "n_orders", hot_min_rows, max_hot_keys)
 
     latest = F.col("o_orderkey") == F.col("latest_key")
     terminated = latest & (ck % TERMINATED_MODULUS == 0)
@@ -105,7 +121,7 @@ def panel_from_frames(orders: DataFrame, customer: DataFrame, nation: DataFrame)
     )
 
 
-def panel_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+def panel_from_tables(spark: SparkSession, sf_dir: str, **split) -> DataFrame:
     """Read the three source tables under ``sf_dir`` and build the panel."""
     read = lambda name: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return panel_from_frames(read("orders"), read("customer"), read("nation"))
+    return panel_from_frames(read("orders"), read("customer"), read("nation"), **split)

@@ -71,3 +71,29 @@ def test_hot_employee_flow_and_box(spark, skewed):
                sum(CASE WHEN age < q1 - 1.5 * (q3 - q1) OR age > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END) AS n_out
         FROM r JOIN q ON r.hot = q.hot GROUP BY q.hot
     """, skewed)
+
+
+def test_hot_customer_split_keeps_panel_whole(spark):
+    normal = panel_from_tables(spark, SF_MID)
+    # every customer with >= 12 orders is "hot" here, so both branches carry rows
+    split = panel_from_tables(spark, SF_MID, hot_min_rows=12, max_hot_keys=1_000_000)
+    a = sorted(map(tuple, normal.collect()))
+    b = sorted(map(tuple, split.collect()))
+    assert len(b) == 12834 and a == b
+    plan = _plan(split)
+    assert "LeftAnti" in plan and "BroadcastHashJoin" in plan
+
+
+def test_panel_plan_without_auto_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = panel_from_tables(spark, SF_MID)
+        plan = _plan(p)
+        # nation still broadcast after its row-count check; hot keys removed before the shuffle join
+        assert "LeftAnti" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" in plan
+        assert p.count() == 12834
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
