@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlens import constants as K
@@ -129,9 +129,12 @@ def fit_grid(fit: DataFrame, by: list[str], x_from: Column, x_to: Column, x_name
 
 
 def share_of_total(df: DataFrame, value: str, out: str = "share") -> DataFrame:
-    """``value / sum(value)`` over the whole table (sum taken as a scalar subquery)."""
-    total = df.select(F.sum(value).alias("_t")).scalar()
-    return df.withColumn(out, F.col(value) / total)
+    """``value / sum(value)`` over a per-group table (one row per slice).
+
+    The total is a window sum over the table itself, so the aggregate that
+    produced it is read once; the table has one row per group.
+    """
+    return df.withColumn(out, F.col(value) / F.sum(value).over(Window.partitionBy()))
 
 
 def id_gap(df: DataFrame, id_col: str = K.ID) -> DataFrame:

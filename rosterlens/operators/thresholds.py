@@ -1,17 +1,24 @@
 """Quantile threshold filters and the reports built on them (F6, F7, A10, O4-O7).
 
 A threshold is an exact, linearly interpolated quantile (``percentile``,
-the same rule as R's default type 7 and DuckDB's ``quantile_cont``) taken
-as a scalar subquery: it is computed once with a partial/final aggregate
-(the partial state is a value -> count map, small for whole years and for
-group counts), and the filter that uses it runs in parallel on every
-partition. No unpartitioned window is used, so rows are never gathered in
-one task.
+the same rule as R's default type 7 and DuckDB's ``quantile_cont``).
+
+* Over row-level tables (``at_or_above`` / ``at_or_below``) it is a scalar
+  subquery: computed once with a partial/final aggregate (the partial
+  state is a value -> count map, small for whole years), and the filter
+  that uses it runs in parallel on every partition. Rows are never
+  gathered in one task. Use it on persisted bases: the subquery re-reads
+  its input.
+* Over per-group tables (``top_groups``, ``best_group_means``,
+  ``worst_group_means``) the input is one row per group, so its size is
+  the number of dimension values, not the number of rows. The threshold is
+  then a window over that small table, which reads the aggregate once
+  instead of computing it a second time for a subquery.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlens import constants as K
@@ -32,6 +39,14 @@ def at_or_below(df: DataFrame, col: str, p: float) -> DataFrame:
     return df.where(F.col(col) <= quantile_value(df, col, p))
 
 
+def _per_group_cut(groups: DataFrame, col: str, p: float, keep_above: bool) -> DataFrame:
+    """Rows of a one-row-per-group table on one side of the quantile ``p`` of ``col``."""
+    q = F.percentile(F.col(col), F.lit(float(p))).over(Window.partitionBy())
+    cut = groups.withColumn("_q", q)
+    keep = F.col(col) >= F.col("_q") if keep_above else F.col(col) <= F.col("_q")
+    return cut.where(keep).drop("_q")
+
+
 def count_by(df: DataFrame, by: list[str], n: str = "n") -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias(n))
 
@@ -66,14 +81,14 @@ def mean_report(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 def best_group_means(df: DataFrame, value: str, by: list[str], p: float = 0.9) -> DataFrame:
     """Groups whose mean is >= the quantile ``p`` of all group means."""
-    return order_desc(at_or_above(group_mean(df, value, by), value, p), value, by)
+    return order_desc(_per_group_cut(group_mean(df, value, by), value, p, True), value, by)
 
 
 def worst_group_means(df: DataFrame, value: str, by: list[str], p: float = 0.1) -> DataFrame:
     """Groups whose mean is <= the quantile ``p`` of all group means."""
-    return order_desc(at_or_below(group_mean(df, value, by), value, p), value, by)
+    return order_desc(_per_group_cut(group_mean(df, value, by), value, p, False), value, by)
 
 
 def top_groups(counts: DataFrame, value: str = "n", p: float = 0.8, ties: list[str] = ()) -> DataFrame:
-    """Rows of a count table whose count is >= its quantile ``p`` (the "top 20%")."""
-    return order_desc(at_or_above(counts, value, p), value, ties)
+    """Rows of a per-group count table whose count is >= its quantile ``p`` (the "top 20%")."""
+    return order_desc(_per_group_cut(counts, value, p, True), value, ties)

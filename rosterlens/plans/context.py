@@ -41,29 +41,40 @@ class Workforce:
         return df.persist(StorageLevel.MEMORY_AND_DISK) if self.storage != "none" else df
 
     # -- event ages (Q2) ------------------------------------------------------
-    def _event_ages(self, date_col: str, action: str, only_terminated: bool) -> DataFrame:
-        p = self.panel.where(not_sentinel_date(date_col)) if only_terminated else self.panel
-        return p.select(
-            F.year(date_col).alias("year"),
-            K.BU,
-            K.ID,
-            years_between(date_col, K.BIRTH_DATE).alias(K.AGE),
-        ).distinct().withColumn("action", F.lit(action))
+    @cached_property
+    def event_ages(self) -> DataFrame:
+        """Distinct (event year, unit, employee, age at the event, action) rows.
+
+        One pass over the panel: every row yields its hire event and, when
+        the termination date is a real one, its termination event; then
+        one distinct. ``hire_ages`` / ``term_ages`` are filters of it.
+        """
+        events = F.inline(
+            F.array(
+                F.struct(F.lit(K.ACTION_HIRED).alias("action"), F.col(K.HIRE_DATE).alias("_d")),
+                F.struct(
+                    F.lit(K.ACTION_TERMED).alias("action"),
+                    F.when(not_sentinel_date(K.TERM_DATE), F.col(K.TERM_DATE)).alias("_d"),
+                ),
+            )
+        )
+        rows = self.panel.select(K.BU, K.ID, K.BIRTH_DATE, events).where(
+            (F.col("action") == K.ACTION_HIRED) | F.col("_d").isNotNull()
+        )
+        ages = rows.select(
+            F.year("_d").alias("year"), K.BU, K.ID, years_between("_d", K.BIRTH_DATE).alias(K.AGE), "action"
+        ).distinct()
+        return self._keep(ages)
 
     @cached_property
     def hire_ages(self) -> DataFrame:
         """Distinct (hire year, unit, employee, age at hire), action ``hired``."""
-        return self._event_ages(K.HIRE_DATE, K.ACTION_HIRED, only_terminated=False)
+        return self.event_ages.where(F.col("action") == K.ACTION_HIRED)
 
     @cached_property
     def term_ages(self) -> DataFrame:
         """Distinct (termination year, unit, employee, age at termination), action ``termed``."""
-        return self._event_ages(K.TERM_DATE, K.ACTION_TERMED, only_terminated=True)
-
-    @cached_property
-    def event_ages(self) -> DataFrame:
-        """Hire and termination event ages, stacked."""
-        return self._keep(self.hire_ages.unionByName(self.term_ages))
+        return self.event_ages.where(F.col("action") == K.ACTION_TERMED)
 
     # -- service bases (Q5, Q6) ----------------------------------------------
     @cached_property
