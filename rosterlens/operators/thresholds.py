@@ -24,19 +24,25 @@ from pyspark.sql import functions as F
 from rosterlens import constants as K
 
 
-def quantile_value(df: DataFrame, col: str, p: float) -> Column:
-    """Scalar subquery: the type-7 quantile ``p`` of ``col`` over ``df`` (NULLs skipped)."""
-    return df.select(F.percentile(F.col(col), F.lit(float(p))).alias("_q")).scalar()
+def quantile_value(df: DataFrame, col: str, p: float, approx: bool = False) -> Column:
+    """Scalar subquery: the type-7 quantile ``p`` of ``col`` over ``df`` (NULLs skipped).
 
+    ``approx=True`` uses ``percentile_approx`` instead: bounded memory for
+    high-cardinality continuous values, but it returns an observed value
+    (no interpolation), so results can differ from the exact rule.
+    """
+    q = F.percentile_approx(F.col(col), float(p)) if approx else F.percentile(F.col(col), F.lit(float(p)))
+    return df.select(q.cast("double").alias("_q")).scalar()
 
-def at_or_above(df: DataFrame, col: str, p: float) -> DataFrame:
+
+def at_or_above(df: DataFrame, col: str, p: float, approx: bool = False) -> DataFrame:
     """Rows whose ``col`` is >= its own quantile ``p``."""
-    return df.where(F.col(col) >= quantile_value(df, col, p))
+    return df.where(F.col(col) >= quantile_value(df, col, p, approx))
 
 
-def at_or_below(df: DataFrame, col: str, p: float) -> DataFrame:
+def at_or_below(df: DataFrame, col: str, p: float, approx: bool = False) -> DataFrame:
     """Rows whose ``col`` is <= its own quantile ``p``."""
-    return df.where(F.col(col) <= quantile_value(df, col, p))
+    return df.where(F.col(col) <= quantile_value(df, col, p, approx))
 
 
 def _per_group_cut(groups: DataFrame, col: str, p: float, keep_above: bool) -> DataFrame:

@@ -312,7 +312,7 @@ def _service_sql(base: str, r: Report, variant: str) -> str:
         op = ">=" if variant == "high" else "<="
         return f"SELECT * FROM ({means}) WHERE service {op} (SELECT quantile_cont(service, {p}) FROM ({means}))"
     if r.kind == "under20":
-        return (f"SELECT termreason_desc, city_name, job_title, terminationdate_key FROM {src} "
+        return (f"SELECT EmployeeID, termreason_desc, city_name, job_title, terminationdate_key FROM {src} "
                 f"WHERE agegroup = '{UNDER20_BAND}'")
     raise ValueError(r.kind)
 

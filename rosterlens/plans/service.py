@@ -124,7 +124,9 @@ def _builder(base_name: str, r: Report, variant: str) -> Callable[[Workforce], D
                 return best_group_means(b, K.SERVICE, [r.dim], r.high)
             return worst_group_means(b, K.SERVICE, [r.dim], r.low)
         if r.kind == "under20":
-            return b.where(F.col(AGEGROUP) == UNDER20_BAND).select(K.REASON, K.CITY, K.JOB, K.TERM_DATE)
+            # the base is still grouped by employee at this point of the studied
+            # analysis, so its column selection keeps EmployeeID as well
+            return b.where(F.col(AGEGROUP) == UNDER20_BAND).select(K.ID, K.REASON, K.CITY, K.JOB, K.TERM_DATE)
         raise ValueError(r.kind)
 
     return build

@@ -174,3 +174,11 @@ def test_id_gap_and_unobserved_years(spark):
     p = panel(spark, rows)
     assert id_gap(p).first().id_gap == 5
     assert unobserved_years(p).first().unknown_period == 15
+
+
+def test_approx_threshold_is_an_observed_value(spark):
+    df = spark.createDataFrame([(float(v),) for v in range(1, 101)], "x double")
+    exact = at_or_above(df, "x", 0.9).count()
+    approx = at_or_above(df, "x", 0.9, approx=True).count()
+    assert exact == 10  # P90 = 90.1 -> 91..100
+    assert approx in (10, 11)
