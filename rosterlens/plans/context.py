@@ -4,11 +4,13 @@ Several analyses read the same derived tables: the snapshot panel, the
 hire/termination event ages, and the latest snapshot per employee. The
 context builds each lazily and keeps it for the next query:
 
-* ``spark.rosterlens.panel.storage`` = ``cache`` (default) persists the
-  panel with MEMORY_AND_DISK (a lost block is recomputed from lineage);
-  ``table`` writes it as Parquet, partitioned by ``STATUS_YEAR``, under the
-  shared ``spark.checkpoint.dir`` folder and reads it back (lineage cut at
-  the file, suits very large panels); ``none`` recomputes per query.
+* ``spark.rosterlens.panel.storage`` = ``cache`` persists the panel with
+  MEMORY_AND_DISK (a lost block is recomputed from lineage); ``table``
+  writes it as Parquet, partitioned by ``STATUS_YEAR``, under the shared
+  ``spark.checkpoint.dir`` folder and reads it back (lineage cut at the
+  file; scans then prune columns and push filters); ``none`` recomputes
+  per query. Unset, it is ``cache`` on a ``local[...]`` master and
+  ``table`` on a cluster, where the panel is as large as ``orders``.
 * the event-age and latest-snapshot tables are persisted the same way
   unless the mode is ``none``.
 """
@@ -108,7 +110,8 @@ _CONTEXTS: dict[tuple[str, str, str], Workforce] = {}
 
 def workforce(spark: SparkSession, sf_dir: str) -> Workforce:
     """The shared context for ``sf_dir`` in this session (built on first use)."""
-    storage = spark.conf.get(STORAGE_CONF, "cache")
+    default = "cache" if spark.sparkContext.master.startswith("local") else "table"
+    storage = spark.conf.get(STORAGE_CONF, None) or default
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), storage)
     ctx = _CONTEXTS.get(key)
     if ctx is not None and ctx.panel.sparkSession is not spark:
