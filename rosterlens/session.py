@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -41,6 +42,16 @@ def build_session(
     return spark
 
 
+def shuffle_partitions_for(input_bytes: int, cores: int, target_bytes: int = 64 << 20) -> int:
+    """About one shuffle partition per ``target_bytes`` of input, never fewer than half the cores.
+
+    AQE still coalesces small post-shuffle partitions; this sets the upper
+    bound so map tasks do not write hundreds of near-empty blocks on small
+    inputs, and partitions stay a manageable size on large ones.
+    """
+    return max(max(1, cores // 2), math.ceil(input_bytes / target_bytes))
+
+
 def checkpoint_root(spark: SparkSession, local_fallback: bool = True) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
