@@ -1,15 +1,19 @@
-"""Join helpers with explicit size bounds (J-level building blocks).
+"""Join helpers with explicit size bounds.
 
 * ``broadcast_if_small`` broadcasts a side only after checking, with a
   bounded read, that it has at most ``max_rows`` rows.
-* ``hot_split_join`` joins a large fact table to a per-key table when a
-  few keys may own a large share of the fact rows. Keys whose fact-row
-  count reaches ``max(hot_min_rows, total / max_hot_keys)`` are "hot":
-  there are at most ``max_hot_keys`` of them by construction, so their
-  rows of the per-key table are broadcast and the matching fact rows are
-  joined in place, with no shuffle. The remaining fact rows (hot keys
-  removed by a broadcast anti-join before any shuffle) are joined with a
-  regular shuffle join, where no key holds more than the threshold.
+* ``hot_keys_of`` picks the keys that own very many rows of a large table:
+  a key is hot when its row count reaches
+  ``max(hot_min_rows, total / max_hot_keys)``, so there are at most
+  ``max_hot_keys`` of them by construction and the key list is safe to
+  broadcast.
+* ``hot_split_join`` joins the large table to a one-row-per-key table in
+  two parts. Rows of hot keys meet the (broadcast, bounded) hot part of the
+  per-key table where they are, with no shuffle. All other rows, with the
+  hot keys removed by a broadcast anti-join before any shuffle, go through
+  a regular shuffle join in which no key holds more than the threshold.
+  The per-key table itself is split by broadcast semi/anti joins, so it is
+  shuffled only once, for the cold part.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from pyspark.sql import functions as F
 
 HOT_MIN_ROWS = 1_000_000
 MAX_HOT_KEYS = 100_000
+HOT_KEY = "_hot_key"
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -29,27 +34,30 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def hot_split_join(
-    big: DataFrame,
-    per_key: DataFrame,
-    big_key: str,
-    per_key_key: str,
+def hot_keys_of(
+    key_counts: DataFrame,
+    key: str,
     rows_col: str,
     hot_min_rows: int = HOT_MIN_ROWS,
     max_hot_keys: int = MAX_HOT_KEYS,
 ) -> DataFrame:
+    """Keys (column ``_hot_key``) whose ``rows_col`` reaches the hot threshold; at most ``max_hot_keys`` rows."""
+    total = key_counts.select(F.sum(rows_col).alias("_t")).scalar()
+    limit = F.greatest(F.lit(hot_min_rows), F.ceil(total / F.lit(max_hot_keys)))
+    return key_counts.where(F.col(rows_col) >= limit).select(F.col(key).alias(HOT_KEY))
+
+
+def hot_split_join(big: DataFrame, big_key: str, per_key: DataFrame, per_key_key: str, hot_keys: DataFrame) -> DataFrame:
     """Inner join ``big`` x ``per_key`` on ``big_key = per_key_key``.
 
-    ``per_key`` has one row per key and ``rows_col`` = the number of ``big``
-    rows with that key. The result has the columns of both inputs.
+    ``per_key`` has one row per key; ``hot_keys`` comes from :func:`hot_keys_of`
+    (bounded size). The result has the columns of both inputs.
     """
-    total = per_key.select(F.sum(rows_col).alias("_t")).scalar()
-    limit = F.greatest(F.lit(hot_min_rows), F.ceil(total / F.lit(max_hot_keys)))
-    hot = per_key.where(F.col(rows_col) >= limit)      # at most max_hot_keys rows
-    cold = per_key.where(F.col(rows_col) < limit)
+    hot = F.broadcast(hot_keys)
+    on_hot_key = F.col(per_key_key) == F.col(HOT_KEY)
+    hot_rows = per_key.join(hot, on_hot_key, "left_semi")      # at most max_hot_keys rows
+    cold_rows = per_key.join(hot, on_hot_key, "left_anti")
     cond = F.col(big_key) == F.col(per_key_key)
-    hot_part = big.join(F.broadcast(hot), cond)
-    hot_keys = F.broadcast(hot.select(F.col(per_key_key).alias("_hot_key")))
-    cold_big = big.join(hot_keys, F.col(big_key) == F.col("_hot_key"), "left_anti")
-    cold_part = cold_big.join(cold, cond)
-    return hot_part.unionByName(cold_part)
+    hot_part = big.join(F.broadcast(hot_rows), cond)
+    cold_big = big.join(hot, F.col(big_key) == F.col(HOT_KEY), "left_anti")
+    return hot_part.unionByName(cold_big.join(cold_rows, cond))

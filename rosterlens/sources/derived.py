@@ -13,10 +13,12 @@ Plan shape (checked with ``explain``):
 * the helpers are joined to ``customer`` and to ``nation`` (broadcast only
   after a bounded row-count check) first: one row per customer;
 * the orders are joined to that customer table with a hot-key split
-  (``operators.joins.hot_split_join``): customers with very many orders
-  (a bounded number of them) are broadcast and joined without a shuffle,
-  their orders are removed before the shuffle join of all other customers,
-  so no reducer receives a hot customer's orders.
+  (``operators.joins``): the customers with very many orders (at most
+  100,000 by construction, found from the per-customer counts alone) are
+  broadcast and joined without a shuffle; their orders are removed by a
+  broadcast anti-join before the shuffle join of all other customers, so
+  no reducer receives a hot customer's orders, and ``customer`` is
+  shuffled once.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlens import constants as K
-from rosterlens.operators.joins import HOT_MIN_ROWS, MAX_HOT_KEYS, broadcast_if_small, hot_split_join
+from rosterlens.operators.joins import HOT_MIN_ROWS, MAX_HOT_KEYS, broadcast_if_small, hot_keys_of, hot_split_join
 
 # --- fixed values of the derived-panel definition ----------------------------
 FIRST_EMPLOYEE_ID = 1318
@@ -79,7 +81,8 @@ def panel_from_frames(
         .join(per_customer, F.col("c_custkey") == F.col("o_custkey"))
         .drop("o_custkey", "c_nationkey", "n_nationkey")
     )
-    j = hot_split_join(o, customers, "o_custkey", "c_custkey", "n_orders", hot_min_rows, max_hot_keys)
+    hot = hot_keys_of(per_customer, "o_custkey", "n_orders", hot_min_rows, max_hot_keys)
+    j = hot_split_join(o, "o_custkey", customers, "c_custkey", hot)
 
     latest = F.col("o_orderkey") == F.col("latest_key")
     terminated = latest & (ck % TERMINATED_MODULUS == 0)
