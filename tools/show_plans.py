@@ -11,6 +11,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from rosterlens.operators import latest_snapshot  # noqa: E402
 from rosterlens.plans import ANALYSES, workforce  # noqa: E402
 from rosterlens.session import build_session  # noqa: E402
 from rosterlens.sources import panel_from_tables  # noqa: E402
@@ -59,7 +60,7 @@ def main(sf_dir: str) -> None:
     w = workforce(spark, sf_dir)
     print("## Latest snapshot per employee (W2), persisted base of Q5/Q6\n")
     print("Partial `WindowGroupLimit` before the shuffle by `EmployeeID`: one row per employee per map task.\n")
-    print("```\n" + _plan(w.latest) + "\n```\n")
+    print("```\n" + _plan(latest_snapshot(w.panel)) + "\n```\n")
     for key, note in STEPS:
         print(f"## `{key}`\n\n{note}\n")
         print("```\n" + _plan(ANALYSES[key](w)) + "\n```\n")
