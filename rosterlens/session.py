@@ -52,6 +52,27 @@ def shuffle_partitions_for(input_bytes: int, cores: int, target_bytes: int = 64
     return max(max(1, cores // 2), math.ceil(input_bytes / target_bytes))
 
 
+def cluster_settings(input_bytes: int, total_cores: int) -> dict[str, str]:
+    """Settings for a large run, sized from the bytes of the source tables.
+
+    Shuffle partitions target ~128 MB each for a shuffle as large as the
+    input (the panel join moves about that much) and at least two waves of
+    tasks; AQE then coalesces the small shuffles of the report queries.
+    The panel is written as a table under ``spark.checkpoint.dir``.
+    """
+    partitions = max(2 * total_cores, math.ceil(input_bytes / (128 << 20)))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.rosterlens.panel.storage": "table",
+    }
+
+
 def checkpoint_root(spark: SparkSession, local_fallback: bool = True) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 

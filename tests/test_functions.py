@@ -68,3 +68,13 @@ def test_rounding_helpers(spark):
     df = spark.createDataFrame([(2.25, 101)], "x double, y int")
     r = df.select(round_half_even("x", 1).alias("h"), round_up_to("y", 25).alias("u"), F.round("x", 1).alias("hu")).first()
     assert r.h == 2.2 and r.hu == 2.3 and r.u == 125
+
+
+def test_partition_sizing():
+    from rosterlens.session import cluster_settings, shuffle_partitions_for
+
+    assert shuffle_partitions_for(3 << 20, 8) == 4          # sf0.1-sized input on 8 cores
+    assert shuffle_partitions_for(64 << 30, 8) == 1024      # 64 GB -> 64 MB partitions
+    conf = cluster_settings(3 << 40, 8000)
+    assert conf["spark.sql.shuffle.partitions"] == str(3 * 8 * 1024)
+    assert conf["spark.rosterlens.panel.storage"] == "table"
