@@ -105,21 +105,20 @@ class Workforce:
             self.panel.unpersist()
 
 
-_CONTEXTS: dict[tuple[str, str, str], Workforce] = {}
+_CONTEXTS: dict[tuple[str, str, str, str], Workforce] = {}
 
 
 def workforce(spark: SparkSession, sf_dir: str) -> Workforce:
     """The shared context for ``sf_dir`` in this session (built on first use)."""
     default = "cache" if spark.sparkContext.master.startswith("local") else "table"
     storage = spark.conf.get(STORAGE_CONF, None) or default
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), storage)
+    # one context per session: DataFrames are bound to the session that made them
+    key = (spark.sparkContext.applicationId, spark._jsparkSession.sessionUUID(), sf_dir.rstrip("/"), storage)
     ctx = _CONTEXTS.get(key)
-    if ctx is not None and ctx.panel.sparkSession is not spark:
-        ctx = None  # another session on the same context: build its own bases
     if ctx is None:
         panel = panel_from_tables(spark, sf_dir)
         if storage == "table":
-            panel = materialize_panel(spark, panel, f"{key[0]}|{key[1]}")
+            panel = materialize_panel(spark, panel, "|".join(key[:3]))
             ctx = Workforce(panel, storage="table")
         else:
             ctx = Workforce(panel, storage=storage)
