@@ -1,6 +1,6 @@
 """Table operators: flows, picks, thresholds, statistics, reshape."""
 
-from rosterlens.operators.joins import broadcast_if_small, hot_keys_of, hot_split_join
+from rosterlens.operators.joins import broadcast_if_small, sampled_hot_keys, split_by_keys
 from rosterlens.operators.flows import flow_by, hires_by, outer_merge, running_total, terms_by, to_long
 from rosterlens.operators.picks import earliest_snapshot, extreme_member_per, first_row_per, latest_snapshot
 from rosterlens.operators.reshape import pivot_wide
@@ -43,8 +43,7 @@ __all__ = [
     "flow_by",
     "group_mean",
     "hires_by",
-    "hot_keys_of",
-    "hot_split_join",
+
     "id_gap",
     "latest_snapshot",
     "linear_fit",
@@ -54,8 +53,10 @@ __all__ = [
     "pivot_wide",
     "quantile_value",
     "running_total",
+    "sampled_hot_keys",
     "share_of_total",
     "six_number",
+    "split_by_keys",
     "terms_by",
     "to_long",
     "top_groups",

@@ -2,18 +2,14 @@
 
 * ``broadcast_if_small`` broadcasts a side only after checking, with a
   bounded read, that it has at most ``max_rows`` rows.
-* ``hot_keys_of`` picks the keys that own very many rows of a large table:
-  a key is hot when its row count reaches
-  ``max(hot_min_rows, total / max_hot_keys)``, so there are at most
-  ``max_hot_keys`` of them by construction and the key list is safe to
-  broadcast.
-* ``hot_split_join`` joins the large table to a one-row-per-key table in
-  two parts. Rows of hot keys meet the (broadcast, bounded) hot part of the
-  per-key table where they are, with no shuffle. All other rows, with the
-  hot keys removed by a broadcast anti-join before any shuffle, go through
-  a regular shuffle join in which no key holds more than the threshold.
-  The per-key table itself is split by broadcast semi/anti joins, so it is
-  shuffled only once, for the cold part.
+* ``sampled_hot_keys`` finds the keys that own very many rows of a large
+  table from a Bernoulli sample. A key is hot when its sampled count
+  reaches ``max(fraction * hot_min_rows, sampled_rows / max_hot_keys)``,
+  so there are at most ``max_hot_keys`` hot keys whatever the sample: the
+  list is safe to broadcast. The hot set only decides which route rows
+  take, never what the result is, so an estimate is enough.
+* ``split_by_keys`` splits a table into the rows of a (broadcast) key set
+  and the rest, with map-side semi/anti joins: no shuffle.
 """
 
 from __future__ import annotations
@@ -23,6 +19,7 @@ from pyspark.sql import functions as F
 
 HOT_MIN_ROWS = 1_000_000
 MAX_HOT_KEYS = 100_000
+SAMPLE_FRACTION = 0.001
 HOT_KEY = "_hot_key"
 
 
@@ -34,30 +31,24 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def hot_keys_of(
-    key_counts: DataFrame,
+def sampled_hot_keys(
+    df: DataFrame,
     key: str,
-    rows_col: str,
+    fraction: float = SAMPLE_FRACTION,
     hot_min_rows: int = HOT_MIN_ROWS,
     max_hot_keys: int = MAX_HOT_KEYS,
+    seed: int = 17,
 ) -> DataFrame:
-    """Keys (column ``_hot_key``) whose ``rows_col`` reaches the hot threshold; at most ``max_hot_keys`` rows."""
-    total = key_counts.select(F.sum(rows_col).alias("_t")).scalar()
-    limit = F.greatest(F.lit(hot_min_rows), F.ceil(total / F.lit(max_hot_keys)))
-    return key_counts.where(F.col(rows_col) >= limit).select(F.col(key).alias(HOT_KEY))
-
-
-def hot_split_join(big: DataFrame, big_key: str, per_key: DataFrame, per_key_key: str, hot_keys: DataFrame) -> DataFrame:
-    """Inner join ``big`` x ``per_key`` on ``big_key = per_key_key``.
-
-    ``per_key`` has one row per key; ``hot_keys`` comes from :func:`hot_keys_of`
-    (bounded size). The result has the columns of both inputs.
-    """
-    hot = F.broadcast(hot_keys)
-    on_hot_key = F.col(per_key_key) == F.col(HOT_KEY)
-    hot_rows = per_key.join(hot, on_hot_key, "left_semi")      # at most max_hot_keys rows
-    cold_rows = per_key.join(hot, on_hot_key, "left_anti")
-    cond = F.col(big_key) == F.col(per_key_key)
-    hot_part = big.join(F.broadcast(hot_rows), cond)
-    cold_big = big.join(hot, F.col(big_key) == F.col(HOT_KEY), "left_anti")
-    return hot_part.unionByName(cold_big.join(cold_rows, cond))
+    """Keys (column ``_hot_key``) estimated to own at least ``hot_min_rows`` rows; at most ``max_hot_keys``."""
+    sample = df.select(F.col(key).alias(HOT_KEY)).where(F.col(HOT_KEY).isNotNull()).sample(fraction=fraction, seed=seed)
+    counts = sample.groupBy(HOT_KEY).agg(F.count(F.lit(1)).alias("_n"))
+    sampled_rows = counts.select(F.sum("_n").alias("_t")).scalar()
+    limit = F.greatest(F.lit(fraction * hot_min_rows), sampled_rows / F.lit(max_hot_keys))
+    return counts.where(F.col("_n") >= limit).select(HOT_KEY)
+
+
+def split_by_keys(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``key`` is in ``keys``, all other rows); ``keys`` is broadcast."""
+    k = F.broadcast(keys)
+    on = F.col(key) == F.col(HOT_KEY)
+    return df.join(k, on, "left_semi"), df.join(k, on, "left_anti")

@@ -4,21 +4,19 @@ One panel row per order: a customer plays the employee, each of its orders
 is one snapshot. The rules are the fixture definition shared with the SQL
 oracle, so the constants below are fixed values.
 
-Plan shape (checked with ``explain``):
-
-* per-customer helpers (first/last record date, latest order, order count)
-  come from one aggregation with a map-side partial step, so a customer
-  that owns a third of all orders still collapses to one row per map task
-  before the shuffle;
-* the helpers are joined to ``customer`` and to ``nation`` (broadcast only
-  after a bounded row-count check) first: one row per customer;
-* the orders are joined to that customer table with a hot-key split
-  (``operators.joins``): the customers with very many orders (at most
-  100,000 by construction, found from the per-customer counts alone) are
-  broadcast and joined without a shuffle; their orders are removed by a
-  broadcast anti-join before the shuffle join of all other customers, so
-  no reducer receives a hot customer's orders, and ``customer`` is
-  shuffled once.
+Plan shape (checked with ``explain``; see PLANS.md):
+
+* customers that own very many orders ("hot") are found from a 0.1%
+  sample; there are at most 100,000 of them by construction;
+* orders of all other customers are hash-partitioned by customer once.
+  The per-customer helpers (first/last record date, latest order) are
+  aggregated on that partitioning and the orders are joined to their
+  customer row on the same partitioning, so this is the only shuffle of
+  order rows. ``customer`` is shuffled once to meet it, and ``nation`` is
+  broadcast only after a bounded row-count check;
+* orders of hot customers never enter a shuffle. Their helpers come from
+  an aggregate with a map-side partial step (one row per hot customer per
+  map task), and their customer rows are few enough to broadcast back.
 """
 
 from __future__ import annotations
@@ -27,7 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlens import constants as K
-from rosterlens.operators.joins import HOT_MIN_ROWS, MAX_HOT_KEYS, broadcast_if_small, hot_keys_of, hot_split_join
+from rosterlens.session import checkpoint_root
+from rosterlens.operators.joins import (
+    HOT_MIN_ROWS,
+    MAX_HOT_KEYS,
+    SAMPLE_FRACTION,
+    broadcast_if_small,
+    sampled_hot_keys,
+    split_by_keys,
+)
 
 # --- fixed values of the derived-panel definition ----------------------------
 FIRST_EMPLOYEE_ID = 1318
@@ -50,39 +56,54 @@ PANEL_COLUMNS = [
 ]
 
 
+def _attach_customers(orders: DataFrame, customers: DataFrame, nations: DataFrame, broadcast: bool) -> DataFrame:
+    """Orders joined to their customer row and per-customer helpers."""
+    # Latest order = first by (o_orderdate desc, o_orderkey desc) = max of the pair.
+    helpers = orders.groupBy("o_custkey").agg(
+        F.min("rec").alias("hire"),
+        F.max("rec").alias("last"),
+        F.max(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"].alias("latest_key"),
+    )
+    per_customer = (
+        customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(helpers.withColumnRenamed("o_custkey", "h_custkey"), F.col("c_custkey") == F.col("h_custkey"))
+        .drop("h_custkey", "c_nationkey", "n_nationkey")
+    )
+    if broadcast:
+        per_customer = F.broadcast(per_customer)
+    return orders.join(per_customer, F.col("o_custkey") == F.col("c_custkey"))
+
+
 def panel_from_frames(
     orders: DataFrame,
     customer: DataFrame,
     nation: DataFrame,
     hot_min_rows: int = HOT_MIN_ROWS,
     max_hot_keys: int = MAX_HOT_KEYS,
+    sample_fraction: float = SAMPLE_FRACTION,
 ) -> DataFrame:
     """Build the snapshot panel from ``orders``, ``customer`` and ``nation``.
 
-    ``hot_min_rows`` / ``max_hot_keys`` set the hot-customer split of the
-    final join (see :func:`rosterlens.operators.joins.hot_split_join`).
+    ``hot_min_rows`` / ``max_hot_keys`` / ``sample_fraction`` tune the
+    hot-customer route (see :mod:`rosterlens.operators.joins`); they change
+    the plan, never the result.
     """
     ck = F.col("o_custkey")
     o = (
         orders.where(ck % SKIP_MODULUS != SKIP_REMAINDER)
         .select("o_orderkey", "o_custkey", "o_orderdate", F.col("o_orderdate").cast("date").alias("rec"))
     )
-    # Latest order = first by (o_orderdate desc, o_orderkey desc) = max of the pair.
-    per_customer = o.groupBy("o_custkey").agg(
-        F.min("rec").alias("hire"),
-        F.max("rec").alias("last"),
-        F.max(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"].alias("latest_key"),
-        F.count(F.lit(1)).alias("n_orders"),
-    )
     nations = broadcast_if_small(nation.select("n_nationkey", "n_name", "n_regionkey"), MAX_BROADCAST_NATIONS)
-    customers = (
-        customer.select("c_custkey", "c_nationkey", "c_mktsegment")
-        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(per_customer, F.col("c_custkey") == F.col("o_custkey"))
-        .drop("o_custkey", "c_nationkey", "n_nationkey")
-    )
-    hot = hot_keys_of(per_customer, "o_custkey", "n_orders", hot_min_rows, max_hot_keys)
-    j = hot_split_join(o, "o_custkey", customers, "c_custkey", hot)
+    customers = customer.select("c_custkey", "c_nationkey", "c_mktsegment")
+    # The hot set routes every order either way, so it must be the same set in each
+    # use: it is written once to the shared checkpoint folder (at most max_hot_keys rows).
+    checkpoint_root(orders.sparkSession)
+    hot = sampled_hot_keys(o, "o_custkey", sample_fraction, hot_min_rows, max_hot_keys).checkpoint(eager=True)
+    o_hot, o_cold = split_by_keys(o, "o_custkey", hot)
+    c_hot, c_cold = split_by_keys(customers, "c_custkey", hot)
+    cold = _attach_customers(o_cold.repartition("o_custkey"), c_cold, nations, broadcast=False)
+    hot_part = _attach_customers(o_hot, c_hot, nations, broadcast=True)
+    j = hot_part.unionByName(cold)
 
     latest = F.col("o_orderkey") == F.col("latest_key")
     terminated = latest & (ck % TERMINATED_MODULUS == 0)

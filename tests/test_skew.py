@@ -75,13 +75,21 @@ def test_hot_employee_flow_and_box(spark, skewed):
 
 def test_hot_customer_split_keeps_panel_whole(spark):
     normal = panel_from_tables(spark, SF_MID)
-    # every customer with >= 12 orders is "hot" here, so both branches carry rows
-    split = panel_from_tables(spark, SF_MID, hot_min_rows=12, max_hot_keys=1_000_000)
+    # every customer with >= 12 orders is "hot" here (full sample), so both routes carry rows
+    split = panel_from_tables(spark, SF_MID, hot_min_rows=12, max_hot_keys=1_000_000, sample_fraction=1.0)
     a = sorted(map(tuple, normal.collect()))
     b = sorted(map(tuple, split.collect()))
     assert len(b) == 12834 and a == b
     plan = _plan(split)
-    assert "LeftAnti" in plan and "BroadcastHashJoin" in plan
+    assert "LeftAnti" in plan and "LeftSemi" in plan and "BroadcastHashJoin" in plan
+
+
+def test_hot_key_count_is_bounded(spark):
+    from rosterlens.operators import sampled_hot_keys
+
+    p = spark.read.parquet(f"{SF_MID}/orders.parquet")
+    # a bound of 10 keys holds even with a threshold every customer passes
+    assert sampled_hot_keys(p, "o_custkey", fraction=1.0, hot_min_rows=1, max_hot_keys=10).count() <= 10
 
 
 def test_panel_plan_without_auto_broadcast(spark):
