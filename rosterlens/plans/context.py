@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from rosterlens import constants as K
 from rosterlens.functions import not_sentinel_date, years_between
 from rosterlens.operators import latest_snapshot
+from rosterlens.session import master_of, session_key
 from rosterlens.sources import materialize_panel, panel_from_tables
 
 STORAGE_CONF = "spark.rosterlens.panel.storage"
@@ -110,10 +111,10 @@ _CONTEXTS: dict[tuple[str, str, str, str], Workforce] = {}
 
 def workforce(spark: SparkSession, sf_dir: str) -> Workforce:
     """The shared context for ``sf_dir`` in this session (built on first use)."""
-    default = "cache" if spark.sparkContext.master.startswith("local") else "table"
+    default = "cache" if master_of(spark).startswith("local") else "table"
     storage = spark.conf.get(STORAGE_CONF, None) or default
     # one context per session: DataFrames are bound to the session that made them
-    key = (spark.sparkContext.applicationId, spark._jsparkSession.sessionUUID(), sf_dir.rstrip("/"), storage)
+    key = (*session_key(spark), sf_dir.rstrip("/"), storage)
     ctx = _CONTEXTS.get(key)
     if ctx is None:
         panel = panel_from_tables(spark, sf_dir)

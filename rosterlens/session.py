@@ -73,6 +73,27 @@ def cluster_settings(input_bytes: int, total_cores: int) -> dict[str, str]:
     }
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None for a Spark Connect session."""
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect sessions have no SparkContext
+        return None
+
+
+def master_of(spark: SparkSession) -> str:
+    sc = _context(spark)
+    return sc.master if sc is not None else spark.conf.get("spark.master", "")
+
+
+def session_key(spark: SparkSession) -> tuple[str, str]:
+    """(application id, session id): identifies the session DataFrames are bound to."""
+    sc = _context(spark)
+    if sc is not None:
+        return sc.applicationId, spark._jsparkSession.sessionUUID()
+    return spark.conf.get("spark.app.id", ""), getattr(spark, "session_id", "")
+
+
 def checkpoint_root(spark: SparkSession, local_fallback: bool = True) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
@@ -81,14 +102,19 @@ def checkpoint_root(spark: SparkSession, local_fallback: bool = True) -> str:
     made and set on the session. On a cluster an unset value is an error:
     a machine-local folder is not visible to the other executors.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
+    sc = _context(spark)
+    current = spark.conf.get(CHECKPOINT_CONF, None)
+    if sc is not None:
+        current = sc.getCheckpointDir() or current or sc.getConf().get(CHECKPOINT_CONF, None)
     if current:
-        if not sc.getCheckpointDir():
+        if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current.rstrip("/")
-    if not (local_fallback and sc.master.startswith("local")):
+    if not (local_fallback and master_of(spark).startswith("local")):
         raise RuntimeError(f"{CHECKPOINT_CONF} is not set; point it at a folder all executors share")
     path = tempfile.mkdtemp(prefix="rosterlens-ckpt-")
-    sc.setCheckpointDir(path)
-    return sc.getCheckpointDir().rstrip("/")
+    if sc is not None:
+        sc.setCheckpointDir(path)
+        return sc.getCheckpointDir().rstrip("/")
+    spark.conf.set(CHECKPOINT_CONF, path)
+    return path
