@@ -221,11 +221,13 @@ def _ages() -> dict[str, str]:
       FROM ({fit_rows}) WHERE year IS NOT NULL AND age IS NOT NULL GROUP BY BU_action
     """
     q["q2_3_age_fit"] = _with(
-        f"SELECT BU_action, round(slope, 6) AS slope, round(intercept, 4) AS intercept, round(r2, 6) AS r2, n FROM ({fit})")
+        # "+ 0.0" turns a rounded -0.0 into 0.0, as Spark's round returns
+        f"SELECT BU_action, round(slope, 6) + 0.0 AS slope, round(intercept, 4) + 0.0 AS intercept, "
+        f"round(r2, 6) + 0.0 AS r2, n FROM ({fit})")
     q["q2_3_age_fit_grid"] = _with(f"""
-      SELECT BU_action, CAST(g.year AS INTEGER) AS year, round(intercept + slope * g.year, 4) AS fit,
+      SELECT BU_action, CAST(g.year AS INTEGER) AS year, round(intercept + slope * g.year, 4) + 0.0 AS fit,
         round(CASE WHEN n > 2 THEN sqrt(greatest(syy - sxy * sxy / sxx, 0.0) / (n - 2))
-              * sqrt(1.0 / n + (g.year - avgx) * (g.year - avgx) / sxx) END, 4) AS se_fit,
+              * sqrt(1.0 / n + (g.year - avgx) * (g.year - avgx) / sxx) END, 4) + 0.0 AS se_fit,
         n
       FROM ({fit}) f,
         (SELECT unnest(range((SELECT min(year) FROM events), (SELECT max(year) FROM events) + 1)) AS year) g
