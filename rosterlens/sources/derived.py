@@ -21,8 +21,9 @@ Plan shape (checked with ``explain``; see PLANS.md):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rosterlens import constants as K
 from rosterlens.session import checkpoint_root
@@ -56,6 +57,17 @@ PANEL_COLUMNS = [
 ]
 
 
+def _calendar_date(df: DataFrame, col: str) -> Column:
+    """The stored calendar date of a timestamp column, whatever the session time zone.
+
+    Parquet timestamps without a zone read as TIMESTAMP_NTZ and cast directly;
+    if a session reads them as zoned timestamps, the UTC day is taken instead.
+    """
+    if isinstance(df.schema[col].dataType, T.TimestampType):
+        return F.date_from_unix_date(F.floor(F.unix_micros(col) / F.lit(86_400_000_000)).cast("int"))
+    return F.col(col).cast("date")
+
+
 def _attach_customers(orders: DataFrame, customers: DataFrame, nations: DataFrame, broadcast: bool) -> DataFrame:
     """Orders joined to their customer row and per-customer helpers."""
     # Latest order = first by (o_orderdate desc, o_orderkey desc) = max of the pair.
@@ -91,7 +103,7 @@ def panel_from_frames(
     ck = F.col("o_custkey")
     o = (
         orders.where(ck % SKIP_MODULUS != SKIP_REMAINDER)
-        .select("o_orderkey", "o_custkey", "o_orderdate", F.col("o_orderdate").cast("date").alias("rec"))
+        .select("o_orderkey", "o_custkey", "o_orderdate", _calendar_date(orders, "o_orderdate").alias("rec"))
     )
     nations = broadcast_if_small(nation.select("n_nationkey", "n_name", "n_regionkey"), MAX_BROADCAST_NATIONS)
     customers = customer.select("c_custkey", "c_nationkey", "c_mktsegment")

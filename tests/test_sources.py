@@ -52,3 +52,16 @@ def test_panel_store_roundtrip(spark, tmp_path):
     # partition pruning on the status year
     pruned = back.where(back[K.STATUS_YEAR] == 1996)
     assert "PartitionFilters: [isnotnull(STATUS_YEAR" in pruned._jdf.queryExecution().executedPlan().toString()
+
+
+def test_panel_dates_do_not_depend_on_session_time_zone(spark):
+    base = sorted(map(tuple, panel_from_tables(spark, SF_SMALL).collect()))
+    spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        assert dict(panel_from_tables(spark, SF_SMALL).dtypes)[K.RECORD_DATE] == "date"
+        other = sorted(map(tuple, panel_from_tables(spark, SF_SMALL).collect()))
+    finally:
+        spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "true")
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert base == other
