@@ -89,9 +89,8 @@ def master_of(spark: SparkSession) -> str:
 def session_key(spark: SparkSession) -> tuple[str, str]:
     """(application id, session id): identifies the session DataFrames are bound to."""
     sc = _context(spark)
-    if sc is not None:
-        return sc.applicationId, spark._jsparkSession.sessionUUID()
-    return spark.conf.get("spark.app.id", ""), getattr(spark, "session_id", "")
+    app = sc.applicationId if sc is not None else spark.conf.get("spark.app.id", "")
+    return app, str(getattr(spark, "session_id", None) or id(spark))
 
 
 def checkpoint_root(spark: SparkSession, local_fallback: bool = True) -> str:
