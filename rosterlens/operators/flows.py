@@ -1,10 +1,16 @@
 """Hire / termination flows (A1-A4, J1-J3, W1, R1).
 
 Counts are of distinct employees per event year (and dimension). Spark
-plans ``count_distinct`` as a partial de-duplication on (keys, id) before
+plans distinct counting as a partial de-duplication on (keys, id) before
 the first shuffle and a partial count before the second, so no group —
-however hot — is gathered in one task. Joins here combine two aggregates
-whose size is the number of (year, dimension) groups, not the panel size.
+however hot — is gathered in one task.
+
+``flow_by`` computes hires and terminations in one pass: every row yields
+its hire event and, when real, its termination event; one distinct over
+(year, dims, employee, action) and one grouped conditional count follow.
+That equals merging the two separate counts with a NULL-matching full
+outer join and filling gaps with 0 (``outer_merge``), without the second
+scan and the join.
 """
 
 from __future__ import annotations
@@ -70,13 +76,29 @@ def outer_merge(left: DataFrame, right: DataFrame, keys: list[str], fill: int |
     )
 
 
-def flow_by(panel: DataFrame, dims: list[str] | tuple[str, ...] = ()) -> DataFrame:
-    """year, *dims, hired, termed — gaps filled with 0."""
-    return outer_merge(
-        hires_by(panel, dims, n="hired"),
-        terms_by(panel, dims, n="termed"),
-        ["year", *dims],
-        fill=0,
+def flow_by(
+    panel: DataFrame,
+    dims: list[str] | tuple[str, ...] = (),
+    hire_col: str = K.HIRE_DATE,
+    term_col: str = K.TERM_DATE,
+    id_col: str = K.ID,
+) -> DataFrame:
+    """year, *dims, hired, termed: distinct employees hired / terminated per year (0 when none)."""
+    events = F.inline(
+        F.array(
+            F.struct(F.lit(K.ACTION_HIRED).alias("action"), F.year(hire_col).alias("year")),
+            F.struct(
+                F.lit(K.ACTION_TERMED).alias("action"),
+                F.when(not_sentinel_date(term_col), F.year(term_col)).alias("year"),
+            ),
+        )
+    )
+    hired = F.col("action") == K.ACTION_HIRED
+    rows = panel.select(*dims, id_col, events).where(hired | F.col("year").isNotNull())
+    return (
+        rows.distinct()
+        .groupBy("year", *dims)
+        .agg(F.count_if(hired).alias("hired"), F.count_if(~hired).alias("termed"))
     )
 
 

@@ -182,3 +182,16 @@ def test_approx_threshold_is_an_observed_value(spark):
     approx = at_or_above(df, "x", 0.9, approx=True).count()
     assert exact == 10  # P90 = 90.1 -> 91..100
     assert approx in (10, 11)
+
+
+@pytest.mark.parametrize("dims", [[], [K.BU], [K.GENDER], [K.DEPT]])
+def test_one_pass_flow_equals_outer_merge_of_counts(spark, dims):
+    from conftest import SF_SMALL
+    from rosterlens.operators import hires_by
+    from rosterlens.sources import panel_from_tables
+
+    p = panel_from_tables(spark, SF_SMALL)
+    merged = outer_merge(hires_by(p, dims, n="hired"), terms_by(p, dims, n="termed"), ["year", *dims], fill=0)
+    one_pass = flow_by(p, dims)
+    assert merged.columns == one_pass.columns
+    assert sorted(map(repr, merged.collect())) == sorted(map(repr, one_pass.collect()))

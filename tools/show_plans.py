@@ -17,7 +17,7 @@ from rosterlens.session import build_session  # noqa: E402
 from rosterlens.sources import panel_from_tables  # noqa: E402
 
 STEPS = [
-    ("q1_1_flow", "Yearly flow: two distinct counts (partial de-duplication before each shuffle), null-safe full outer join of the two small aggregates, running total over one row per year."),
+    ("q1_1_flow", "Yearly flow in one pass: each row yields its hire and (real) termination event, one distinct (partial de-duplication before the shuffle), conditional counts per year, running total over one row per year."),
     ("q5_6_city_long", "Threshold report over the persisted terminated base: the P99 is a scalar subquery (partial/final percentile), the filter runs on every partition."),
     ("q4_1_top20_job", "Top 20% of titles: the P80 is a window over the one-row-per-title count table, so the distinct count runs once."),
     ("q2_4_age_box", "Box statistics: rows folded into a (group, age) histogram; quartiles from the histogram with frequencies; whiskers from the histogram joined to the per-group quartiles."),
