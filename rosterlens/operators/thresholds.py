@@ -35,14 +35,18 @@ def quantile_value(df: DataFrame, col: str, p: float, approx: bool = False) -> C
     return df.select(q.cast("double").alias("_q")).scalar()
 
 
-def at_or_above(df: DataFrame, col: str, p: float, approx: bool = False) -> DataFrame:
-    """Rows whose ``col`` is >= its own quantile ``p``."""
-    return df.where(F.col(col) >= quantile_value(df, col, p, approx))
+def at_or_above(df: DataFrame, col: str, p: float, approx: bool = False, cut: Column | None = None) -> DataFrame:
+    """Rows whose ``col`` is >= its own quantile ``p``.
+
+    ``cut`` is the quantile already computed (e.g. a scalar subquery over a
+    persisted one-row table of cut-offs); otherwise it is computed here.
+    """
+    return df.where(F.col(col) >= (cut if cut is not None else quantile_value(df, col, p, approx)))
 
 
-def at_or_below(df: DataFrame, col: str, p: float, approx: bool = False) -> DataFrame:
-    """Rows whose ``col`` is <= its own quantile ``p``."""
-    return df.where(F.col(col) <= quantile_value(df, col, p, approx))
+def at_or_below(df: DataFrame, col: str, p: float, approx: bool = False, cut: Column | None = None) -> DataFrame:
+    """Rows whose ``col`` is <= its own quantile ``p`` (``cut`` as in :func:`at_or_above`)."""
+    return df.where(F.col(col) <= (cut if cut is not None else quantile_value(df, col, p, approx)))
 
 
 def _per_group_cut(groups: DataFrame, col: str, p: float, keep_above: bool) -> DataFrame:
@@ -62,14 +66,18 @@ def order_desc(df: DataFrame, col: str, ties: list[str] = ()) -> DataFrame:
     return df.orderBy(F.col(col).desc_nulls_last(), *[F.col(t).asc_nulls_last() for t in ties])
 
 
-def top_share_by(df: DataFrame, p: float, by: list[str], value: str = K.SERVICE, n: str = "n") -> DataFrame:
+def top_share_by(
+    df: DataFrame, p: float, by: list[str], value: str = K.SERVICE, n: str = "n", cut: Column | None = None
+) -> DataFrame:
     """Rows with ``value`` >= quantile ``p``, counted by ``by``, largest count first."""
-    return order_desc(count_by(at_or_above(df, value, p), by, n), n, by)
+    return order_desc(count_by(at_or_above(df, value, p, cut=cut), by, n), n, by)
 
 
-def bottom_share_by(df: DataFrame, p: float, by: list[str], value: str = K.SERVICE, n: str = "n") -> DataFrame:
+def bottom_share_by(
+    df: DataFrame, p: float, by: list[str], value: str = K.SERVICE, n: str = "n", cut: Column | None = None
+) -> DataFrame:
     """Rows with ``value`` <= quantile ``p``, counted by ``by``, largest count first."""
-    return order_desc(count_by(at_or_below(df, value, p), by, n), n, by)
+    return order_desc(count_by(at_or_below(df, value, p, cut=cut), by, n), n, by)
 
 
 def group_mean(df: DataFrame, value: str, by: list[str]) -> DataFrame:

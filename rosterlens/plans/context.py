@@ -20,7 +20,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlens import constants as K
@@ -30,6 +30,8 @@ from rosterlens.session import master_of, session_key
 from rosterlens.sources import materialize_panel, panel_from_tables
 
 STORAGE_CONF = "spark.rosterlens.panel.storage"
+# quantiles of service the Q5/Q6 reports cut at (fixed values of the studied analysis)
+SERVICE_QUANTILES = (0.01, 0.1, 0.9, 0.99)
 
 
 class Workforce:
@@ -98,7 +100,27 @@ class Workforce:
         """Latest snapshot of employees whose picked row is ACTIVE, ``service`` renamed."""
         return self._service_base(K.STATUS_ACTIVE)
 
+    # -- service cut-offs (Q5, Q6) ----------------------------------------------
+    def _cuts(self, base: str) -> DataFrame:
+        cache = self.__dict__.setdefault("_cut_tables", {})
+        if base not in cache:
+            rows = self.terminated if base == "terminated" else self.active
+            q = F.percentile(F.col(K.SERVICE), list(SERVICE_QUANTILES))
+            cache[base] = self._keep(rows.agg(q.alias("q")))
+        return cache[base]
+
+    def service_cut(self, base: str, p: float) -> Column:
+        """Quantile ``p`` of ``service`` over the ``terminated`` / ``active`` base.
+
+        All cut-offs of a base come from one aggregate over it, persisted as a
+        one-row table; each use is a scalar subquery over that row, so a
+        report reads the base once instead of twice.
+        """
+        return self._cuts(base).select(F.col("q")[SERVICE_QUANTILES.index(p)]).scalar()
+
     def release(self) -> None:
+        for df in self.__dict__.get("_cut_tables", {}).values():
+            df.unpersist()
         for name in ("event_ages", "latest"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()

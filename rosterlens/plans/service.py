@@ -111,12 +111,15 @@ def _builder(base_name: str, r: Report, variant: str) -> Callable[[Workforce], D
     def build(w: Workforce) -> DataFrame:
         b = _base(w, base_name, r.dim)
         if r.kind == "summary":
-            rows = at_or_above(b, K.SERVICE, r.high) if variant == "high" else at_or_below(b, K.SERVICE, r.low)
+            if variant == "high":
+                rows = at_or_above(b, K.SERVICE, r.high, cut=w.service_cut(base_name, r.high))
+            else:
+                rows = at_or_below(b, K.SERVICE, r.low, cut=w.service_cut(base_name, r.low))
             return six_number(rows, K.AGE)
         if r.kind == "share":
             if variant == "high":
-                return top_share_by(b, r.high, [r.dim])
-            return bottom_share_by(b, r.low, [r.dim])
+                return top_share_by(b, r.high, [r.dim], cut=w.service_cut(base_name, r.high))
+            return bottom_share_by(b, r.low, [r.dim], cut=w.service_cut(base_name, r.low))
         if r.kind == "mean":
             return mean_report(b, K.SERVICE, [r.dim])
         if r.kind == "extreme_mean":
