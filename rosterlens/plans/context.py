@@ -17,6 +17,7 @@ context builds each lazily and keeps it for the next query:
 
 from __future__ import annotations
 
+import threading
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -129,6 +130,7 @@ class Workforce:
 
 
 _CONTEXTS: dict[tuple[str, str, str, str], Workforce] = {}
+_LOCK = threading.Lock()
 
 
 def workforce(spark: SparkSession, sf_dir: str) -> Workforce:
@@ -137,19 +139,19 @@ def workforce(spark: SparkSession, sf_dir: str) -> Workforce:
     storage = spark.conf.get(STORAGE_CONF, None) or default
     # one context per session: DataFrames are bound to the session that made them
     key = (*session_key(spark), sf_dir.rstrip("/"), storage)
-    ctx = _CONTEXTS.get(key)
-    if ctx is None:
-        panel = panel_from_tables(spark, sf_dir)
-        if storage == "table":
-            panel = materialize_panel(spark, panel, "|".join(key[:3]))
-            ctx = Workforce(panel, storage="table")
-        else:
+    with _LOCK:  # queries may be started from several threads
+        ctx = _CONTEXTS.get(key)
+        if ctx is None:
+            panel = panel_from_tables(spark, sf_dir)
+            if storage == "table":
+                panel = materialize_panel(spark, panel, "|".join(key[:3]))
             ctx = Workforce(panel, storage=storage)
-        _CONTEXTS[key] = ctx
+            _CONTEXTS[key] = ctx
     return ctx
 
 
 def clear_contexts() -> None:
-    for ctx in _CONTEXTS.values():
-        ctx.release()
-    _CONTEXTS.clear()
+    with _LOCK:
+        for ctx in _CONTEXTS.values():
+            ctx.release()
+        _CONTEXTS.clear()
