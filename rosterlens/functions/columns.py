@@ -29,8 +29,16 @@ def parse_mdy_date(text: ColumnOrName) -> Column:
     return F.try_to_date(head, RAW_DATE_FORMAT)
 
 
-def years_between(later: ColumnOrName, earlier: ColumnOrName) -> Column:
-    """Whole years between two dates, unsigned: floor(|days| / 365.25)."""
+def years_between(later: ColumnOrName, earlier: ColumnOrName, calendar: bool = False) -> Column:
+    """Whole years between two dates, unsigned.
+
+    Default: floor(|days| / 365.25), the average-year rule of the studied
+    analysis (2000-03-01 -> 2001-03-01 gives 0). ``calendar=True`` counts
+    completed calendar years instead (that example gives 1).
+    """
+    if calendar:
+        months = F.abs(F.months_between(_col(later), _col(earlier), roundOff=False))
+        return F.floor(months / F.lit(12)).cast("int")
     days = F.abs(F.date_diff(_col(later), _col(earlier)))
     return F.floor(days / F.lit(DAYS_PER_YEAR)).cast("int")
 

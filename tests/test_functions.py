@@ -78,3 +78,13 @@ def test_partition_sizing():
     conf = cluster_settings(3 << 40, 8000)
     assert conf["spark.sql.shuffle.partitions"] == str(3 * 8 * 1024)
     assert conf["spark.rosterlens.panel.storage"] == "table"
+
+
+def test_years_between_calendar_option(spark):
+    rows = [(dt.date(2001, 3, 1), dt.date(2000, 3, 1)), (dt.date(2001, 2, 28), dt.date(2000, 3, 1)),
+            (dt.date(2010, 6, 1), dt.date(1980, 6, 1)), (dt.date(1980, 6, 1), dt.date(2010, 5, 31))]
+    df = spark.createDataFrame(rows, "a date, b date")
+    got = [(r.avg, r.cal) for r in df.select(years_between("a", "b").alias("avg"),
+                                             years_between("a", "b", calendar=True).alias("cal")).collect()]
+    # the last pair is one day short of 30 years: 29 either way
+    assert got == [(0, 1), (0, 0), (29, 30), (29, 29)]
