@@ -34,7 +34,7 @@ AGEGROUP = "agegroup"
 @dataclass(frozen=True)
 class Report:
     key: str            # query key without the _long/_short/_best/_worst suffix
-    kind: str           # summary | share | mean | extreme_mean | under20 | base
+    kind: str           # summary | share | mean | extreme_mean | under20
     dim: str | None = None
     high: float | None = None   # quantile for the "long service" side
     low: float | None = None    # quantile for the "short service" side
