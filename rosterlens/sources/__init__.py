@@ -1,4 +1,4 @@
-"""Sources: derived panel from the order tables, raw CSV, Parquet store."""
+"""Sources: derived panel from the order tables, raw CSV, Parquet panel table."""
 
 from rosterlens.sources.derived import PANEL_COLUMNS, panel_from_frames, panel_from_tables
 from rosterlens.sources.raw_csv import RAW_SCHEMA, check_panel_schema, read_panel_csv, typed_panel

@@ -1,4 +1,4 @@
-"""Parquet panel store.
+"""The panel as a Parquet table.
 
 A panel written here is partitioned by ``STATUS_YEAR``, so a query that
 filters on the year prunes whole directories, and every other filter and
