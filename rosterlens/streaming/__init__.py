@@ -4,7 +4,7 @@ The analyses are batch reports over a whole panel. When the panel grows
 by new snapshot CSV files, this module reads the folder as a file stream
 (same declared schema and cast projection as the batch reader) and appends
 each micro-batch to the panel table; reports then run as batch queries on
-the store. No report is computed in the stream.
+that table. No report is computed in the stream.
 
 Each micro-batch is written with dynamic partition overwrite into its own
 ``ingest_batch`` partition, so a batch replayed after a failure replaces
