@@ -65,7 +65,7 @@ def q2_3_age_fit_grid(w: Workforce) -> DataFrame:
 
 def q2_3_term_mean_age(w: Workforce) -> DataFrame:
     """Mean record age per (termination year, reason, "gender unit"), real reasons only."""
-    rows = w.panel.where(F.col(K.REASON) != K.NO_REASON).select(
+    rows = w.reasoned.select(
         F.year(K.TERM_DATE).alias("year"),
         K.REASON,
         pair_label(K.GENDER, K.BU).alias("BU_gender"),

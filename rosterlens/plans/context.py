@@ -82,6 +82,17 @@ class Workforce:
         """Distinct (termination year, unit, employee, age at termination), action ``termed``."""
         return self.event_ages.where(F.col("action") == K.ACTION_TERMED)
 
+    # -- rows with a real termination reason (Q1-4, Q2-3, Q3) --------------------
+    @cached_property
+    def reasoned(self) -> DataFrame:
+        """Panel rows whose termination reason is a real one.
+
+        Thirteen analyses read only these rows, a small share of the panel
+        (one per terminated employee in the derived panel); keeping them
+        means the panel is scanned for them once.
+        """
+        return self._keep(self.panel.where(F.col(K.REASON) != K.NO_REASON))
+
     # -- service bases (Q5, Q6) ----------------------------------------------
     @cached_property
     def latest(self) -> DataFrame:
@@ -122,7 +133,7 @@ class Workforce:
     def release(self) -> None:
         for df in self.__dict__.get("_cut_tables", {}).values():
             df.unpersist()
-        for name in ("event_ages", "latest"):
+        for name in ("event_ages", "latest", "reasoned"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
         if self.storage == "cache":

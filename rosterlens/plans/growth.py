@@ -89,7 +89,7 @@ def q1_4_reason_type_levels(w: Workforce) -> DataFrame:
 
 def q1_4_reason_by_year(w: Workforce) -> DataFrame:
     """Rows per (reason, status year), real reasons only."""
-    rows = w.panel.where(F.col(K.REASON) != K.NO_REASON)
+    rows = w.reasoned
     counts = rows.groupBy(K.REASON, F.col(K.STATUS_YEAR).alias("year")).agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.col("year").asc_nulls_last(), F.col(K.REASON).asc_nulls_last())
 

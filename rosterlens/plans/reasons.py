@@ -12,7 +12,7 @@ from rosterlens.plans.context import Workforce
 
 
 def _with_reason(w: Workforce) -> DataFrame:
-    return w.panel.where(F.col(K.REASON) != K.NO_REASON)
+    return w.reasoned
 
 
 def q3_1_reason_gender(w: Workforce) -> DataFrame:
