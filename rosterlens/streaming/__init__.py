@@ -23,9 +23,12 @@ from rosterlens.session import checkpoint_root
 from rosterlens.sources.raw_csv import RAW_SCHEMA, typed_panel
 
 INGEST_BATCH = "ingest_batch"
-# snapshot ids of batch b start at b * 2**42 (monotonic ids stay below 2**42
-# for fewer than 512 partitions per batch), so later files sort later
-_BATCH_SHIFT = 1 << 42
+# Snapshot ids of batch b are b * 2**43 + monotonically_increasing_id. That id is
+# (partition index << 33) + row, so it stays below 2**43 when a batch has at most
+# 1024 partitions (larger batches are coalesced, without a shuffle): ids stay
+# unique and increase with the batch for about a million batches.
+_BATCH_SHIFT = 1 << 43
+_MAX_BATCH_PARTITIONS = 1 << 10
 
 
 def snapshot_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -42,6 +45,8 @@ def snapshot_stream(spark: SparkSession, source_dir: str, max_files_per_trigger:
 
 def _append_batch(store_path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
+        if batch.rdd.getNumPartitions() > _MAX_BATCH_PARTITIONS:
+            batch = batch.coalesce(_MAX_BATCH_PARTITIONS)
         typed = typed_panel(batch)
         typed = typed.withColumn(K.SNAPSHOT, F.lit(batch_id) * F.lit(_BATCH_SHIFT) + F.col(K.SNAPSHOT))
         (
