@@ -51,8 +51,11 @@ def main(sf_dir: str) -> None:
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     print("## Panel derivation with automatic broadcasts off (as at 100 TB)\n")
-    print("`nation` is still broadcast after its bounded row check; hot customers (none at this size) would be")
-    print("broadcast, and their orders removed by the broadcast anti-join before the sort-merge join of the rest.\n")
+    print("`nation` is still broadcast after its bounded row check. Orders of non-hot customers are shuffled once")
+    print("(`REPARTITION_BY_COL` on `o_custkey`) and sorted once; one `Window` computes min/max record date and the")
+    print("latest-order `row_number`, and the sort-merge join to the customer row takes that output with no further")
+    print("sort. Hot customers (none at this size) go through broadcast semi joins, a partial `SortAggregate` and a")
+    print("broadcast join; the hot key set is a checkpointed table (`Scan ExistingRDD`).\n")
     print("```\n" + _plan(panel_from_tables(spark, sf_dir)) + "\n```\n")
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
