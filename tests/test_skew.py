@@ -107,3 +107,31 @@ def test_panel_plan_without_auto_broadcast(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_hot_customer_route_under_real_skew(spark, tmp_path):
+    import duckdb
+
+    from rosterlens.operators import sampled_hot_keys
+    from rosterlens.plans.oracle import _PANEL
+    from rosterlens.sources import panel_from_frames
+
+    orders = spark.read.parquet(f"{SF_MID}/orders.parquet")
+    # a third of all orders move to customer 1
+    skewed = orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(1)).otherwise(F.col("o_custkey")))
+    path = str(tmp_path / "orders_skewed.parquet")
+    skewed.write.parquet(path)
+    skewed = spark.read.parquet(path)
+    hot = sampled_hot_keys(skewed, "o_custkey", fraction=0.5, hot_min_rows=2000, max_hot_keys=100)
+    assert [r._hot_key for r in hot.collect()] == [1]
+
+    read = lambda t: spark.read.parquet(f"{SF_MID}/{t}.parquet")
+    panel = panel_from_frames(skewed, read("customer"), read("nation"), hot_min_rows=2000, sample_fraction=0.5)
+    plan = _plan(panel)
+    assert "LeftSemi" in plan and "LeftAnti" in plan
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    for t in ("customer", "nation"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_MID}/{t}.parquet')")
+    rel = con.sql(f"WITH {_PANEL.strip()} SELECT * FROM panel")
+    assert _rows(panel.columns, [tuple(r) for r in panel.collect()]) == _rows(rel.columns, rel.fetchall())
