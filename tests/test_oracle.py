@@ -80,3 +80,25 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["year", "hired", "termed", "total"]
     assert df.count() > 0
+
+
+def test_single_partition_exchanges_only_follow_aggregates(spark):
+    """No raw rows are funnelled into one task: every SinglePartition exchange
+    sits (through projections and filters) on an aggregate's output."""
+    import re
+
+    from rosterlens.plans import ANALYSES, workforce
+    from rosterlens.sources import panel_from_tables
+
+    w = workforce(spark, SF_SMALL)
+    steps = dict(ANALYSES, panel=lambda _: panel_from_tables(spark, SF_SMALL))
+    for key, build in steps.items():
+        lines = build(w)._jdf.queryExecution().executedPlan().toString().splitlines()
+        for i, line in enumerate(lines):
+            if "Exchange SinglePartition" not in line:
+                continue
+            j = i + 1
+            while re.match(r"^[\s:+-]*(\*\(\d+\) )?(Project|Filter)\b", lines[j]):
+                j += 1
+            node = lines[j].strip(" :+-")
+            assert re.match(r"(\*\(\d+\) )?(HashAggregate|ObjectHashAggregate|SortAggregate)", node), (key, node)
