@@ -60,6 +60,8 @@ def read_panel_csv(spark: SparkSession, path: str) -> DataFrame:
     raw = (
         spark.read.schema(RAW_SCHEMA)
         .option("header", True)
+        # check the header against the declared columns instead of trusting positions
+        .option("enforceSchema", False)
         .option("nullValue", K.RAW_NULL_TEXT)
         .option("mode", "PERMISSIVE")
         .csv(path)

@@ -36,6 +36,7 @@ def snapshot_stream(spark: SparkSession, source_dir: str, max_files_per_trigger:
     reader = (
         spark.readStream.schema(RAW_SCHEMA)
         .option("header", True)
+        .option("enforceSchema", False)
         .option("nullValue", K.RAW_NULL_TEXT)
     )
     if max_files_per_trigger:

@@ -65,3 +65,13 @@ def test_panel_dates_do_not_depend_on_session_time_zone(spark):
         spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "true")
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert base == other
+
+
+def test_read_panel_csv_rejects_reordered_header(spark, tmp_path):
+    lines = CSV.strip().splitlines()
+    cols = lines[0].split(",")
+    cols[5], cols[6] = cols[6], cols[5]  # age <-> length_of_service in the header only
+    path = tmp_path / "bad.csv"
+    path.write_text("\n".join([",".join(cols)] + lines[1:]) + "\n")
+    with pytest.raises(Exception, match="(?i)header|schema"):
+        read_panel_csv(spark, str(path)).collect()
