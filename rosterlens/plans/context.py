@@ -17,6 +17,7 @@ context builds each lazily and keeps it for the next query:
 
 from __future__ import annotations
 
+import math
 import threading
 from functools import cached_property
 
@@ -31,6 +32,7 @@ from rosterlens.session import master_of, session_key
 from rosterlens.sources import materialize_panel, panel_from_tables
 
 STORAGE_CONF = "spark.rosterlens.panel.storage"
+ROWS_PER_BASE_PARTITION = 1_000_000
 # quantiles of service the Q5/Q6 reports cut at (fixed values of the studied analysis)
 SERVICE_QUANTILES = (0.01, 0.1, 0.9, 0.99)
 
@@ -43,8 +45,22 @@ class Workforce:
         # A written table is already cheap to re-read; only a computed panel is persisted.
         self.panel = panel.persist(StorageLevel.MEMORY_AND_DISK) if storage == "cache" else panel
 
+    @cached_property
+    def _base_partitions(self) -> int:
+        """Partitions for the persisted derived bases: about one per million panel rows.
+
+        A cached plan keeps its output partitioning (AQE does not coalesce the
+        final stage of a plan that is cached), so without this a small panel in
+        a session with many shuffle partitions would persist each base as
+        hundreds of near-empty blocks. Never more than the shuffle partitions.
+        """
+        shuffle = int(self.panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return max(1, min(shuffle, math.ceil(self.panel.count() / ROWS_PER_BASE_PARTITION)))
+
     def _keep(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.storage != "none" else df
+        if self.storage == "none":
+            return df
+        return df.coalesce(self._base_partitions).persist(StorageLevel.MEMORY_AND_DISK)
 
     # -- event ages (Q2) ------------------------------------------------------
     @cached_property
