@@ -75,3 +75,14 @@ def test_read_panel_csv_rejects_reordered_header(spark, tmp_path):
     path.write_text("\n".join([",".join(cols)] + lines[1:]) + "\n")
     with pytest.raises(Exception, match="(?i)header|schema"):
         read_panel_csv(spark, str(path)).collect()
+
+
+def test_cli_writes_selected_reports(spark, tmp_path):
+    from rosterlens.__main__ import main
+
+    out = str(tmp_path / "reports")
+    assert main(["--sf-dir", SF_SMALL, "--out", out, "q0_*", "q1_1_flow"]) == 0
+    flow = spark.read.parquet(f"{out}/q1_1_flow")
+    assert sorted(flow.columns) == ["hired", "termed", "total", "year"] and flow.count() == 7
+    assert spark.read.parquet(f"{out}/q0_id_gap").count() == 1
+    assert main(["--sf-dir", SF_SMALL, "no_such_key"]) == 2
