@@ -1,7 +1,16 @@
 """Table operators: flows, picks, thresholds, statistics, reshape."""
 
 from rosterlens.operators.joins import broadcast_if_small, sampled_hot_keys, split_by_keys
-from rosterlens.operators.flows import flow_by, hires_by, outer_merge, running_total, terms_by, to_long
+from rosterlens.operators.flows import (
+    flow_by,
+    flow_events,
+    flow_from_events,
+    hires_by,
+    outer_merge,
+    running_total,
+    terms_by,
+    to_long,
+)
 from rosterlens.operators.picks import earliest_snapshot, extreme_member_per, first_row_per, latest_snapshot
 from rosterlens.operators.reshape import pivot_wide
 from rosterlens.operators.stats import (
@@ -41,6 +50,8 @@ __all__ = [
     "first_row_per",
     "fit_grid",
     "flow_by",
+    "flow_events",
+    "flow_from_events",
     "group_mean",
     "hires_by",
 

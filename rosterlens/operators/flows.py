@@ -6,8 +6,9 @@ the first shuffle and a partial count before the second, so no group —
 however hot — is gathered in one task.
 
 ``flow_by`` computes hires and terminations in one pass: every row yields
-its hire event and, when real, its termination event; one distinct over
-(year, dims, employee, action) and one grouped conditional count follow.
+its hire event and, when real, its termination event (``flow_events``);
+one distinct over (year, dims, employee, action) and one grouped
+conditional count follow (``flow_from_events``).
 That equals merging the two separate counts with a NULL-matching full
 outer join and filling gaps with 0 (``outer_merge``), without the second
 scan and the join.
@@ -76,14 +77,14 @@ def outer_merge(left: DataFrame, right: DataFrame, keys: list[str], fill: int |
     )
 
 
-def flow_by(
+def flow_events(
     panel: DataFrame,
     dims: list[str] | tuple[str, ...] = (),
     hire_col: str = K.HIRE_DATE,
     term_col: str = K.TERM_DATE,
     id_col: str = K.ID,
 ) -> DataFrame:
-    """year, *dims, hired, termed: distinct employees hired / terminated per year (0 when none)."""
+    """Distinct (year, action, employee, *dims) events: each row's hire and, when real, its termination."""
     events = F.inline(
         F.array(
             F.struct(F.lit(K.ACTION_HIRED).alias("action"), F.year(hire_col).alias("year")),
@@ -93,15 +94,28 @@ def flow_by(
             ),
         )
     )
+    rows = panel.select(*dims, id_col, events).where((F.col("action") == K.ACTION_HIRED) | F.col("year").isNotNull())
+    return rows.select("year", "action", id_col, *dims).distinct()
+
+
+def flow_from_events(
+    events: DataFrame, dims: list[str] | tuple[str, ...] = (), id_col: str = K.ID
+) -> DataFrame:
+    """year, *dims, hired, termed from a :func:`flow_events` table (which may carry more dims)."""
     hired = F.col("action") == K.ACTION_HIRED
-    rows = panel.select(*dims, id_col, events).where(hired | F.col("year").isNotNull())
     return (
-        rows.distinct()
+        events.select("year", "action", id_col, *dims)
+        .distinct()
         .groupBy("year", *dims)
         .agg(F.count_if(hired).alias("hired"), F.count_if(~hired).alias("termed"))
     )
 
 
+def flow_by(panel: DataFrame, dims: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """year, *dims, hired, termed: distinct employees hired / terminated per year (0 when none)."""
+    return flow_from_events(flow_events(panel, dims), dims)
+
+
 def running_total(df: DataFrame, delta: Column, order: str = "year", out: str = "total") -> DataFrame:
     """Cumulative sum of ``delta`` in ``order`` (NULL last).
 
