@@ -72,16 +72,17 @@ def box_stats(
     high_fence = F.col("q3") + F.lit(coef) * iqr
     inside = (F.col(value) >= low_fence) & (F.col(value) <= high_fence)
     v = F.col(value).cast("double")
+    # q1 ... max are the group's own statistics, equal on every row of the group
     out = j.groupBy(*by).agg(
-        _r(F.first("q1")).alias("q1"),
-        _r(F.first("median")).alias("median"),
-        _r(F.first("q3")).alias("q3"),
-        _r(F.least(F.first("q1"), F.min(F.when(inside, v)))).alias("lo"),
-        _r(F.greatest(F.first("q3"), F.max(F.when(inside, v)))).alias("hi"),
+        _r(F.max("q1")).alias("q1"),
+        _r(F.max("median")).alias("median"),
+        _r(F.max("q3")).alias("q3"),
+        _r(F.least(F.max("q1"), F.min(F.when(inside, v)))).alias("lo"),
+        _r(F.greatest(F.max("q3"), F.max(F.when(inside, v)))).alias("hi"),
         F.sum(F.when(inside, F.lit(0)).otherwise(F.col("_c"))).alias("n_out"),
-        _r(F.first("mean")).alias("mean"),
-        F.first("min").alias("min"),
-        F.first("max").alias("max"),
+        _r(F.max("mean")).alias("mean"),
+        F.max("min").alias("min"),
+        F.max("max").alias("max"),
     )
     return out if with_range else out.drop("min", "max")
 
