@@ -108,3 +108,59 @@ def test_catalog_does_not_depend_on_input_order(spark):
     finally:
         a.release()
         b.release()
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.none(), st.integers(min_value=10, max_value=95)), min_size=1, max_size=50))
+def test_six_number_matches_numpy(spark, ages):
+    from rosterlens.operators import six_number
+
+    df = spark.createDataFrame([(a,) for a in ages], "age int")
+    r = six_number(df, "age").first()
+    v = np.array([a for a in ages if a is not None], dtype=float)
+    assert r.age_nas == sum(a is None for a in ages)
+    if len(v) == 0:
+        assert r.age_min is None and r.age_mean is None
+        return
+    q1, md, q3 = np.quantile(v, [0.25, 0.5, 0.75], method="linear")
+    assert (r.age_min, r.age_max) == (v.min(), v.max())
+    assert (r.age_q1, r.age_median, r.age_q3) == pytest.approx((q1, md, q3))
+    assert r.age_mean == pytest.approx(v.mean())
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["Layoff", "Resignation"]), st.sampled_from(["D1", "D2", "D3", None]),
+                          st.integers(min_value=1, max_value=5)), min_size=1, max_size=20))
+def test_extreme_member_matches_pandas(spark, rows):
+    from rosterlens.operators import extreme_member_per
+
+    frame = pd.DataFrame(rows, columns=["termreason_desc", "department_name", "n"]).drop_duplicates(
+        ["termreason_desc", "department_name"])
+    df = spark.createDataFrame(list(frame.itertuples(index=False, name=None)),
+                               "termreason_desc string, department_name string, n long")
+    for largest in (True, False):
+        got = {r.termreason_desc: (r.department_name, r.n)
+               for r in extreme_member_per(df, K.REASON, K.DEPT, largest=largest).collect()}
+        want = {}
+        for reason, g in frame.groupby("termreason_desc"):
+            # ties go to the member that sorts first, NULL last
+            g = g.assign(_null=g.department_name.isna(), _name=g.department_name.fillna(""))
+            g = g.sort_values(["n", "_null", "_name"], ascending=[not largest, True, True])
+            first = g.iloc[0]
+            want[reason] = (None if first._null else first.department_name, int(first.n))
+        assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["F", "M"]), st.sampled_from(["J1", "J2", "J3"])), min_size=1, max_size=30))
+def test_gender_pivot_matches_counts(spark, rows):
+    from rosterlens.operators import count_by, pivot_wide
+
+    df = spark.createDataFrame(rows, "gender_short string, job_title string")
+    wide = pivot_wide(count_by(df, [K.GENDER, K.JOB]), [K.JOB], K.GENDER, K.GENDER_COLUMNS, "n")
+    got = {r.job_title: (r.Female, r.Male) for r in wide.collect()}
+    want = {}
+    for g, j in rows:
+        f, m = want.get(j, (0, 0))
+        want[j] = (f + (g == "F"), m + (g == "M"))
+    assert got == want

@@ -135,3 +135,20 @@ def test_hot_customer_route_under_real_skew(spark, tmp_path):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_MID}/{t}.parquet')")
     rel = con.sql(f"WITH {_PANEL.strip()} SELECT * FROM panel")
     assert _rows(panel.columns, [tuple(r) for r in panel.collect()]) == _rows(rel.columns, rel.fetchall())
+
+
+def test_broadcast_if_small_checks_the_size(spark):
+    from rosterlens.operators import broadcast_if_small
+
+    small = spark.range(5).withColumnRenamed("id", "k")
+    big = spark.range(100).withColumnRenamed("id", "k")
+    fact = spark.range(1000).withColumnRenamed("id", "k")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in _plan(fact.join(broadcast_if_small(small, 10), "k"))
+        assert "BroadcastHashJoin" not in _plan(fact.join(broadcast_if_small(big, 10), "k"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
