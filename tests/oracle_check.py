@@ -42,9 +42,8 @@ def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        if math.isnan(v):
-            return "NaN"
-        return round(v, 9)
+        # exact: the Spark and DuckDB results agree to the last bit (and in the sign of zero)
+        return "NaN" if math.isnan(v) else repr(v)
     if isinstance(v, (dt.date, dt.datetime)):
         return v.isoformat()
     if isinstance(v, bool):
