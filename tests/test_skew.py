@@ -1,6 +1,8 @@
 """A hot key holding a third of all rows: results stay exact and the heavy
 steps reduce rows map-side before the shuffle."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +154,21 @@ def test_broadcast_if_small_checks_the_size(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_order_rows_are_shuffled_and_sorted_once(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = re.sub(r"#\d+L?", "", _plan(panel_from_tables(spark, SF_MID))).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    # one repartition of the (cold) order rows by customer ...
+    assert sum("REPARTITION_BY_COL" in line for line in lines) == 1
+    # ... whose sorted output feeds the helper window and then the customer join directly
+    join = next(i for i, line in enumerate(lines) if "SortMergeJoin" in line and "[o_custkey], [c_custkey]" in line)
+    left = [line.strip(" :+-") for line in lines[join + 1: join + 5]]
+    assert left[0].startswith("Project") and left[1].startswith("Window")
+    assert left[2].startswith("Sort") and left[3].startswith("Exchange") and "REPARTITION_BY_COL" in left[3]
