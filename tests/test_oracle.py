@@ -102,3 +102,14 @@ def test_single_partition_exchanges_only_follow_aggregates(spark):
                 j += 1
             node = lines[j].strip(" :+-")
             assert re.match(r"(\*\(\d+\) )?(HashAggregate|ObjectHashAggregate|SortAggregate)", node), (key, node)
+
+
+def test_per_group_thresholds_read_their_aggregate_once(spark):
+    """Top-20% and best/worst-mean reports cut with a window over the per-group
+    table, so the aggregate is not computed a second time in a subquery."""
+    from rosterlens.plans import ANALYSES, workforce
+
+    w = workforce(spark, SF_SMALL)
+    for key in ("q4_1_top20_job", "q4_4_top20_job_gender", "q5_7_mean_city_best", "q6_13_mean_store_worst"):
+        plan = ANALYSES[key](w)._jdf.queryExecution().executedPlan().toString()
+        assert "Window [percentile" in plan and "Subquery" not in plan, key
