@@ -113,3 +113,18 @@ def test_per_group_thresholds_read_their_aggregate_once(spark):
     for key in ("q4_1_top20_job", "q4_4_top20_job_gender", "q5_7_mean_city_best", "q6_13_mean_store_worst"):
         plan = ANALYSES[key](w)._jdf.queryExecution().executedPlan().toString()
         assert "Window [percentile" in plan and "Subquery" not in plan, key
+
+
+def test_service_reports_take_cut_offs_from_the_persisted_row(spark):
+    """Q5/Q6 share and summary reports read their cut-off from the persisted
+    one-row table of a base's quantiles, not from a new pass over the base."""
+    from rosterlens.plans import ANALYSES, workforce
+
+    w = workforce(spark, SF_SMALL)
+    for key in ("q5_2_gender_long", "q5_1_age_summary_short", "q6_6_city_long", "q6_15_agegroup_short"):
+        lines = ANALYSES[key](w)._jdf.queryExecution().executedPlan().toString().splitlines()
+        subqueries = [i for i, line in enumerate(lines) if "Subquery subquery" in line]
+        assert subqueries, key
+        for i in subqueries:
+            first_scan = next(line for line in lines[i + 1:] if "Scan" in line or "Aggregate" in line)
+            assert "InMemoryTableScan [q" in first_scan, (key, first_scan)
