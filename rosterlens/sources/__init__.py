@@ -1,12 +1,13 @@
 """Sources: derived panel from the order tables, raw CSV, Parquet panel table."""
 
 from rosterlens.sources.derived import PANEL_COLUMNS, panel_from_frames, panel_from_tables
-from rosterlens.sources.raw_csv import RAW_SCHEMA, check_panel_schema, read_panel_csv, typed_panel
+from rosterlens.sources.raw_csv import RAW_SCHEMA, check_employee_ids, check_panel_schema, read_panel_csv, typed_panel
 from rosterlens.sources.store import materialize_panel, read_panel, write_panel
 
 __all__ = [
     "PANEL_COLUMNS",
     "RAW_SCHEMA",
+    "check_employee_ids",
     "check_panel_schema",
     "materialize_panel",
     "panel_from_frames",

@@ -55,8 +55,22 @@ def typed_panel(raw: DataFrame) -> DataFrame:
     return raw.select(F.monotonically_increasing_id().alias(K.SNAPSHOT), *cols)
 
 
-def read_panel_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Read the raw employee CSV (one file, a directory or a glob)."""
+def check_employee_ids(df: DataFrame) -> None:
+    """Fail if any row has no ``EmployeeID``.
+
+    Distinct-employee counts skip a missing id where the studied analysis
+    counted it as one more value; a panel is therefore rejected at the
+    boundary instead. The check stops at the first such row.
+    """
+    if df.where(F.col(K.ID).isNull()).limit(1).count():
+        raise ValueError(f"panel has rows without {K.ID}")
+
+
+def read_panel_csv(spark: SparkSession, path: str, check_ids: bool = False) -> DataFrame:
+    """Read the raw employee CSV (one file, a directory or a glob).
+
+    ``check_ids`` runs :func:`check_employee_ids` on the result.
+    """
     raw = (
         spark.read.schema(RAW_SCHEMA)
         .option("header", True)
@@ -66,7 +80,10 @@ def read_panel_csv(spark: SparkSession, path: str) -> DataFrame:
         .option("mode", "PERMISSIVE")
         .csv(path)
     )
-    return typed_panel(raw)
+    panel = typed_panel(raw)
+    if check_ids:
+        check_employee_ids(panel)
+    return panel
 
 
 def check_panel_schema(df: DataFrame, expected: T.StructType | None = None) -> None:

@@ -86,3 +86,12 @@ def test_cli_writes_selected_reports(spark, tmp_path):
     assert sorted(flow.columns) == ["hired", "termed", "total", "year"] and flow.count() == 7
     assert spark.read.parquet(f"{out}/q0_id_gap").count() == 1
     assert main(["--sf-dir", SF_SMALL, "no_such_key"]) == 2
+
+
+def test_missing_employee_ids_are_rejected(spark, tmp_path):
+    lines = CSV.strip().splitlines()
+    path = tmp_path / "ids.csv"
+    path.write_text("\n".join(lines[:2] + ["NA" + lines[3][len("1319"):]]) + "\n")
+    assert read_panel_csv(spark, str(path)).count() == 2
+    with pytest.raises(ValueError, match="EmployeeID"):
+        read_panel_csv(spark, str(path), check_ids=True)
