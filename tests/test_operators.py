@@ -195,3 +195,23 @@ def test_one_pass_flow_equals_outer_merge_of_counts(spark, dims):
     one_pass = flow_by(p, dims)
     assert merged.columns == one_pass.columns
     assert sorted(map(repr, merged.collect())) == sorted(map(repr, one_pass.collect()))
+
+
+def test_age_95_band_is_counted_but_not_averaged(spark):
+    """FIXTURES §5: the NULL band of an age >= 90 stays in band counts and leaves band means."""
+    from rosterlens.plans import ANALYSES, Workforce
+
+    rows = [
+        row(1, 10, D(2001, 1, 1), D(1995, 1, 1), term=D(2001, 1, 1), age=95, los=6,
+            reason="Retirement", status=K.STATUS_TERMINATED),
+        row(2, 11, D(2001, 1, 1), D(1999, 1, 1), term=D(2001, 1, 1), age=45, los=2,
+            reason="Layoff", status=K.STATUS_TERMINATED),
+        row(3, 12, D(2001, 1, 1), D(2000, 1, 1), term=D(2001, 1, 1), age=19, los=1,
+            reason="Layoff", status=K.STATUS_TERMINATED),
+    ]
+    w = Workforce(panel(spark, rows), storage="none")
+    counts = {r.agegroup: r.n for r in ANALYSES["q5_16_agegroup_long"](w).collect()}
+    means = {r.agegroup: r.service for r in ANALYSES["q5_17_mean_agegroup"](w).collect()}
+    assert None in counts                      # P90 of service (5.2) keeps only the 95-year-old
+    assert None not in means and means == {"40-49": 2.0, "<20": 1.0}
+    assert [r.termreason_desc for r in ANALYSES["q5_18_under20"](w).collect()] == ["Layoff"]
