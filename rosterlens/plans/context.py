@@ -146,6 +146,15 @@ class Workforce:
         """
         return self._cuts(base).select(F.col("q")[SERVICE_QUANTILES.index(p)]).scalar()
 
+    def warm(self) -> int:
+        """Build and persist every shared base now; returns the panel row count."""
+        rows = self.panel.count()
+        for base in (self.latest, self.event_ages, self.reasoned):
+            base.count()
+        for name in ("terminated", "active"):
+            self._cuts(name).count()
+        return rows
+
     def release(self) -> None:
         for df in self.__dict__.get("_cut_tables", {}).values():
             df.unpersist()
