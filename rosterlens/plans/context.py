@@ -1,8 +1,10 @@
 """Shared bases of the analyses, built once per (session, data folder).
 
 Several analyses read the same derived tables: the snapshot panel, the
-hire/termination event ages, and the latest snapshot per employee. The
-context builds each lazily and keeps it for the next query:
+hire/termination event ages, the latest snapshot per employee, the rows
+with a real termination reason, and the service cut-offs of the
+terminated and active bases. The context builds each lazily (or all at
+once with ``warm()``) and keeps it for the next query:
 
 * ``spark.rosterlens.panel.storage`` = ``cache`` persists the panel with
   MEMORY_AND_DISK (a lost block is recomputed from lineage); ``table``
@@ -11,8 +13,10 @@ context builds each lazily and keeps it for the next query:
   file; scans then prune columns and push filters); ``none`` recomputes
   per query. Unset, it is ``cache`` on a ``local[...]`` master and
   ``table`` on a cluster, where the panel is as large as ``orders``.
-* the event-age and latest-snapshot tables are persisted the same way
-  unless the mode is ``none``.
+* the derived tables are persisted (MEMORY_AND_DISK) unless the mode is
+  ``none``, with about one partition per million panel rows, capped at the
+  shuffle partitions: a cached plan keeps its output partitioning, so this
+  is where its size is chosen.
 """
 
 from __future__ import annotations
