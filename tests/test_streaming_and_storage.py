@@ -50,3 +50,14 @@ def test_storage_modes_give_same_results(spark, mode):
         spark.conf.unset(STORAGE_CONF)
         clear_contexts()
     assert base == other
+
+
+def test_warm_persists_and_release_unpersists_every_base(spark):
+    from rosterlens.plans import Workforce
+
+    w = Workforce(panel_from_tables(spark, SF_SMALL))
+    assert w.warm() == 1289
+    bases = [w.panel, w.latest, w.event_ages, w.reasoned, *w.__dict__["_cut_tables"].values()]
+    assert len(bases) == 6 and all(b.storageLevel.useDisk and b.storageLevel.useMemory for b in bases)
+    w.release()
+    assert all(not b.storageLevel.useMemory and not b.storageLevel.useDisk for b in bases)
