@@ -133,9 +133,11 @@ def share_of_total(df: DataFrame, value: str, out: str = "share") -> DataFrame:
     """``value / sum(value)`` over a per-group table (one row per slice).
 
     The total is a window sum over the table itself, so the aggregate that
-    produced it is read once; the table has one row per group.
+    produced it is read once; the table has one row per group. A zero total
+    gives NULL shares.
     """
-    return df.withColumn(out, F.col(value) / F.sum(value).over(Window.partitionBy()))
+    total = F.sum(value).over(Window.partitionBy())
+    return df.withColumn(out, F.try_divide(F.col(value).cast("double"), total.cast("double")))
 
 
 def id_gap(df: DataFrame, id_col: str = K.ID) -> DataFrame:

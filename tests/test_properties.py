@@ -164,3 +164,39 @@ def test_gender_pivot_matches_counts(spark, rows):
         f, m = want.get(j, (0, 0))
         want[j] = (f + (g == "F"), m + (g == "M"))
     assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["a", "b"]), st.integers(min_value=1995, max_value=2005),
+                          st.integers(min_value=15, max_value=80)), min_size=1, max_size=40))
+def test_linear_fit_matches_numpy(spark, rows):
+    from rosterlens.operators import linear_fit
+
+    df = spark.createDataFrame(rows, "k string, year int, age int")
+    got = {r.k: r for r in linear_fit(df, "year", "age", ["k"]).collect()}
+    for k in {r[0] for r in rows}:
+        x = np.array([r[1] for r in rows if r[0] == k], dtype=float)
+        y = np.array([r[2] for r in rows if r[0] == k], dtype=float)
+        r = got[k]
+        assert r.n == len(x)
+        if len(x) < 2 or np.all(x == x[0]):
+            assert r.slope is None and r.intercept is None  # undefined fit
+            continue
+        slope, intercept = np.polyfit(x, y, 1)
+        assert r.slope == pytest.approx(slope, rel=1e-6, abs=1e-9)
+        assert r.intercept == pytest.approx(intercept, rel=1e-6, abs=1e-6)
+
+
+@SETTINGS
+@given(st.lists(st.integers(min_value=0, max_value=1000), min_size=1, max_size=20))
+def test_shares_sum_to_one_and_match_division(spark, counts):
+    from rosterlens.operators import share_of_total
+
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(counts)], "k int, n long")
+    got = {r.k: r.share for r in share_of_total(df, "n").collect()}
+    total = sum(counts)
+    for i, c in enumerate(counts):
+        if total == 0:
+            assert got[i] is None or np.isnan(got[i])
+        else:
+            assert got[i] == c / total
