@@ -118,7 +118,7 @@ def fit_grid(fit: DataFrame, by: list[str], x_from: Column, x_to: Column, x_name
         F.explode(F.sequence(x_from.cast("int"), x_to.cast("int"))).alias(x_name),
     )
     sse = F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")
-    sigma = F.sqrt(F.greatest(sse, F.lit(0.0)) / (F.col("n") - 2))
+    sigma = F.sqrt(F.try_divide(F.greatest(sse, F.lit(0.0)), (F.col("n") - 2).cast("double")))
     se = sigma * F.sqrt(1.0 / F.col("n") + F.pow(F.col(x_name) - F.col("avgx"), 2) / F.col("sxx"))
     return grid.select(
         *by,

@@ -215,3 +215,14 @@ def test_age_95_band_is_counted_but_not_averaged(spark):
     assert None in counts                      # P90 of service (5.2) keeps only the 95-year-old
     assert None not in means and means == {"40-49": 2.0, "<20": 1.0}
     assert [r.termreason_desc for r in ANALYSES["q5_18_under20"](w).collect()] == ["Layoff"]
+
+
+def test_fit_grid_two_points_has_fit_but_no_standard_error(spark):
+    from rosterlens.operators import fit_grid
+
+    df = spark.createDataFrame([("a", 2000, 30), ("a", 2001, 32), ("b", 2000, 40), ("b", 2001, 41), ("b", 2002, 45)],
+                               "k string, year int, age int")
+    grid = fit_grid(linear_fit(df, "year", "age", ["k"]), ["k"], F.lit(2000), F.lit(2002), "year")
+    got = {(r.k, r.year): (r.fit, r.se_fit) for r in grid.collect()}
+    assert got[("a", 2002)] == (pytest.approx(34.0), None)          # two points: line, no error band
+    assert got[("b", 2001)][0] == pytest.approx(42.0) and got[("b", 2001)][1] == pytest.approx(0.5 ** 0.5)
