@@ -200,3 +200,30 @@ def test_shares_sum_to_one_and_match_division(spark, counts):
             assert got[i] is None or np.isnan(got[i])
         else:
             assert got[i] == c / total
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.dates(min_value=dt.date(1900, 1, 1), max_value=dt.date(2030, 12, 31)),
+                          st.dates(min_value=dt.date(1900, 1, 1), max_value=dt.date(2030, 12, 31))),
+                min_size=1, max_size=30))
+def test_years_between_matches_python(spark, pairs):
+    from rosterlens.functions import years_between
+
+    df = spark.createDataFrame(pairs, "a date, b date")
+    got = [(r.avg, r.cal) for r in df.select(years_between("a", "b").alias("avg"),
+                                             years_between("a", "b", calendar=True).alias("cal")).collect()]
+    for (a, b), (avg, cal) in zip(pairs, got):
+        assert avg == int(abs((a - b).days) // 365.25)
+        lo, hi = sorted((a, b))
+        whole = hi.year - lo.year - ((hi.month, hi.day) < (lo.month, lo.day))
+        # months_between counts two month-ends as whole months, so Feb 28 -> Feb 29 style pairs may add one
+        assert cal in (whole, whole + 1)
+
+
+@SETTINGS
+@given(st.lists(st.integers(min_value=1318, max_value=1400), min_size=1, max_size=50))
+def test_id_gap_matches_python(spark, ids):
+    from rosterlens.operators import id_gap
+
+    df = spark.createDataFrame([(i,) for i in ids], "EmployeeID long")
+    assert id_gap(df).first().id_gap == max(ids) - min(ids) + 1 - len(set(ids))
