@@ -227,3 +227,46 @@ def test_id_gap_matches_python(spark, ids):
 
     df = spark.createDataFrame([(i,) for i in ids], "EmployeeID long")
     assert id_gap(df).first().id_gap == max(ids) - min(ids) + 1 - len(set(ids))
+
+
+def _maybe(strategy):
+    return st.one_of(st.none(), strategy)
+
+
+panel_rows = st.lists(
+    st.tuples(
+        st.integers(min_value=1, max_value=6),                                              # employee
+        _maybe(st.dates(min_value=dt.date(1990, 1, 1), max_value=dt.date(2010, 12, 31))),  # record
+        _maybe(st.dates(min_value=dt.date(1930, 1, 1), max_value=dt.date(1995, 12, 31))),  # birth
+        _maybe(st.dates(min_value=dt.date(1990, 1, 1), max_value=dt.date(2010, 12, 31))),  # hire
+        _maybe(st.sampled_from([dt.date(1900, 1, 1), dt.date(2004, 5, 1), dt.date(2009, 2, 1)])),
+        _maybe(st.integers(min_value=0, max_value=99)),                                     # age
+        _maybe(st.integers(min_value=0, max_value=8)),                                      # service
+        _maybe(st.sampled_from(["C1", "C2"])),
+        _maybe(st.sampled_from(["D1", "D2"])),
+        _maybe(st.sampled_from(["J1", "J2", "J3"])),
+        _maybe(st.integers(min_value=1, max_value=3)),                                      # store
+        _maybe(st.sampled_from(["F", "M"])),
+        _maybe(st.sampled_from(["Layoff", "Resignation", "Not Applicable"])),
+        st.sampled_from(["ACTIVE", "TERMINATED"]),
+        _maybe(st.sampled_from(["HEADOFFICE", "STORES"])),
+    ),
+    min_size=1,
+    max_size=25,
+)
+
+
+@settings(max_examples=2, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(panel_rows)
+def test_every_analysis_runs_on_sparse_random_panels(spark, rows):
+    """NULL-heavy panels: every registered analysis runs without a runtime error."""
+    from test_operators import PANEL_DDL
+
+    data = [
+        (i, e, rec, birth, hire, term, age, los, city, dept, job, store, g,
+         {"F": "Female", "M": "Male"}.get(g), reason, "Not Applicable", rec.year if rec else None, status, bu)
+        for i, (e, rec, birth, hire, term, age, los, city, dept, job, store, g, reason, status, bu) in enumerate(rows)
+    ]
+    w = Workforce(spark.createDataFrame(data, PANEL_DDL), storage="none")
+    for key, build in ANALYSES.items():
+        build(w).collect()
