@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rosterlens import constants as K
 
@@ -87,23 +88,68 @@ def box_stats(
     return out if with_range else out.drop("min", "max")
 
 
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
 def linear_fit(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Least-squares line ``y ~ x`` per group.
 
     slope/intercept/r2 are NULL when the fit is undefined (fewer than two
-    points or a constant ``x``). The sums ``sxx``/``syy``/``sxy`` and means
-    are kept so a caller can compute standard errors.
+    points or a constant ``x``). ``sxx``/``syy``/``sxy`` (sums of centred
+    squares and products) and ``avgx`` are kept for standard errors.
+
+    For integer columns the fit comes from exact sums (n, Σx, Σy, Σx², Σy²,
+    Σxy as 38-digit decimals), followed by a few double operations in a
+    fixed order. Any engine that follows the same steps gets the same
+    bits, whatever its partitioning or summation order. Other column
+    types use the ``regr_*`` aggregates.
     """
-    ok = F.col(x).isNotNull() & F.col(y).isNotNull()
-    return df.where(ok).groupBy(*by).agg(
-        F.regr_count(y, x).alias("n"),
-        F.regr_slope(y, x).alias("slope"),
-        F.regr_intercept(y, x).alias("intercept"),
-        F.regr_r2(y, x).alias("r2"),
-        F.regr_sxx(y, x).alias("sxx"),
-        F.regr_syy(y, x).alias("syy"),
-        F.regr_sxy(y, x).alias("sxy"),
-        F.regr_avgx(y, x).alias("avgx"),
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    types = dict((f.name, f.dataType) for f in df.schema.fields)
+    if not (isinstance(types[x], _INTEGRAL) and isinstance(types[y], _INTEGRAL)):
+        return rows.groupBy(*by).agg(
+            F.regr_count(y, x).alias("n"),
+            F.regr_slope(y, x).alias("slope"),
+            F.regr_intercept(y, x).alias("intercept"),
+            F.regr_r2(y, x).alias("r2"),
+            F.regr_sxx(y, x).alias("sxx"),
+            F.regr_syy(y, x).alias("syy"),
+            F.regr_sxy(y, x).alias("sxy"),
+            F.regr_avgx(y, x).alias("avgx"),
+        )
+    dec = T.DecimalType(38, 0)
+    xs, ys = F.col(x).cast(dec), F.col(y).cast(dec)
+    sums = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(xs).alias("_sx"),
+        F.sum(ys).alias("_sy"),
+        F.sum(xs * xs).alias("_sxx"),
+        F.sum(ys * ys).alias("_syy"),
+        F.sum(xs * ys).alias("_sxy"),
+    )
+    n = F.col("n").cast(dec)
+    centred = sums.select(
+        *by,
+        "n",
+        (n * F.col("_sxx") - F.col("_sx") * F.col("_sx")).cast("double").alias("_Sxx"),
+        (n * F.col("_syy") - F.col("_sy") * F.col("_sy")).cast("double").alias("_Syy"),
+        (n * F.col("_sxy") - F.col("_sx") * F.col("_sy")).cast("double").alias("_Sxy"),
+        F.col("_sx").cast("double").alias("_sxd"),
+        F.col("_sy").cast("double").alias("_syd"),
+    )
+    defined = (F.col("n") > 1) & (F.col("_Sxx") > 0)
+    slope = F.col("_Sxy") / F.col("_Sxx")
+    r2 = F.when(F.col("_Syy") == 0, F.lit(1.0)).otherwise(F.col("_Sxy") * F.col("_Sxy") / (F.col("_Sxx") * F.col("_Syy")))
+    return centred.select(
+        *by,
+        "n",
+        F.when(defined, slope).alias("slope"),
+        F.when(defined, (F.col("_syd") - slope * F.col("_sxd")) / F.col("n")).alias("intercept"),
+        F.when(defined, r2).alias("r2"),
+        (F.col("_Sxx") / F.col("n")).alias("sxx"),
+        (F.col("_Syy") / F.col("n")).alias("syy"),
+        (F.col("_Sxy") / F.col("n")).alias("sxy"),
+        (F.col("_sxd") / F.col("n")).alias("avgx"),
     )
 
 
@@ -119,7 +165,8 @@ def fit_grid(fit: DataFrame, by: list[str], x_from: Column, x_to: Column, x_name
     )
     sse = F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")
     sigma = F.sqrt(F.try_divide(F.greatest(sse, F.lit(0.0)), (F.col("n") - 2).cast("double")))
-    se = sigma * F.sqrt(1.0 / F.col("n") + F.pow(F.col(x_name) - F.col("avgx"), 2) / F.col("sxx"))
+    dx = F.col(x_name) - F.col("avgx")
+    se = sigma * F.sqrt(1.0 / F.col("n") + dx * dx / F.col("sxx"))
     return grid.select(
         *by,
         x_name,

@@ -210,16 +210,30 @@ def _ages() -> dict[str, str]:
         f"SELECT action, BUSINESS_UNIT, year, avg(age) AS mean_age, {_label('action', 'BUSINESS_UNIT')} AS BU_action "
         f"FROM events GROUP BY action, BUSINESS_UNIT, year")
     fit_rows = f"SELECT {_label('action', 'BUSINESS_UNIT')} AS BU_action, year, age FROM events"
-    ok = "regr_count(age, year) > 1 AND regr_sxx(age, year) > 0"
-    fit = f"""
-      SELECT BU_action, CAST(regr_count(age, year) AS BIGINT) AS n,
-        CASE WHEN {ok} THEN regr_slope(age, year) END AS slope,
-        CASE WHEN {ok} THEN regr_intercept(age, year) END AS intercept,
-        CASE WHEN {ok} THEN (CASE WHEN regr_syy(age, year) = 0 THEN 1.0 ELSE regr_r2(age, year) END) END AS r2,
-        regr_sxx(age, year) AS sxx, regr_syy(age, year) AS syy, regr_sxy(age, year) AS sxy,
-        regr_avgx(age, year) AS avgx
+    # exact sums, then the same double steps as the Spark side (operators.stats.linear_fit)
+    sums = f"""
+      SELECT BU_action, count(*) AS n,
+        sum(CAST(year AS DECIMAL(38,0))) AS sx, sum(CAST(age AS DECIMAL(38,0))) AS sy,
+        sum(CAST(year AS DECIMAL(38,0)) * CAST(year AS DECIMAL(38,0))) AS sxx_,
+        sum(CAST(age AS DECIMAL(38,0)) * CAST(age AS DECIMAL(38,0))) AS syy_,
+        sum(CAST(year AS DECIMAL(38,0)) * CAST(age AS DECIMAL(38,0))) AS sxy_
       FROM ({fit_rows}) WHERE year IS NOT NULL AND age IS NOT NULL GROUP BY BU_action
     """
+    centred = f"""
+      SELECT BU_action, n,
+        CAST(n * sxx_ - sx * sx AS DOUBLE) AS Sxx, CAST(n * syy_ - sy * sy AS DOUBLE) AS Syy,
+        CAST(n * sxy_ - sx * sy AS DOUBLE) AS Sxy, CAST(sx AS DOUBLE) AS sxd, CAST(sy AS DOUBLE) AS syd
+      FROM ({sums})
+    """
+    ok = "n > 1 AND Sxx > 0"
+    fit = f"""
+      SELECT BU_action, n,
+        CASE WHEN {ok} THEN Sxy / Sxx END AS slope,
+        CASE WHEN {ok} THEN (syd - Sxy / Sxx * sxd) / n END AS intercept,
+        CASE WHEN {ok} THEN (CASE WHEN Syy = 0 THEN 1.0 ELSE Sxy * Sxy / (Sxx * Syy) END) END AS r2,
+        Sxx / n AS sxx, Syy / n AS syy, Sxy / n AS sxy, sxd / n AS avgx
+      FROM ({centred})
+    """
     q["q2_3_age_fit"] = _with(
         # "+ 0.0" turns a rounded -0.0 into 0.0, as Spark's round returns
         f"SELECT BU_action, round(slope, 6) + 0.0 AS slope, round(intercept, 4) + 0.0 AS intercept, "
