@@ -7,11 +7,29 @@ from pyspark.sql import functions as F
 
 from rosterlens.llm.common import table
 from rosterlens.llm.phrase_index import hit_items, hit_words, phrase_matches
+from rosterlens.llm.recompression import remove_repeats
+from rosterlens.llm.secrets import find_secrets
 from rosterlens.llm.sharding import uniform_shards
 
 SHARDS = 24
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"] != "entropy")
+
+    def joined(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+    def counted(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", counted("assign"), counted("access"), counted("hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), counted("entropy"),
+    )
+
+
 def op4_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = phrase_matches(docs, table(spark, sf_dir, "benchmark"))
@@ -27,6 +45,11 @@ def op4_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
@@ -41,6 +64,8 @@ def op10_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op4_phrase_index": op4_phrase_index,
+    "op9_recompression": op9_recompression,
     "op10_uniform_shards": op10_uniform_shards,
 }
