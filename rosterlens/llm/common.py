@@ -172,26 +172,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating star contraction: every round hangs each node's larger
     neighbours, then its smaller ones, below its smallest neighbour, and writes
-    the edges to the shared folder. Only counts and one checksum reach the
+    the edges to the shared folder, until a round changes nothing. Only counts and one checksum reach the
     driver. Nodes without links are not listed.
     """
     both = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges, seen = stored(both, "edges"), None
     while True:
-        for larger in (True, False):
-            if larger:
-                near = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            else:
-                near = edges
-            least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-            hung = near.join(least, "u")
-            if larger:
-                hung = hung.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            else:
-                hung = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(
-                    least.select("u", F.col("m").alias("v"))
-                )
-            edges = stored(hung.where("u <> v").distinct(), "edges")
+        # a node's larger neighbours hang below its smallest one
+        near = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        hung = near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # then its smaller ones, and the node itself
+        least = hung.groupBy("u").agg(F.min("v").alias("m"))
+        again = hung.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        edges = stored(again.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = edges.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rosterlens.llm.binary_codes import near_vectors
 from rosterlens.llm.common import table
+from rosterlens.llm.parity_join import jaccard_classes
 from rosterlens.llm.phrase_index import hit_items, hit_words, phrase_matches
 from rosterlens.llm.recompression import remove_repeats
 from rosterlens.llm.secrets import find_secrets
@@ -30,6 +32,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = phrase_matches(docs, table(spark, sf_dir, "benchmark"))
@@ -65,6 +75,8 @@ def op10_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_binary_codes": op2_binary_codes,
+    "op3_parity_join": op3_parity_join,
     "op4_phrase_index": op4_phrase_index,
     "op9_recompression": op9_recompression,
     "op10_uniform_shards": op10_uniform_shards,
