@@ -16,7 +16,7 @@ at the threshold meets with probability ``RECALL`` or more. A bucket over
 group: a hot bucket is spread, none of its pairs is left out and no group is
 larger than two blocks. A pair that met in an earlier table is not counted
 again. Each group returns a count per vector and a spanning forest of its
-links, not the links.
+links, not the links. Equal vectors are one class that counts its copies.
 """
 
 from __future__ import annotations
@@ -145,10 +145,11 @@ def _compare(threshold: float):
             links_a.append(p[new])
             links_b.append(q[new])
         a, b = np.concatenate(links_a), np.concatenate(links_b)
-        n = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+        m = group["m"].to_numpy()
+        n = np.bincount(a, m[b], len(ids)) + np.bincount(b, m[a], len(ids))
         root = _forest(a, b, len(ids))
         hit = n > 0
-        return pa.table({"id": ids[hit], "n": n[hit], "root": ids[root[hit]]})
+        return pa.table({"id": ids[hit], "n": n[hit].astype(np.int64), "root": ids[root[hit]]})
 
     return run
 
@@ -161,8 +162,8 @@ def near_vectors(
     Vectors of one length and one non-null label link when their cosine is at
     least ``threshold``; a vector that is null, empty, zero or holds null or
     non-finite numbers, and one with a null id, links with nothing. Rows that
-    repeat id, label and vector are one vector (each gets its result). Other
-    columns are ignored.
+    repeat id, label and vector are one vector (each gets its result); rows
+    that share only the id share one result. Other columns are ignored.
     """
     v = F.col("vector")
     rows = vectors.select(
@@ -179,26 +180,36 @@ def near_vectors(
             _index(tables, bits), "id long, label string, dims int, vector binary, keys array<long>"
         ), "codes"
     )
+    same = ["label", "dims", "vector"]
+    classes = stored(
+        index.groupBy(*same).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("keys").alias("keys")), "classes"
+    )
     met = ["label", "dims", "table", "bucket"]
-    placed = index.select("id", "label", "dims", F.posexplode("keys").alias("table", "bucket"))
+    placed = classes.select("label", "dims", F.posexplode("keys").alias("table", "bucket"))
     sizes = stored(placed.groupBy(*met).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     spread = (
-        index.select("*", F.posexplode("keys").alias("table", "bucket"))
+        classes.select("*", F.posexplode("keys").alias("table", "bucket"))
         .join(sizes, met)
         .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.col("blocks")).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("rep", "vector"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-        .select("id", "vector", "keys", "block", "lo", "hi", *met)
+        .select(F.col("rep").alias("id"), "m", "vector", "keys", "block", "lo", "hi", *met)
     )
     found = stored(
         spread.groupBy(*met, "lo", "hi").applyInArrow(_compare(threshold), "id long, n long, root long"), "found"
     )
-    counts = found.groupBy("id").agg(F.sum("n").alias("n_links"))
-    label_of = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    out = rows.select("id").join(counts, "id", "left").join(label_of.withColumnRenamed("node", "id"), "id", "left")
+    counts = found.groupBy("id").agg(F.sum("n").alias("others")).withColumnRenamed("id", "rep")
+    reached = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    per_class = classes.join(counts, "rep", "left").join(reached, "rep", "left").select(
+        *same, (F.coalesce("others", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")
+    )
+    per_id = index.select("id", *same).join(stored(per_class, "class-links"), same).groupBy("id").agg(
+        F.max("n_links").alias("n_links"), F.min("component").alias("component")
+    )
+    out = rows.select("id").join(per_id, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"), (F.col("id") == component).alias("kept"),
+        component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
     )
