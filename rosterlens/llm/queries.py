@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from rosterlens.llm.binary_codes import near_vectors
 from rosterlens.llm.common import table
+from rosterlens.llm.packing import pack
 from rosterlens.llm.parity_join import jaccard_classes
 from rosterlens.llm.phrase_index import hit_items, hit_words, phrase_matches
 from rosterlens.llm.recompression import remove_repeats
 from rosterlens.llm.secrets import find_secrets
 from rosterlens.llm.sharding import uniform_shards
+from rosterlens.llm.tokens import vocabulary
 
 SHARDS = 24
 
@@ -55,6 +57,10 @@ def op4_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+
+
 def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -78,6 +84,7 @@ QUERIES = {
     "op2_binary_codes": op2_binary_codes,
     "op3_parity_join": op3_parity_join,
     "op4_phrase_index": op4_phrase_index,
+    "op7_island_packing": op7_island_packing,
     "op9_recompression": op9_recompression,
     "op10_uniform_shards": op10_uniform_shards,
 }
