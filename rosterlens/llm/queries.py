@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rosterlens.llm import toxicity
 from rosterlens.llm.binary_codes import near_vectors
 from rosterlens.llm.common import table
 from rosterlens.llm.packing import pack
@@ -61,6 +62,14 @@ def op7_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -85,6 +94,7 @@ QUERIES = {
     "op3_parity_join": op3_parity_join,
     "op4_phrase_index": op4_phrase_index,
     "op7_island_packing": op7_island_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_recompression": op9_recompression,
     "op10_uniform_shards": op10_uniform_shards,
 }
