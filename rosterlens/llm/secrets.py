@@ -153,7 +153,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     shuffle; a row costs its own text only. Other columns pass through; one
     named ``secrets`` is replaced.
     """
-    passed = [c for c in docs.columns if c != "secrets"]
+    passed = [c for c in docs.columns if c != "secrets"]      # the text itself may have that name
     named = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(passed)], F.col(f"`{text}`").alias("text"))
     columns = named.columns[:-1]
     schema = ", ".join(f"{c} {named.schema[c].dataType.simpleString()}" for c in columns)
@@ -178,3 +178,23 @@ def redact(text: str | None, spans: list) -> str | None:
         out += [text[at:lo], f"[{kind.upper()}]"]
         at = hi
     return "".join([*out, text[at:]])
+
+
+def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with every secret in ``text`` replaced by its kind in brackets; other columns unchanged."""
+    found = find_secrets(docs, text)
+    columns = docs.columns
+    named = found.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(columns)], F.col(f"`{text}`").alias("text"), "secrets")
+    at = columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [
+                redact(t, s) if s else t
+                for t, s in zip(batch["text"].to_pylist(), batch["secrets"].to_pylist(), strict=True)
+            ]
+            out = [batch[f"in_{i}"] if i != at else pa.array(new, pa.string()) for i in range(len(columns))]
+            yield pa.RecordBatch.from_arrays(out, [f"in_{i}" for i in range(len(columns))])
+
+    schema = ", ".join(f"in_{i} {named.schema[f'in_{i}'].dataType.simpleString()}" for i in range(len(columns)))
+    return named.mapInArrow(run, schema).select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(columns)])

@@ -68,6 +68,7 @@ class Encoder:
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = iter(range(256, 512))
         self.letters = {b: chr(b) if b in shown else chr(next(hidden)) for b in range(256)}
+        self.spelled: list[bytes] | None = None
         self._forget()
 
     def _forget(self) -> None:
@@ -147,6 +148,14 @@ class Encoder:
         places = np.r_[before, size.sum()][np.searchsorted(start, offsets)]
         return ids, places
 
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids of this vocabulary that hold whole characters."""
+        if self.spelled is None:
+            back = {name: b for b, name in self.letters.items()}
+            by_id = {i: bytes(back.get(c, 0) for c in t) for t, i in self.library.get_vocab(with_added_tokens=False).items()}
+            self.spelled = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+        return b"".join([self.spelled[i] for i in ids.tolist()]).decode()
+
 
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and vocabulary (kept for the worker's next tasks)."""
