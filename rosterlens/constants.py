@@ -34,6 +34,8 @@ AGE_BANDS = [
 WHISKER_COEF = 1.5
 # Gender codes in level order and the names their pivot columns get.
 GENDER_COLUMNS = [("F", "Female"), ("M", "Male")]
+# Column of every other gender code and of missing ones.
+OTHER_GENDER = "Other"
 # Date text format of the raw CSV (month/day/year, trailing text ignored).
 RAW_DATE_FORMAT = "M/d/yyyy"
 # Text that stands for a missing value in the raw CSV.

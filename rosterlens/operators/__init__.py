@@ -14,6 +14,7 @@ from rosterlens.operators.flows import (
 from rosterlens.operators.picks import earliest_snapshot, extreme_member_per, first_row_per, latest_snapshot
 from rosterlens.operators.reshape import pivot_wide
 from rosterlens.operators.stats import (
+    box_outliers,
     box_stats,
     fit_grid,
     id_gap,
@@ -43,6 +44,7 @@ __all__ = [
     "best_group_means",
     "broadcast_if_small",
     "bottom_share_by",
+    "box_outliers",
     "box_stats",
     "count_by",
     "earliest_snapshot",

@@ -103,11 +103,12 @@ def flow_from_events(
 ) -> DataFrame:
     """year, *dims, hired, termed from a :func:`flow_events` table (which may carry more dims)."""
     hired = F.col("action") == K.ACTION_HIRED
+    known = F.col(id_col).isNotNull()          # a missing id is no employee, as in hires_by and terms_by
     return (
         events.select("year", "action", id_col, *dims)
         .distinct()
         .groupBy("year", *dims)
-        .agg(F.count_if(hired).alias("hired"), F.count_if(~hired).alias("termed"))
+        .agg(F.count_if(hired & known).alias("hired"), F.count_if(~hired & known).alias("termed"))
     )
 
 

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rosterlens import constants as K
+from rosterlens.functions import round_half_even
 
 QUARTILES = [0.25, 0.5, 0.75]
 DIGITS = 6
@@ -55,8 +56,35 @@ def box_stats(
     q1/median/q3 are type-7 quartiles; ``lo``/``hi`` are the whisker ends
     (extreme values within ``coef`` inter-quartile ranges of the box, never
     inside the box); ``n_out`` counts values beyond them; ``mean`` is the
-    group mean. ``with_range`` adds the plain ``min``/``max``.
+    group mean. ``with_range`` adds the plain ``min``/``max``. The shown
+    statistics also come as labels with one digit, ties to even.
     """
+    j, inside = _fenced(df, value, by, coef)
+    v = F.col(value).cast("double")
+    # q1 ... max are the group's own statistics, equal on every row of the group
+    out = j.groupBy(*by).agg(
+        _r(F.max("q1")).alias("q1"),
+        _r(F.max("median")).alias("median"),
+        _r(F.max("q3")).alias("q3"),
+        _r(F.least(F.max("q1"), F.min(F.when(inside, v)))).alias("lo"),
+        _r(F.greatest(F.max("q3"), F.max(F.when(inside, v)))).alias("hi"),
+        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("_c"))).alias("n_out"),
+        _r(F.max("mean")).alias("mean"),
+        F.max("min").alias("min"),
+        F.max("max").alias("max"),
+        *[round_half_even(F.max(c).cast("double")).alias(f"{c}_label") for c in ("mean", "min", "max")],
+    )
+    return out if with_range else out.drop("min", "max", "min_label", "max_label")
+
+
+def box_outliers(df: DataFrame, value: str, by: list[str], coef: float = K.WHISKER_COEF) -> DataFrame:
+    """The values beyond the whiskers: one row per (group, value) with its number of rows ``n``."""
+    j, inside = _fenced(df, value, by, coef)
+    return j.where(~inside).select(*by, value, F.col("_c").alias("n"))
+
+
+def _fenced(df: DataFrame, value: str, by: list[str], coef: float) -> tuple[DataFrame, Column]:
+    """(group, value) histogram with the group's statistics, and whether a value is within the whiskers."""
     hist = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     q = F.percentile(F.col(value), QUARTILES, F.col("_c"))
     stats = hist.groupBy(*by).agg(
@@ -71,21 +99,7 @@ def box_stats(
     iqr = F.col("q3") - F.col("q1")
     low_fence = F.col("q1") - F.lit(coef) * iqr
     high_fence = F.col("q3") + F.lit(coef) * iqr
-    inside = (F.col(value) >= low_fence) & (F.col(value) <= high_fence)
-    v = F.col(value).cast("double")
-    # q1 ... max are the group's own statistics, equal on every row of the group
-    out = j.groupBy(*by).agg(
-        _r(F.max("q1")).alias("q1"),
-        _r(F.max("median")).alias("median"),
-        _r(F.max("q3")).alias("q3"),
-        _r(F.least(F.max("q1"), F.min(F.when(inside, v)))).alias("lo"),
-        _r(F.greatest(F.max("q3"), F.max(F.when(inside, v)))).alias("hi"),
-        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("_c"))).alias("n_out"),
-        _r(F.max("mean")).alias("mean"),
-        F.max("min").alias("min"),
-        F.max("max").alias("max"),
-    )
-    return out if with_range else out.drop("min", "max")
+    return j, (F.col(value) >= low_fence) & (F.col(value) <= high_fence)
 
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -179,11 +193,10 @@ def fit_grid(fit: DataFrame, by: list[str], x_from: Column, x_to: Column, x_name
 def share_of_total(df: DataFrame, value: str, out: str = "share") -> DataFrame:
     """``value / sum(value)`` over a per-group table (one row per slice).
 
-    The total is a window sum over the table itself, so the aggregate that
-    produced it is read once; the table has one row per group. A zero total
-    gives NULL shares.
+    The total is a scalar subquery with a partial sum per task; the aggregate
+    below it is one shuffle that both uses share. A zero total gives NULL shares.
     """
-    total = F.sum(value).over(Window.partitionBy())
+    total = df.select(F.sum(value).alias("_total")).scalar()
     return df.withColumn(out, F.try_divide(F.col(value).cast("double"), total.cast("double")))
 
 

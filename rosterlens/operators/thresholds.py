@@ -1,60 +1,39 @@
 """Quantile threshold filters and the reports built on them (F6, F7, A10, O4-O7).
 
 A threshold is an exact, linearly interpolated quantile (``percentile``,
-the same rule as R's default type 7 and DuckDB's ``quantile_cont``).
-
-* Over row-level tables (``at_or_above`` / ``at_or_below``) it is a scalar
-  subquery: computed once with a partial/final aggregate (the partial
-  state is a value -> count map, small for whole years), and the filter
-  that uses it runs in parallel on every partition. Rows are never
-  gathered in one task. Use it on persisted bases: the subquery re-reads
-  its input.
-* Over per-group tables (``top_groups``, ``best_group_means``,
-  ``worst_group_means``) the input is one row per group, so its size is
-  the number of dimension values, not the number of rows. The threshold is
-  then a window over that small table, which reads the aggregate once
-  instead of computing it a second time for a subquery.
+the same rule as R's default type 7 and DuckDB's ``quantile_cont``), taken as a
+scalar subquery over row-level and per-group tables alike: an aggregate with a
+partial step per task (a value -> count map), then a filter that runs on
+every partition. No rows are gathered in one task. A per-group table's own
+shuffle is the same in the subquery and in the filter's input, so Spark reuses
+its exchange and does not aggregate twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlens import constants as K
 
 
-def quantile_value(df: DataFrame, col: str, p: float, approx: bool = False) -> Column:
-    """Scalar subquery: the type-7 quantile ``p`` of ``col`` over ``df`` (NULLs skipped).
-
-    ``approx=True`` uses ``percentile_approx`` instead: bounded memory for
-    high-cardinality continuous values, but it returns an observed value
-    (no interpolation), so results can differ from the exact rule.
-    """
-    q = F.percentile_approx(F.col(col), float(p)) if approx else F.percentile(F.col(col), F.lit(float(p)))
-    return df.select(q.cast("double").alias("_q")).scalar()
+def quantile_value(df: DataFrame, col: str, p: float) -> Column:
+    """Scalar subquery: the type-7 quantile ``p`` of ``col`` over ``df`` (NULLs skipped)."""
+    return df.select(F.percentile(F.col(col), F.lit(float(p))).cast("double").alias("_q")).scalar()
 
 
-def at_or_above(df: DataFrame, col: str, p: float, approx: bool = False, cut: Column | None = None) -> DataFrame:
+def at_or_above(df: DataFrame, col: str, p: float, cut: Column | None = None) -> DataFrame:
     """Rows whose ``col`` is >= its own quantile ``p``.
 
     ``cut`` is the quantile already computed (e.g. a scalar subquery over a
     persisted one-row table of cut-offs); otherwise it is computed here.
     """
-    return df.where(F.col(col) >= (cut if cut is not None else quantile_value(df, col, p, approx)))
+    return df.where(F.col(col) >= (cut if cut is not None else quantile_value(df, col, p)))
 
 
-def at_or_below(df: DataFrame, col: str, p: float, approx: bool = False, cut: Column | None = None) -> DataFrame:
+def at_or_below(df: DataFrame, col: str, p: float, cut: Column | None = None) -> DataFrame:
     """Rows whose ``col`` is <= its own quantile ``p`` (``cut`` as in :func:`at_or_above`)."""
-    return df.where(F.col(col) <= (cut if cut is not None else quantile_value(df, col, p, approx)))
-
-
-def _per_group_cut(groups: DataFrame, col: str, p: float, keep_above: bool) -> DataFrame:
-    """Rows of a one-row-per-group table on one side of the quantile ``p`` of ``col``."""
-    q = F.percentile(F.col(col), F.lit(float(p))).over(Window.partitionBy())
-    cut = groups.withColumn("_q", q)
-    keep = F.col(col) >= F.col("_q") if keep_above else F.col(col) <= F.col("_q")
-    return cut.where(keep).drop("_q")
+    return df.where(F.col(col) <= (cut if cut is not None else quantile_value(df, col, p)))
 
 
 def count_by(df: DataFrame, by: list[str], n: str = "n") -> DataFrame:
@@ -95,14 +74,14 @@ def mean_report(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 def best_group_means(df: DataFrame, value: str, by: list[str], p: float = 0.9) -> DataFrame:
     """Groups whose mean is >= the quantile ``p`` of all group means."""
-    return order_desc(_per_group_cut(group_mean(df, value, by), value, p, True), value, by)
+    return order_desc(at_or_above(group_mean(df, value, by), value, p), value, by)
 
 
 def worst_group_means(df: DataFrame, value: str, by: list[str], p: float = 0.1) -> DataFrame:
     """Groups whose mean is <= the quantile ``p`` of all group means."""
-    return order_desc(_per_group_cut(group_mean(df, value, by), value, p, False), value, by)
+    return order_desc(at_or_below(group_mean(df, value, by), value, p), value, by)
 
 
 def top_groups(counts: DataFrame, value: str = "n", p: float = 0.8, ties: list[str] = ()) -> DataFrame:
     """Rows of a per-group count table whose count is >= its quantile ``p`` (the "top 20%")."""
-    return order_desc(_per_group_cut(counts, value, p, True), value, ties)
+    return order_desc(at_or_above(counts, value, p), value, ties)

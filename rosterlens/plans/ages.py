@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from rosterlens import constants as K
 from rosterlens.functions import age_band, pair_label, years_between
-from rosterlens.operators import box_stats, count_by, fit_grid, linear_fit, share_of_total
+from rosterlens.operators import box_outliers, box_stats, count_by, fit_grid, linear_fit, share_of_total
 from rosterlens.plans.context import Workforce
 
+BAND_Z = 1.96            # multiplier of the 95 % band
 SLOPE_DIGITS, INTERCEPT_DIGITS, FIT_DIGITS = 6, 4, 4
 
 
@@ -48,7 +49,7 @@ def q2_3_age_fit(w: Workforce) -> DataFrame:
 
 
 def q2_3_age_fit_grid(w: Workforce) -> DataFrame:
-    """Fitted age (and standard error) per panel at every year of the full year range."""
+    """Fitted age, standard error and 95 % band per panel at every year of the full year range."""
     rows = _fit_input(w)
     fit = linear_fit(rows, "year", K.AGE, ["BU_action"])
     lo = rows.select(F.min("year")).scalar()
@@ -59,6 +60,8 @@ def q2_3_age_fit_grid(w: Workforce) -> DataFrame:
         "year",
         F.round("fit", FIT_DIGITS).alias("fit"),
         F.round("se_fit", FIT_DIGITS).alias("se_fit"),
+        F.round(F.col("fit") - BAND_Z * F.col("se_fit"), FIT_DIGITS).alias("band_low"),
+        F.round(F.col("fit") + BAND_Z * F.col("se_fit"), FIT_DIGITS).alias("band_high"),
         "n",
     )
 
@@ -96,6 +99,12 @@ def q2_4_age_box(w: Workforce) -> DataFrame:
     return box_stats(rows, K.AGE, ["BU_action"])
 
 
+def q2_4_age_outliers(w: Workforce) -> DataFrame:
+    """Ages beyond the whiskers of each box of ``q2_4_age_box``, with their counts."""
+    rows = w.event_ages.select(pair_label(K.BU, "action").alias("BU_action"), K.AGE)
+    return box_outliers(rows, K.AGE, ["BU_action"])
+
+
 def _band_shares(events: DataFrame) -> DataFrame:
     counts = count_by(events.select(age_band(K.AGE).alias("agegroup")), ["agegroup"])
     return share_of_total(counts, "n")
@@ -119,6 +128,7 @@ QUERIES = {
     "q2_3_term_mean_age": q2_3_term_mean_age,
     "q2_3_hire_mean_age": q2_3_hire_mean_age,
     "q2_4_age_box": q2_4_age_box,
+    "q2_4_age_outliers": q2_4_age_outliers,
     "q2_4_hired_agegroup": q2_4_hired_agegroup,
     "q2_4_termed_agegroup": q2_4_termed_agegroup,
 }

@@ -14,15 +14,14 @@ once with ``warm()``) and keeps it for the next query:
   per query. Unset, it is ``cache`` on a ``local[...]`` master and
   ``table`` on a cluster, where the panel is as large as ``orders``.
 * the derived tables are persisted (MEMORY_AND_DISK) unless the mode is
-  ``none``, with about one partition per million panel rows, capped at the
-  shuffle partitions: a cached plan keeps its output partitioning, so this
-  is where its size is chosen.
+  ``none``; their partitions are those of the panel, or what AQE makes of a
+  shuffle, never fewer by a rule of ours.
 """
 
 from __future__ import annotations
 
-import math
 import threading
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -33,10 +32,9 @@ from rosterlens import constants as K
 from rosterlens.functions import not_sentinel_date, years_between
 from rosterlens.operators import latest_snapshot
 from rosterlens.session import master_of, session_key
-from rosterlens.sources import materialize_panel, panel_from_tables
+from rosterlens.sources import materialize_panel, panel_from_tables, remove_panel
 
 STORAGE_CONF = "spark.rosterlens.panel.storage"
-ROWS_PER_BASE_PARTITION = 1_000_000
 # quantiles of service the Q5/Q6 reports cut at (fixed values of the studied analysis)
 SERVICE_QUANTILES = (0.01, 0.1, 0.9, 0.99)
 
@@ -44,27 +42,25 @@ SERVICE_QUANTILES = (0.01, 0.1, 0.9, 0.99)
 class Workforce:
     """The panel plus the tables derived from it that several analyses share."""
 
-    def __init__(self, panel: DataFrame, storage: str = "cache"):
-        self.storage = storage
-        # A written table is already cheap to re-read; only a computed panel is persisted.
-        self.panel = panel.persist(StorageLevel.MEMORY_AND_DISK) if storage == "cache" else panel
-
-    @cached_property
-    def _base_partitions(self) -> int:
-        """Partitions for the persisted derived bases: about one per million panel rows.
-
-        A cached plan keeps its output partitioning (AQE does not coalesce the
-        final stage of a plan that is cached), so without this a small panel in
-        a session with many shuffle partitions would persist each base as
-        hundreds of near-empty blocks. Never more than the shuffle partitions.
-        """
-        shuffle = int(self.panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return max(1, min(shuffle, math.ceil(self.panel.count() / ROWS_PER_BASE_PARTITION)))
+    def __init__(self, panel: DataFrame | Callable[[], tuple[DataFrame, str | None]], storage: str = "cache"):
+        """``panel``: the table, or what builds it (and its written path) on first use."""
+        self.storage, self._source, self._lock = storage, panel, threading.RLock()
+        self._path: str | None = None
+
+    @property
+    def panel(self) -> DataFrame:
+        with self._lock:
+            if "_panel" not in self.__dict__:
+                panel = self._source
+                if callable(panel):
+                    panel, self._path = panel()
+                # A written table is already cheap to re-read; only a computed panel is persisted.
+                self._panel = panel.persist(StorageLevel.MEMORY_AND_DISK) if self.storage == "cache" else panel
+            return self._panel
 
     def _keep(self, df: DataFrame) -> DataFrame:
-        if self.storage == "none":
-            return df
-        return df.coalesce(self._base_partitions).persist(StorageLevel.MEMORY_AND_DISK)
+        """Persisted as it comes: the parallelism of the input, or what AQE makes of the last shuffle's sizes."""
+        return df if self.storage == "none" else df.persist(StorageLevel.MEMORY_AND_DISK)
 
     # -- event ages (Q2) ------------------------------------------------------
     @cached_property
@@ -165,33 +161,46 @@ class Workforce:
         for name in ("event_ages", "latest", "reasoned"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
-        if self.storage == "cache":
-            self.panel.unpersist()
+        if "_panel" in self.__dict__:
+            if self.storage == "cache":
+                self._panel.unpersist()
+            if self._path:
+                remove_panel(self._panel.sparkSession, self._path)
 
 
-_CONTEXTS: dict[tuple[str, str, str, str], Workforce] = {}
+_CONTEXTS: dict[tuple[str, ...], tuple[list[str], Workforce]] = {}
 _LOCK = threading.Lock()
+_TABLES = ("orders", "customer", "nation")
 
 
 def workforce(spark: SparkSession, sf_dir: str) -> Workforce:
-    """The shared context for ``sf_dir`` in this session (built on first use)."""
+    """The shared context for ``sf_dir`` in this session; its panel is built on first use.
+
+    A context belongs to the files that were there: when files were added or
+    removed since, it is released and a new one takes its place.
+    """
     default = "cache" if master_of(spark).startswith("local") else "table"
     storage = spark.conf.get(STORAGE_CONF, None) or default
+    sf_dir = sf_dir.rstrip("/")
     # one context per session: DataFrames are bound to the session that made them
-    key = (*session_key(spark), sf_dir.rstrip("/"), storage)
-    with _LOCK:  # queries may be started from several threads
-        ctx = _CONTEXTS.get(key)
-        if ctx is None:
-            panel = panel_from_tables(spark, sf_dir)
-            if storage == "table":
-                panel = materialize_panel(spark, panel, "|".join(key[:3]))
-            ctx = Workforce(panel, storage=storage)
-            _CONTEXTS[key] = ctx
-    return ctx
+    key = (*session_key(spark), sf_dir, storage)
+    files = sorted(f for t in _TABLES for f in spark.read.parquet(f"{sf_dir}/{t}.parquet").inputFiles())
+
+    def build() -> tuple[DataFrame, str | None]:
+        panel = panel_from_tables(spark, sf_dir)
+        return materialize_panel(spark, panel, "|".join([*key[:3], *files])) if storage == "table" else (panel, None)
+
+    with _LOCK:  # queries may be started from several threads; nothing runs on the cluster in here
+        held = _CONTEXTS.get(key)
+        if held is None or held[0] != files:
+            _CONTEXTS[key] = (files, Workforce(build, storage=storage))
+            if held is not None:
+                held[1].release()
+        return _CONTEXTS[key][1]
 
 
 def clear_contexts() -> None:
     with _LOCK:
-        for ctx in _CONTEXTS.values():
+        for _, ctx in _CONTEXTS.values():
             ctx.release()
         _CONTEXTS.clear()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterlens import constants as K
 from rosterlens.functions import cross_label, pair_label
-from rosterlens.operators import flow_by, hires_by, running_total, share_of_total, terms_by, to_long
+from rosterlens.operators import flow_by, hires_by, outer_merge, running_total, share_of_total, terms_by, to_long
 from rosterlens.plans.context import Workforce
 
 
@@ -33,7 +33,9 @@ def q1_1_flow_long(w: Workforce) -> DataFrame:
 
 
 def q1_2_flow_by_bu(w: Workforce) -> DataFrame:
-    return flow_by(w.panel, [K.BU])
+    """The two counts merged by a NULL-matching full outer join, gaps filled with 0."""
+    keys = ["year", K.BU]
+    return outer_merge(hires_by(w.panel, [K.BU], "hired"), terms_by(w.panel, [K.BU], "termed"), keys, fill=0)
 
 
 def q1_2_flow_by_bu_long(w: Workforce) -> DataFrame:

@@ -29,11 +29,14 @@ def _employees_by(dim: str):
 
 
 def q4_4_top20_job_gender(w: Workforce) -> DataFrame:
-    """Hires per title split by gender at each employee's first snapshot, top 20% by total."""
+    """Hires per title split by gender (Female, Male, Other) at each employee's first snapshot, top 20% by total."""
     first = earliest_snapshot(w.panel)
-    counts = count_by(first, [K.GENDER, K.JOB])
-    wide = pivot_wide(counts, [K.JOB], K.GENDER, K.GENDER_COLUMNS, "n").withColumnRenamed(K.JOB, "job")
-    wide = wide.withColumn("total", F.col("Female") + F.col("Male"))
+    known = F.col(K.GENDER).isin([code for code, _ in K.GENDER_COLUMNS])
+    code = F.when(known, F.col(K.GENDER)).otherwise(K.OTHER_GENDER)      # any other code, or none
+    counts = count_by(first.select(K.JOB, code.alias(K.GENDER)), [K.GENDER, K.JOB])
+    columns = [*K.GENDER_COLUMNS, (K.OTHER_GENDER, K.OTHER_GENDER)]
+    wide = pivot_wide(counts, [K.JOB], K.GENDER, columns, "n").withColumnRenamed(K.JOB, "job")
+    wide = wide.withColumn("total", sum((F.col(name) for _, name in columns), F.lit(0)))
     return top_groups(wide, "total", TOP_SHARE, ["job"])
 
 

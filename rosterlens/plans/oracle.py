@@ -9,16 +9,59 @@ Types are cast to match the Spark side (``year`` INTEGER, sums BIGINT).
 from __future__ import annotations
 
 from rosterlens import constants as K
-from rosterlens.plans.service import AGEGROUP, BASES, UNDER20_BAND, Report, expand
+
+# --- fixed values: the Q5 / Q6 reports as the studied analysis words them; written out here, not taken from the
+# Spark side: (key, kind, column, quantile of the long side, quantile of the short side)
+_REPORTS = {
+    "terminated": ("q5_term_service", [
+        ("q5_1_age_summary", "summary", "age", 0.9, 0.1),
+        ("q5_2_gender", "share", "gender_short", 0.9, 0.1),
+        ("q5_3_mean_gender", "mean", "gender_short", None, None),
+        ("q5_4_bu", "share", "BUSINESS_UNIT", 0.9, 0.1),
+        ("q5_5_mean_bu", "mean", "BUSINESS_UNIT", None, None),
+        ("q5_6_city", "share", "city_name", 0.99, 0.01),
+        ("q5_7_mean_city", "extreme", "city_name", 0.9, 0.1),
+        ("q5_8_job", "share", "job_title", 0.99, 0.01),
+        ("q5_9_mean_job", "extreme", "job_title", 0.9, 0.1),
+        ("q5_10_dept", "share", "department_name", 0.99, 0.01),
+        ("q5_11_mean_dept", "extreme", "department_name", 0.9, 0.1),
+        ("q5_12_store", "share", "store_name", 0.99, 0.01),
+        ("q5_13_mean_store", "extreme", "store_name", 0.9, 0.1),
+        ("q5_14_reason", "share", "termreason_desc", 0.9, 0.1),
+        ("q5_15_mean_reason", "mean", "termreason_desc", None, None),
+        ("q5_16_agegroup", "share", "agegroup", 0.9, 0.1),
+        ("q5_17_mean_agegroup", "mean", "agegroup", None, None),
+        ("q5_18_under20", "under20", "agegroup", None, None),
+    ]),
+    "active": ("q6_active_service", [
+        ("q6_1_age_summary", "summary", "age", 0.9, 0.1),
+        ("q6_2_gender", "share", "gender_short", 0.9, 0.1),
+        ("q6_3_mean_gender", "mean", "gender_short", None, None),
+        ("q6_4_bu", "share", "BUSINESS_UNIT", 0.9, 0.1),
+        ("q6_5_mean_bu", "mean", "BUSINESS_UNIT", None, None),
+        ("q6_6_city", "share", "city_name", 0.99, 0.01),
+        ("q6_7_mean_city", "extreme", "city_name", 0.9, 0.1),
+        ("q6_8_job", "share", "job_title", 0.99, 0.01),
+        ("q6_9_mean_job", "extreme", "job_title", 0.9, 0.1),
+        ("q6_10_dept", "share", "department_name", 0.99, 0.01),
+        ("q6_11_mean_dept", "extreme", "department_name", 0.9, 0.1),
+        ("q6_12_store", "share", "store_name", 0.99, 0.01),
+        ("q6_13_mean_store", "extreme", "store_name", 0.9, 0.1),
+        ("q6_14_mean_reason", "mean", "termreason_desc", None, None),
+        ("q6_15_agegroup", "share", "agegroup", 0.9, 0.1),
+        ("q6_16_mean_agegroup", "mean", "agegroup", None, None),
+    ]),
+}
+# -------------------------------------------------------------------------------------------------------------
 
 _PANEL = """
 _o AS (
   SELECT o_orderkey, o_custkey, o_orderdate, CAST(o_orderdate AS DATE) AS rec
-  FROM orders WHERE o_custkey % 7 <> 3
+  FROM orders
 ),
 _j AS (
   SELECT _o.*, c.c_mktsegment, n.n_name, n.n_regionkey,
-         min(rec) OVER (PARTITION BY o_custkey) AS hire,
+         CAST(min(rec) OVER (PARTITION BY o_custkey) - CAST((o_custkey * 37) % 3000 AS INTEGER) AS DATE) AS hire,
          max(rec) OVER (PARTITION BY o_custkey) AS last_rec,
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
   FROM _o JOIN customer c ON _o.o_custkey = c.c_custkey
@@ -27,10 +70,11 @@ _j AS (
 _b AS (
   SELECT *, CAST(hire - CAST(4000 + (o_custkey * 7919) % 28000 AS INTEGER) AS DATE) AS birth FROM _j
 ),
-panel AS (
+_p AS (
   SELECT
+    o_orderkey AS ok, o_custkey AS ck,
     o_orderkey AS snapshot_id,
-    1318 + o_custkey AS EmployeeID,
+    1318 + o_custkey + o_custkey // 6 AS EmployeeID,
     rec AS recorddate_key,
     birth AS birthdate_key,
     hire AS orighiredate_key,
@@ -41,8 +85,8 @@ panel AS (
     c_mktsegment || '-' || CAST(o_orderkey % 4 AS VARCHAR) AS department_name,
     'JOB_' || CAST(o_orderkey % 47 AS VARCHAR) AS job_title,
     CAST(o_orderkey % 46 AS INTEGER) AS store_name,
-    CASE WHEN o_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender_short,
-    CASE WHEN o_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender_full,
+    CASE WHEN o_custkey % 43 = 7 THEN 'X' WHEN o_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender_short,
+    CASE WHEN o_custkey % 43 = 7 THEN 'Other' WHEN o_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender_full,
     CASE WHEN rn = 1 AND o_custkey % 9 = 0 THEN 'Layoff'
          WHEN rn = 1 AND o_custkey % 9 = 3 THEN 'Resignation'
          WHEN rn = 1 AND o_custkey % 9 = 6 THEN 'Retirement'
@@ -55,6 +99,26 @@ panel AS (
     CASE WHEN n_regionkey = 0 THEN 'HEADOFFICE' ELSE 'STORES' END AS BUSINESS_UNIT
   FROM _b
 ),
+panel AS (
+  SELECT
+    snapshot_id, EmployeeID, recorddate_key,
+    CASE WHEN ck % 61 <> 4 THEN birthdate_key END AS birthdate_key,
+    CASE WHEN ck % 97 <> 13 THEN orighiredate_key END AS orighiredate_key,
+    CASE WHEN ck % 101 <> 17 THEN terminationdate_key END AS terminationdate_key,
+    CASE WHEN ok % 59 <> 8 AND ck % 61 <> 4 THEN age END AS age,
+    CASE WHEN ok % 71 <> 6 AND ck % 97 <> 13 THEN length_of_service END AS length_of_service,
+    CASE WHEN ok % 107 <> 10 THEN city_name END AS city_name,
+    CASE WHEN ok % 89 <> 3 THEN department_name END AS department_name,
+    CASE WHEN ok % 83 <> 2 THEN job_title END AS job_title,
+    CASE WHEN ok % 79 <> 1 THEN store_name END AS store_name,
+    CASE WHEN ck % 41 <> 5 THEN gender_short END AS gender_short,
+    CASE WHEN ck % 41 <> 5 THEN gender_full END AS gender_full,
+    CASE WHEN ok % 97 <> 5 THEN termreason_desc END AS termreason_desc,
+    CASE WHEN ok % 103 <> 9 THEN termtype_desc END AS termtype_desc,
+    STATUS_YEAR, STATUS,
+    CASE WHEN ck % 53 <> 11 THEN BUSINESS_UNIT END AS BUSINESS_UNIT
+  FROM _p
+),
 latest AS (
   SELECT * EXCLUDE (_rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY EmployeeID
@@ -135,6 +199,8 @@ def _share(counts: str, value: str) -> str:
 
 def _box(rows: str, key: str, with_range: bool) -> str:
     rng = ", any_value(s_min) AS min, any_value(s_max) AS max" if with_range else ""
+    for name, value in (("mean", "mean"), ("min", "s_min"), ("max", "s_max"))[: 3 if with_range else 1]:
+        rng += f", round_even(CAST(any_value({value}) AS DOUBLE), 1) AS {name}_label"
     return f"""
     SELECT r.{key},
       round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3,
@@ -152,6 +218,17 @@ def _box(rows: str, key: str, with_range: bool) -> str:
     """
 
 
+def _box_outliers(rows: str, key: str) -> str:
+    return f"""
+    SELECT r.{key}, CAST(v AS INTEGER) AS age, count(*) AS n
+    FROM ({rows}) r JOIN (
+      SELECT {key}, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM ({rows}) WHERE v IS NOT NULL GROUP BY {key}
+    ) s ON r.{key} IS NOT DISTINCT FROM s.{key}
+    WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)
+    GROUP BY r.{key}, v
+    """
+
+
 def _extreme_member(dim: str, largest: bool) -> str:
     order = "n DESC" if largest else "n ASC"
     return f"""
@@ -210,42 +287,29 @@ def _ages() -> dict[str, str]:
         f"SELECT action, BUSINESS_UNIT, year, avg(age) AS mean_age, {_label('action', 'BUSINESS_UNIT')} AS BU_action "
         f"FROM events GROUP BY action, BUSINESS_UNIT, year")
     fit_rows = f"SELECT {_label('action', 'BUSINESS_UNIT')} AS BU_action, year, age FROM events"
-    # exact sums, then the same double steps as the Spark side (operators.stats.linear_fit)
-    sums = f"""
-      SELECT BU_action, count(*) AS n,
-        sum(CAST(year AS DECIMAL(38,0))) AS sx, sum(CAST(age AS DECIMAL(38,0))) AS sy,
-        sum(CAST(year AS DECIMAL(38,0)) * CAST(year AS DECIMAL(38,0))) AS sxx_,
-        sum(CAST(age AS DECIMAL(38,0)) * CAST(age AS DECIMAL(38,0))) AS syy_,
-        sum(CAST(year AS DECIMAL(38,0)) * CAST(age AS DECIMAL(38,0))) AS sxy_
-      FROM ({fit_rows}) WHERE year IS NOT NULL AND age IS NOT NULL GROUP BY BU_action
-    """
-    centred = f"""
-      SELECT BU_action, n,
-        CAST(n * sxx_ - sx * sx AS DOUBLE) AS Sxx, CAST(n * syy_ - sy * sy AS DOUBLE) AS Syy,
-        CAST(n * sxy_ - sx * sy AS DOUBLE) AS Sxy, CAST(sx AS DOUBLE) AS sxd, CAST(sy AS DOUBLE) AS syd
-      FROM ({sums})
-    """
-    ok = "n > 1 AND Sxx > 0"
+    # the engine's own regression aggregates; both sides are rounded (6 and 4 digits) before they are compared
     fit = f"""
-      SELECT BU_action, n,
-        CASE WHEN {ok} THEN Sxy / Sxx END AS slope,
-        CASE WHEN {ok} THEN (syd - Sxy / Sxx * sxd) / n END AS intercept,
-        CASE WHEN {ok} THEN (CASE WHEN Syy = 0 THEN 1.0 ELSE Sxy * Sxy / (Sxx * Syy) END) END AS r2,
-        Sxx / n AS sxx, Syy / n AS syy, Sxy / n AS sxy, sxd / n AS avgx
-      FROM ({centred})
+      SELECT BU_action, CAST(regr_count(age, year) AS BIGINT) AS n, regr_slope(age, year) AS slope, regr_intercept(age, year) AS intercept,
+        regr_r2(age, year) AS r2, regr_sxx(age, year) AS sxx, regr_syy(age, year) AS syy, regr_sxy(age, year) AS sxy,
+        regr_avgx(age, year) AS avgx
+      FROM ({fit_rows}) WHERE year IS NOT NULL AND age IS NOT NULL GROUP BY BU_action
     """
+    defined = "n > 1 AND sxx > 0"
     q["q2_3_age_fit"] = _with(
         # "+ 0.0" turns a rounded -0.0 into 0.0, as Spark's round returns
-        f"SELECT BU_action, round(slope, 6) + 0.0 AS slope, round(intercept, 4) + 0.0 AS intercept, "
-        f"round(r2, 6) + 0.0 AS r2, n FROM ({fit})")
+        f"SELECT BU_action, CASE WHEN {defined} THEN round(slope, 6) + 0.0 END AS slope, "
+        f"CASE WHEN {defined} THEN round(intercept, 4) + 0.0 END AS intercept, "
+        f"CASE WHEN {defined} THEN round(CASE WHEN syy = 0 THEN 1.0 ELSE r2 END, 6) + 0.0 END AS r2, n FROM ({fit})")
     q["q2_3_age_fit_grid"] = _with(f"""
-      SELECT BU_action, CAST(g.year AS INTEGER) AS year, round(intercept + slope * g.year, 4) + 0.0 AS fit,
-        round(CASE WHEN n > 2 THEN sqrt(greatest(syy - sxy * sxy / sxx, 0.0) / (n - 2))
-              * sqrt(1.0 / n + (g.year - avgx) * (g.year - avgx) / sxx) END, 4) + 0.0 AS se_fit,
-        n
-      FROM ({fit}) f,
-        (SELECT unnest(range((SELECT min(year) FROM events), (SELECT max(year) FROM events) + 1)) AS year) g
-      WHERE slope IS NOT NULL
+      SELECT BU_action, year, round(fit, 4) + 0.0 AS fit, round(se, 4) + 0.0 AS se_fit,
+        round(fit - 1.96 * se, 4) + 0.0 AS band_low, round(fit + 1.96 * se, 4) + 0.0 AS band_high, n
+      FROM (
+        SELECT BU_action, CAST(g.year AS INTEGER) AS year, intercept + slope * g.year AS fit, n,
+          CASE WHEN n > 2 THEN sqrt(greatest(syy - sxy * sxy / sxx, 0.0) / (n - 2))
+               * sqrt(1.0 / n + (g.year - avgx) * (g.year - avgx) / sxx) END AS se
+        FROM ({fit}) f,
+          (SELECT unnest(range((SELECT min(year) FROM events), (SELECT max(year) FROM events) + 1)) AS year) g
+        WHERE {defined})
     """)
     q["q2_3_term_mean_age"] = _with(
         f"SELECT CAST(year(terminationdate_key) AS INTEGER) AS year, termreason_desc, "
@@ -258,8 +322,9 @@ def _ages() -> dict[str, str]:
         FROM panel GROUP BY ALL
       ) GROUP BY year, BUSINESS_UNIT, gender_full
     """)
-    q["q2_4_age_box"] = _with(_box(f"SELECT {_label('BUSINESS_UNIT', 'action')} AS BU_action, age AS v FROM events",
-                                   "BU_action", False))
+    boxed = f"SELECT {_label('BUSINESS_UNIT', 'action')} AS BU_action, age AS v FROM events"
+    q["q2_4_age_box"] = _with(_box(boxed, "BU_action", False))
+    q["q2_4_age_outliers"] = _with(_box_outliers(boxed, "BU_action"))
     for key, table in (("q2_4_hired_agegroup", "hire_ages"), ("q2_4_termed_agegroup", "term_ages")):
         counts = f"SELECT {_BAND.format(a='age')} AS agegroup, count(*) AS n FROM {table} GROUP BY ALL"
         q[key] = _with(_share(counts, "n"))
@@ -275,6 +340,7 @@ def _reasons() -> dict[str, str]:
     q["q3_2_reason_ages"] = _with("SELECT termreason_desc, age FROM reasoned")
     q["q3_2_reason_mean_age"] = _with("SELECT termreason_desc, avg(age) AS mean_age FROM reasoned GROUP BY ALL")
     q["q3_2_reason_age_box"] = _with(_box("SELECT termreason_desc, age AS v FROM reasoned", "termreason_desc", True))
+    q["q3_2_reason_age_outliers"] = _with(_box_outliers("SELECT termreason_desc, age AS v FROM reasoned", "termreason_desc"))
     q["q3_3_reason_bu"] = _with("SELECT termreason_desc, BUSINESS_UNIT, count(*) AS n FROM reasoned GROUP BY ALL")
     for num, dim in (("4", K.DEPT), ("5", K.CITY), ("6", K.JOB)):
         short = {K.DEPT: "dept", K.CITY: "city", K.JOB: "job"}[dim]
@@ -293,7 +359,8 @@ def _hiring() -> dict[str, str]:
       SELECT job_title AS job,
              count(*) FILTER (WHERE gender_short = 'F') AS Female,
              count(*) FILTER (WHERE gender_short = 'M') AS Male,
-             count(*) FILTER (WHERE gender_short = 'F') + count(*) FILTER (WHERE gender_short = 'M') AS total
+             count(*) FILTER (WHERE gender_short IS NULL OR gender_short NOT IN ('F', 'M')) AS Other,
+             count(*) AS total
       FROM (
         SELECT * FROM (
           SELECT *, row_number() OVER (PARTITION BY EmployeeID
@@ -307,39 +374,37 @@ def _hiring() -> dict[str, str]:
     return q
 
 
-def _service_sql(base: str, r: Report, variant: str) -> str:
-    src = base if r.dim != AGEGROUP else f"(SELECT *, {_BAND.format(a='age')} AS agegroup FROM {base})"
-    if r.kind in ("summary", "share"):
-        p = r.high if variant == "high" else r.low
-        op = ">=" if variant == "high" else "<="
-        rows = f"SELECT * FROM {src} WHERE service {op} (SELECT quantile_cont(service, {p}) FROM {base})"
-        if r.kind == "share":
-            return f"SELECT {r.dim}, count(*) AS n FROM ({rows}) GROUP BY {r.dim}"
-        return (f"SELECT min(age) AS age_min, round(CAST(quantile_cont(age, 0.25) AS DOUBLE), 6) AS age_q1, "
-                f"round(CAST(quantile_cont(age, 0.5) AS DOUBLE), 6) AS age_median, avg(age) AS age_mean, "
-                f"round(CAST(quantile_cont(age, 0.75) AS DOUBLE), 6) AS age_q3, max(age) AS age_max, "
-                f"count(*) - count(age) AS age_nas FROM ({rows})")
-    means = (f"SELECT {r.dim}, avg(service) AS service FROM {src} "
-             f"WHERE service IS NOT NULL AND {r.dim} IS NOT NULL GROUP BY {r.dim}")
-    if r.kind == "mean":
+def _service_sql(base: str, kind: str, dim: str, p: float | None, op: str) -> str:
+    src = base if dim != "agegroup" else f"(SELECT *, {_BAND.format(a='age')} AS agegroup FROM {base})"
+    if kind == "under20":
+        return (f"SELECT EmployeeID, termreason_desc, city_name, job_title, terminationdate_key FROM {src} "
+                f"WHERE agegroup = '<20'")
+    means = (f"SELECT {dim}, avg(service) AS service FROM {src} "
+             f"WHERE service IS NOT NULL AND {dim} IS NOT NULL GROUP BY {dim}")
+    if kind == "mean":
         return means
-    if r.kind == "extreme_mean":
-        p = r.high if variant == "high" else r.low
-        op = ">=" if variant == "high" else "<="
+    if kind == "extreme":
         return f"SELECT * FROM ({means}) WHERE service {op} (SELECT quantile_cont(service, {p}) FROM ({means}))"
-    if r.kind == "under20":
-        return (f"SELECT EmployeeID, termreason_desc, city_name, job_title, terminationdate_key FROM {src} "
-                f"WHERE agegroup = '{UNDER20_BAND}'")
-    raise ValueError(r.kind)
+    rows = f"SELECT * FROM {src} WHERE service {op} (SELECT quantile_cont(service, {p}) FROM {base})"
+    if kind == "share":
+        return f"SELECT {dim}, count(*) AS n FROM ({rows}) GROUP BY {dim}"
+    return (f"SELECT min(age) AS age_min, round(CAST(quantile_cont(age, 0.25) AS DOUBLE), 6) AS age_q1, "
+            f"round(CAST(quantile_cont(age, 0.5) AS DOUBLE), 6) AS age_median, avg(age) AS age_mean, "
+            f"round(CAST(quantile_cont(age, 0.75) AS DOUBLE), 6) AS age_q3, max(age) AS age_max, "
+            f"count(*) - count(age) AS age_nas FROM ({rows})")
 
 
 def _service() -> dict[str, str]:
     q = {"q5_service_latest": _with("SELECT * FROM latest")}
-    for base, listing_key, reports in BASES:
-        q[listing_key] = _with(f"SELECT * FROM {base}")
-        for r in reports:
-            for key, variant in expand(r):
-                q[key] = _with(_service_sql(base, r, variant))
+    sides = {"summary": ("_long", "_short"), "share": ("_long", "_short"), "extreme": ("_best", "_worst")}
+    for base, (listing, reports) in _REPORTS.items():
+        q[listing] = _with(f"SELECT * FROM {base}")
+        for key, kind, dim, long, short in reports:
+            if kind not in sides:
+                q[key] = _with(_service_sql(base, kind, dim, None, ""))
+                continue
+            for side, p, op in zip(sides[kind], (long, short), (">=", "<="), strict=True):
+                q[key + side] = _with(_service_sql(base, kind, dim, p, op))
     return q
 
 

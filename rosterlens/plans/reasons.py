@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterlens import constants as K
 from rosterlens.functions import count_label
-from rosterlens.operators import box_stats, count_by, extreme_member_per, share_of_total
+from rosterlens.operators import box_outliers, box_stats, count_by, extreme_member_per, share_of_total
 from rosterlens.plans.context import Workforce
 
 
@@ -32,6 +32,11 @@ def q3_2_reason_age_box(w: Workforce) -> DataFrame:
     return box_stats(_with_reason(w), K.AGE, [K.REASON], with_range=True)
 
 
+def q3_2_reason_age_outliers(w: Workforce) -> DataFrame:
+    """Ages beyond the whiskers of each box of ``q3_2_reason_age_box``, with their counts."""
+    return box_outliers(_with_reason(w), K.AGE, [K.REASON])
+
+
 def q3_3_reason_bu(w: Workforce) -> DataFrame:
     return count_by(_with_reason(w), [K.REASON, K.BU])
 
@@ -49,6 +54,7 @@ QUERIES = {
     "q3_2_reason_ages": q3_2_reason_ages,
     "q3_2_reason_mean_age": q3_2_reason_mean_age,
     "q3_2_reason_age_box": q3_2_reason_age_box,
+    "q3_2_reason_age_outliers": q3_2_reason_age_outliers,
     "q3_3_reason_bu": q3_3_reason_bu,
     "q3_4_top_dept": _member(K.DEPT, True),
     "q3_4_least_dept": _member(K.DEPT, False),

@@ -2,7 +2,7 @@
 
 from rosterlens.sources.derived import PANEL_COLUMNS, panel_from_frames, panel_from_tables
 from rosterlens.sources.raw_csv import RAW_SCHEMA, check_employee_ids, check_panel_schema, read_panel_csv, typed_panel
-from rosterlens.sources.store import materialize_panel, read_panel, write_panel
+from rosterlens.sources.store import materialize_panel, read_panel, remove_panel, write_panel
 
 __all__ = [
     "PANEL_COLUMNS",
@@ -14,6 +14,7 @@ __all__ = [
     "panel_from_tables",
     "read_panel",
     "read_panel_csv",
+    "remove_panel",
     "typed_panel",
     "write_panel",
 ]

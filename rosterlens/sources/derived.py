@@ -40,7 +40,16 @@ from rosterlens.operators.joins import (
 
 # --- fixed values of the derived-panel definition ----------------------------
 FIRST_EMPLOYEE_ID = 1318
-SKIP_MODULUS, SKIP_REMAINDER = 7, 3          # customers with key % 7 = 3 are left out
+ID_GAP_EVERY = 6                             # employee id 1318 + key + key div 6: a missing id after each six keys
+HIRE_LEAD_MULTIPLIER, HIRE_LEAD_DAYS = 37, 3000   # hired (key * 37) % 3000 days before the first record
+# missing values: column -> (key, modulus, remainder); c = customer key, o = order key
+MISSING = {
+    K.GENDER: ("c", 41, 5), K.GENDER_FULL: ("c", 41, 5), K.BU: ("c", 53, 11), K.BIRTH_DATE: ("c", 61, 4),
+    K.HIRE_DATE: ("c", 97, 13), K.TERM_DATE: ("c", 101, 17), K.AGE: ("o", 59, 8), K.SERVICE_YEARS: ("o", 71, 6),
+    K.STORE: ("o", 79, 1), K.JOB: ("o", 83, 2), K.DEPT: ("o", 89, 3), K.REASON: ("o", 97, 5), K.TERM_TYPE: ("o", 103, 9),
+    K.CITY: ("o", 107, 10),
+}
+OTHER_GENDER_MODULUS, OTHER_GENDER_REMAINDER = 43, 7     # these keys have gender X / Other
 TERMINATED_MODULUS = 3                       # key % 3 = 0 -> terminated at the last order
 REASON_MODULUS = 9                           # key % 9: 0 Layoff, 3 Resignation, 6 Retirement
 REASONS = [(0, "Layoff"), (3, "Resignation"), (6, "Retirement")]
@@ -122,10 +131,7 @@ def panel_from_frames(
     the plan, never the result.
     """
     ck = F.col("o_custkey")
-    o = (
-        orders.where(ck % SKIP_MODULUS != SKIP_REMAINDER)
-        .select("o_orderkey", "o_custkey", "o_orderdate", _calendar_date(orders, "o_orderdate").alias("rec"))
-    )
+    o = orders.select("o_orderkey", "o_custkey", "o_orderdate", _calendar_date(orders, "o_orderdate").alias("rec"))
     nations = broadcast_if_small(nation.select("n_nationkey", "n_name", "n_regionkey"), MAX_BROADCAST_NATIONS)
     customers = customer.select("c_custkey", "c_nationkey", "c_mktsegment")
     # The hot set routes every order either way, so it must be the same set in each
@@ -138,7 +144,8 @@ def panel_from_frames(
 
     latest = F.col("is_latest")
     terminated = latest & (ck % TERMINATED_MODULUS == 0)
-    birth = F.date_sub(F.col("hire"), (F.lit(BIRTH_BASE_DAYS) + (ck * BIRTH_MULTIPLIER) % BIRTH_SPREAD_DAYS).cast("int"))
+    hire = F.date_sub(F.col("hire"), ((ck * HIRE_LEAD_MULTIPLIER) % HIRE_LEAD_DAYS).cast("int"))
+    birth = F.date_sub(hire, (F.lit(BIRTH_BASE_DAYS) + (ck * BIRTH_MULTIPLIER) % BIRTH_SPREAD_DAYS).cast("int"))
     reason = None
     for remainder, label in REASONS:
         cond = latest & (ck % REASON_MODULUS == remainder)
@@ -150,30 +157,37 @@ def panel_from_frames(
         .otherwise(K.NO_REASON)
     )
     female = ck % 2 == 0
+    other = ck % OTHER_GENDER_MODULUS == OTHER_GENDER_REMAINDER
     ok = F.col("o_orderkey")
-    return j.select(
+    full = j.select(
+        ck.alias("__c"),
         ok.alias(K.SNAPSHOT),
-        (F.lit(FIRST_EMPLOYEE_ID) + ck).alias(K.ID),
+        (F.lit(FIRST_EMPLOYEE_ID) + ck + F.floor(ck / F.lit(ID_GAP_EVERY))).cast("long").alias(K.ID),
         F.col("rec").alias(K.RECORD_DATE),
         birth.alias(K.BIRTH_DATE),
-        F.col("hire").alias(K.HIRE_DATE),
+        hire.alias(K.HIRE_DATE),
         F.when(ck % TERMINATED_MODULUS == 0, F.col("last"))
         .otherwise(F.lit(NOT_TERMINATED_DATE).cast("date"))
         .alias(K.TERM_DATE),
         F.floor(F.date_diff(F.col("rec"), birth) / F.lit(K.DAYS_PER_YEAR)).cast("int").alias(K.AGE),
-        (F.year("rec") - F.year("hire")).cast("int").alias(K.SERVICE_YEARS),
+        (F.year("rec") - F.year(hire)).cast("int").alias(K.SERVICE_YEARS),
         F.col("n_name").alias(K.CITY),
         F.concat(F.col("c_mktsegment"), F.lit("-"), (ok % DEPT_MODULUS).cast("string")).alias(K.DEPT),
         F.concat(F.lit("JOB_"), (ok % JOB_MODULUS).cast("string")).alias(K.JOB),
         (ok % STORE_MODULUS).cast("int").alias(K.STORE),
-        F.when(female, "F").otherwise("M").alias(K.GENDER),
-        F.when(female, "Female").otherwise("Male").alias(K.GENDER_FULL),
+        F.when(other, "X").when(female, "F").otherwise("M").alias(K.GENDER),
+        F.when(other, "Other").when(female, "Female").otherwise("Male").alias(K.GENDER_FULL),
         reason.alias(K.REASON),
         term_type.alias(K.TERM_TYPE),
         F.year("rec").cast("int").alias(K.STATUS_YEAR),
         F.when(terminated, K.STATUS_TERMINATED).otherwise(K.STATUS_ACTIVE).alias(K.STATUS),
         F.when(F.col("n_regionkey") == HEAD_OFFICE_REGION, "HEADOFFICE").otherwise("STORES").alias(K.BU),
     )
+    keys = {"c": F.col("__c"), "o": F.col(K.SNAPSHOT)}
+    missing = {c: keys[k] % modulus == remainder for c, (k, modulus, remainder) in MISSING.items()}
+    missing[K.AGE] = missing[K.AGE] | missing[K.BIRTH_DATE]              # no age without a birth date,
+    missing[K.SERVICE_YEARS] = missing[K.SERVICE_YEARS] | missing[K.HIRE_DATE]   # no service without a hire date
+    return full.select(*[F.when(~missing[c], F.col(c)).alias(c) if c in missing else F.col(c) for c in PANEL_COLUMNS])
 
 
 def panel_from_tables(spark: SparkSession, sf_dir: str, **split) -> DataFrame:

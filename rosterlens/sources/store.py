@@ -10,27 +10,44 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rosterlens import constants as K
 from rosterlens.session import checkpoint_root
+from rosterlens.sources.derived import PANEL_COLUMNS
 
 
 def write_panel(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
-    panel.write.mode(mode).partitionBy(K.STATUS_YEAR).parquet(path)
+    """Partitioned by year; the rows of a year are spread by employee over a few files.
+
+    A year gets an eighth of the shuffle partitions as files, however many tasks
+    the panel comes from; an employee's rows of a year share a file.
+    """
+    per_year = max(1, int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    spread = panel.repartition(F.col(K.STATUS_YEAR), F.pmod(F.xxhash64(K.ID), F.lit(per_year)))
+    spread.write.mode(mode).partitionBy(K.STATUS_YEAR).parquet(path)
 
 
 def read_panel(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The panel columns in their order; others (such as an ingest batch) are left out."""
+    return spark.read.parquet(path).select(*PANEL_COLUMNS)
+
+
+def remove_panel(spark: SparkSession, path: str) -> None:
+    """Delete a written panel."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialize_panel(spark: SparkSession, panel: DataFrame, tag: str) -> DataFrame:
+def materialize_panel(spark: SparkSession, panel: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``panel`` under the session's shared checkpoint folder and read it back.
 
     This cuts the lineage back to the source tables: a lost executor then
     re-reads Parquet files instead of recomputing joins. The folder comes
     from ``spark.checkpoint.dir`` (see :func:`rosterlens.session.checkpoint_root`).
+    Returns the table and its path.
     """
     key = hashlib.sha1(tag.encode()).hexdigest()[:16]
     path = f"{checkpoint_root(spark)}/rosterlens-panel-{key}"
     write_panel(panel, path)
-    return read_panel(spark, path)
+    return read_panel(spark, path), path

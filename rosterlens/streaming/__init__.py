@@ -20,36 +20,25 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rosterlens import constants as K
 from rosterlens.session import checkpoint_root
-from rosterlens.sources.raw_csv import RAW_SCHEMA, typed_panel
+from rosterlens.sources.raw_csv import READ_OPTIONS, ROW_IDS, SPLIT_IDS, TEXT_SCHEMA, positioned, typed_panel
 
 INGEST_BATCH = "ingest_batch"
-# Snapshot ids of batch b are b * 2**43 + monotonically_increasing_id. That id is
-# (partition index << 33) + row, so it stays below 2**43 when a batch has at most
-# 1024 partitions (larger batches are coalesced, without a shuffle): ids stay
-# unique and increase with the batch for about a million batches.
-_BATCH_SHIFT = 1 << 43
-_MAX_BATCH_PARTITIONS = 1 << 10
+# snapshot ids of a batch stay below this, so they grow with the batch
+_BATCH_IDS = SPLIT_IDS * ROW_IDS
 
 
 def snapshot_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Raw snapshot rows of the CSV files arriving in ``source_dir`` (streaming)."""
-    reader = (
-        spark.readStream.schema(RAW_SCHEMA)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("nullValue", K.RAW_NULL_TEXT)
-    )
+    reader = spark.readStream.schema(TEXT_SCHEMA).options(**READ_OPTIONS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.csv(source_dir)
+    return positioned(reader.csv(source_dir))
 
 
 def _append_batch(store_path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.rdd.getNumPartitions() > _MAX_BATCH_PARTITIONS:
-            batch = batch.coalesce(_MAX_BATCH_PARTITIONS)
         typed = typed_panel(batch)
-        typed = typed.withColumn(K.SNAPSHOT, F.lit(batch_id) * F.lit(_BATCH_SHIFT) + F.col(K.SNAPSHOT))
+        typed = typed.withColumn(K.SNAPSHOT, F.lit(batch_id) * F.lit(_BATCH_IDS) + F.col(K.SNAPSHOT))
         (
             typed.withColumn(INGEST_BATCH, F.lit(batch_id))
             .write.mode("overwrite")

@@ -13,32 +13,36 @@ def q():
 
 
 def test_id_gap(spark, q):
-    assert q["q0_id_gap"](spark, SF_MID).first().id_gap == 214
+    assert q["q0_id_gap"](spark, SF_MID).first().id_gap == 249
+    assert q["q0_unknown_period"](spark, SF_MID).first().unknown_period == 8
+    assert q["q0_average_term"](spark, SF_MID).first().average_term == 31.125
 
 
 def test_flow(spark, q):
     got = [tuple(r) for r in q["q1_1_flow"](spark, SF_MID).collect()]
-    assert got == [
-        (1995, 996, 0, 996), (1996, 228, 0, 1224), (1997, 44, 4, 1264), (1998, 11, 4, 1271),
-        (1999, 4, 33, 1242), (2000, 0, 117, 1125), (2001, 3, 270, 858),
+    assert got[0] == (1986, 7, 0, 7) and len(got) == 17
+    assert got[-6:] == [
+        (1997, 7, 4, 1478), (1998, 2, 7, 1473), (1999, 0, 36, 1437), (2000, 0, 137, 1300), (2001, 0, 311, 989),
+        (None, 16, 0, 1005),
     ]
 
 
 def test_terminated_long_service_by_gender(spark, q):
     got = {r.gender_short: r.n for r in q["q5_2_gender_long"](spark, SF_MID).collect()}
-    assert got == {"F": 71, "M": 62}
+    assert got == {"F": 21, "M": 16}
 
 
 def test_terminated_best_city_means(spark, q):
     got = [(r.city_name, round(r.service, 6)) for r in q["q5_7_mean_city_best"](spark, SF_MID).collect()]
-    assert got == [("NATION_20", 5.714286), ("NATION_3", 5.714286), ("NATION_23", 5.7)]
+    assert got == [("NATION_16", 10.857143), ("NATION_19", 10.272727), ("NATION_5", 10.0)]
 
 
 def test_reason_by_gender(spark, q):
     got = {(r.termreason_desc, r.gender_short): r.n for r in q["q3_1_reason_gender"](spark, SF_MID).collect()}
     assert got == {
-        ("Layoff", "F"): 72, ("Layoff", "M"): 71, ("Resignation", "F"): 71,
-        ("Resignation", "M"): 72, ("Retirement", "F"): 71, ("Retirement", "M"): 71,
+        ("Layoff", "F"): 80, ("Layoff", "M"): 77, ("Layoff", "X"): 3, ("Layoff", None): 4,
+        ("Resignation", "F"): 78, ("Resignation", "M"): 80, ("Resignation", "X"): 4, ("Resignation", None): 4,
+        ("Retirement", "F"): 79, ("Retirement", "M"): 79, ("Retirement", "X"): 4, ("Retirement", None): 4,
     }
 
 
@@ -47,14 +51,14 @@ def test_terminated_by_band(spark, q):
 
     base = q["q5_term_service"](spark, SF_MID)
     got = {r.b: r.n for r in base.groupBy(age_band("age").alias("b")).agg(F.count("*").alias("n")).collect()}
-    assert got == {"<20": 12, "20-29": 32, "30-39": 34, "40-49": 30, "50-59": 22, "60-69": 35,
-                   "70-79": 36, "80-89": 30, None: 12}
-    assert q["q5_18_under20"](spark, SF_MID).count() == 12
+    assert got == {"<20": 3, "20-29": 31, "30-39": 34, "40-49": 35, "50-59": 29, "60-69": 35,
+                   "70-79": 36, "80-89": 36, None: 37}
+    assert q["q5_18_under20"](spark, SF_MID).count() == 3
 
 
 def test_terminated_rows_vs_base(spark, q):
     from rosterlens.plans import workforce
 
     panel = workforce(spark, SF_MID).panel
-    assert panel.where(F.col("STATUS") == "TERMINATED").count() == 428
-    assert q["q5_term_service"](spark, SF_MID).count() == 243
+    assert panel.where(F.col("STATUS") == "TERMINATED").count() == 500
+    assert q["q5_term_service"](spark, SF_MID).count() == 276

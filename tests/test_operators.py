@@ -176,15 +176,6 @@ def test_id_gap_and_unobserved_years(spark):
     assert unobserved_years(p).first().unknown_period == 15
 
 
-def test_approx_threshold_is_an_observed_value(spark):
-    df = spark.createDataFrame([(float(v),) for v in range(1, 101)], "x double")
-    exact = at_or_above(df, "x", 0.9).count()
-    approx = at_or_above(df, "x", 0.9, approx=True).count()
-    assert exact == 10  # P90 = 90.1 -> 91..100
-    assert approx in (10, 11)
-
-
-@pytest.mark.parametrize("dims", [[], [K.BU], [K.GENDER], [K.DEPT]])
 def test_one_pass_flow_equals_outer_merge_of_counts(spark, dims):
     from conftest import SF_SMALL
     from rosterlens.operators import hires_by

@@ -6,14 +6,21 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from conftest import SF_SMALL
 from oracle_check import compare, duck
+from rosterlens.plans import oracle, registered_queries
+from rosterlens.plans.oracle import oracle_statements
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = registered_queries()
+SQL = oracle_statements()
 
 
-def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(SQL)
-    assert len(QUERIES) >= 107
+def test_every_analysis_has_an_oracle():
+    assert set(QUERIES) == set(SQL) and len(QUERIES) >= 107
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
+def test_oracle_does_not_read_the_spark_side():
+    source = open(oracle.__file__).read()
+    assert "plans.service" not in source and "pyspark" not in source
 
 
 @pytest.fixture(scope="module")
@@ -104,15 +111,40 @@ def test_single_partition_exchanges_only_follow_aggregates(spark):
             assert re.match(r"(\*\(\d+\) )?(HashAggregate|ObjectHashAggregate|SortAggregate)", node), (key, node)
 
 
-def test_per_group_thresholds_read_their_aggregate_once(spark):
-    """Top-20% and best/worst-mean reports cut with a window over the per-group
-    table, so the aggregate is not computed a second time in a subquery."""
+def test_no_window_over_all_rows_but_the_running_total(spark):
+    """Thresholds and shares are scalar subqueries; only the running total (one row a
+    year) has a window without a key."""
     from rosterlens.plans import ANALYSES, workforce
 
     w = workforce(spark, SF_SMALL)
-    for key in ("q4_1_top20_job", "q4_4_top20_job_gender", "q5_7_mean_city_best", "q6_13_mean_store_worst"):
-        plan = ANALYSES[key](w)._jdf.queryExecution().executedPlan().toString()
-        assert "Window [percentile" in plan and "Subquery" not in plan, key
+    for key, build in ANALYSES.items():
+        lines = build(w)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        keyless = [x for x in lines if x.strip(" :+-").startswith("Window [") and "PARTITION BY" not in x.upper() and "windowspecdefinition(year" in x]
+        others = [x for x in lines if x.strip(" :+-").startswith("Window [percentile")]
+        assert not others, key
+        assert not keyless or key in ("q1_1_flow", "q1_1_flow_long"), key
+
+
+def test_thresholds_and_shares_share_the_aggregate_of_their_table(spark):
+    """The subquery and the filtered table use one shuffle: in the final plan one is a reused exchange."""
+    from rosterlens.plans import ANALYSES, workforce
+
+    w = workforce(spark, SF_SMALL)
+    for key in ("q4_1_top20_job", "q4_4_top20_job_gender", "q5_7_mean_city_best", "q3_1_reason_gender"):
+        df = ANALYSES[key](w)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Subquery" in plan and "ReusedExchange" in plan, key
+
+
+def test_bases_keep_the_parallelism_of_their_input(spark):
+    from rosterlens.plans import Workforce
+    from rosterlens.sources import panel_from_tables
+
+    w = Workforce(panel_from_tables(spark, SF_SMALL).repartition(6))
+    assert w.reasoned.rdd.getNumPartitions() == 6
+    assert w.hire_ages.rdd.getNumPartitions() >= 1
+    w.release()
 
 
 def test_service_reports_take_cut_offs_from_the_persisted_row(spark):

@@ -83,7 +83,7 @@ def test_hot_customer_split_keeps_panel_whole(spark):
     split = panel_from_tables(spark, SF_MID, hot_min_rows=12, max_hot_keys=1_000_000, sample_fraction=1.0)
     a = sorted(map(tuple, normal.collect()))
     b = sorted(map(tuple, split.collect()))
-    assert len(b) == 12834 and a == b
+    assert len(b) == 15000 and a == b
     plan = _plan(split)
     assert "LeftAnti" in plan and "LeftSemi" in plan and "BroadcastHashJoin" in plan
 
@@ -105,7 +105,7 @@ def test_panel_plan_without_auto_broadcast(spark):
         plan = _plan(p)
         # nation still broadcast after its row-count check; hot keys removed before the shuffle join
         assert "LeftAnti" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" in plan
-        assert p.count() == 12834
+        assert p.count() == 15000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")

@@ -4,6 +4,7 @@ import pytest
 
 from conftest import SF_MID, SF_SMALL
 from rosterlens import constants as K
+from rosterlens.operators import latest_snapshot
 from rosterlens.plans import registered_queries
 from rosterlens.sources import PANEL_COLUMNS, panel_from_tables, read_panel, read_panel_csv, write_panel
 
@@ -30,12 +31,12 @@ def test_read_panel_csv(spark, tmp_path):
 
 @pytest.mark.parametrize(
     "sf_dir, rows, employees, active, terminated",
-    [(SF_SMALL, 1289, 129, 103, 26), (SF_MID, 12834, 1286, 1043, 243)],
+    [(SF_SMALL, 1500, 150, 120, 28), (SF_MID, 15000, 1500, 1208, 276)],
 )
 def test_derived_panel_sizes(spark, sf_dir, rows, employees, active, terminated):
     p = panel_from_tables(spark, sf_dir)
     assert p.columns == PANEL_COLUMNS
-    assert p.count() == rows
+    assert p.count() == rows == spark.read.parquet(f"{sf_dir}/orders.parquet").count()      # no order is lost
     assert p.select(K.ID).distinct().count() == employees
     q = registered_queries()
     assert q["q6_active_service"](spark, sf_dir).count() == active
@@ -47,7 +48,7 @@ def test_panel_store_roundtrip(spark, tmp_path):
     path = str(tmp_path / "panel")
     write_panel(p, path)
     back = read_panel(spark, path)
-    assert sorted(back.columns) == sorted(PANEL_COLUMNS)
+    assert back.columns == PANEL_COLUMNS
     assert back.count() == p.count()
     # partition pruning on the status year
     pruned = back.where(back[K.STATUS_YEAR] == 1996)
@@ -83,7 +84,7 @@ def test_cli_writes_selected_reports(spark, tmp_path):
     out = str(tmp_path / "reports")
     assert main(["--sf-dir", SF_SMALL, "--out", out, "q0_*", "q1_1_flow"]) == 0
     flow = spark.read.parquet(f"{out}/q1_1_flow")
-    assert sorted(flow.columns) == ["hired", "termed", "total", "year"] and flow.count() == 7
+    assert sorted(flow.columns) == ["hired", "termed", "total", "year"] and flow.count() == 16
     assert spark.read.parquet(f"{out}/q0_id_gap").count() == 1
     assert main(["--sf-dir", SF_SMALL, "no_such_key"]) == 2
 
@@ -92,6 +93,30 @@ def test_missing_employee_ids_are_rejected(spark, tmp_path):
     lines = CSV.strip().splitlines()
     path = tmp_path / "ids.csv"
     path.write_text("\n".join(lines[:2] + ["NA" + lines[3][len("1319"):]]) + "\n")
-    assert read_panel_csv(spark, str(path)).count() == 2
+    assert read_panel_csv(spark, str(path), check_ids=False).count() == 2
     with pytest.raises(ValueError, match="EmployeeID"):
-        read_panel_csv(spark, str(path), check_ids=True)
+        read_panel_csv(spark, str(path))
+
+
+def test_bad_cells_fail_and_empty_text_stays(spark, tmp_path):
+    lines = CSV.strip().splitlines()
+    cells = lines[1].split(",")
+    (tmp_path / "bad.csv").write_text("\n".join([lines[0], ",".join(cells[:5] + ["abc"] + cells[6:])]) + "\n")
+    with pytest.raises(Exception, match="age is not an integer: abc"):
+        read_panel_csv(spark, str(tmp_path / "bad.csv"), check_ids=False).collect()
+    (tmp_path / "short.csv").write_text("\n".join([lines[0], ",".join(cells[:-1])]) + "\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_panel_csv(spark, str(tmp_path / "short.csv"), check_ids=False).collect()
+    (tmp_path / "empty.csv").write_text("\n".join([lines[0], ",".join(cells[:7] + [""] + cells[8:])]) + "\n")
+    assert read_panel_csv(spark, str(tmp_path / "empty.csv")).first().city_name == ""
+
+
+def test_ids_follow_file_names_not_task_packing(spark, tmp_path):
+    lines = CSV.strip().splitlines()
+    src = tmp_path / "files"
+    src.mkdir()
+    (src / "a.csv").write_text("\n".join([lines[0], lines[1].replace("Vancouver", "First")]) + "\n")
+    (src / "b.csv").write_text("\n".join([lines[0], *[lines[1].replace("Vancouver", "Second")] * 2000]) + "\n")
+    panel = read_panel_csv(spark, str(src))
+    assert panel.select(K.SNAPSHOT).distinct().count() == 2001
+    assert latest_snapshot(panel).first().city_name == "First"
