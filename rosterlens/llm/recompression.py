@@ -4,22 +4,22 @@ Each round renames a text's symbols: first every run of one symbol, then
 every pair (left symbol, right symbol), where a bit of the symbol's name and
 the round puts each symbol on one side. A name is a 64-bit function of what it
 stands for, so a run or pair has the same name in every text, task and
-retry, and a round needs no dictionary to be joined. After ``ROUNDS`` rounds
-a symbol without runs spans at most ``2 ** ROUNDS`` words. Two occurrences of
-one passage can differ only at the rims: per round and side at most one
-symbol merges with a run outside and one pairs with a neighbour outside, so
-
-    words lost on both rims <= 2 * sum(2 * 2**j for j < ROUNDS) = 28
-
-and a passage of 50 words keeps 22 words or more as whole common symbols, at
-least three of them. Among every three neighbours the one with the smallest
-scrambled name is an anchor, so every shared passage shares an anchor. (A
-symbol repeated on a rim is a run in both texts; runs are always anchors.)
-
-Spark counts the anchors of all texts; those in two texts or more reveal
-candidate passages. Only their windows are then hashed (two independent
-64-bit hashes) and the smallest document of every window decides. Copies of a
-whole text are one class with one representative before any of this.
+retry, and a round needs no dictionary to be joined.
+
+Two occurrences of one passage can differ only at the rims. In a passage without
+long runs (three words or more of one word, or any run of a later round) a rim
+loses, per round, at most one run and one symbol that pairs outwards: 2 + 2
+words, then 4 + 4. So the symbols inside 50 words less ``RIM`` = 12 on both sides
+follow from the passage alone. The high-level symbols that Spark compares stand
+for ``JOINED`` neighbours; of every ``CHOICES`` of them in a row the one with the
+smallest scrambled name is an anchor. A window is a candidate if every row
+inside its rims shows an anchor that another text has too. A window that touches
+a long run, or holds no whole row, proves nothing this way and is a candidate if
+another text has a run of that symbol, or such a window (``BARE``). Spark counts
+the anchors of all texts and so reveals the candidates; only these are hashed (two
+independent 64-bit hashes), and the smallest document of every window
+decides. Copies of a whole text are one class with one representative before
+any of this.
 """
 
 from __future__ import annotations
@@ -33,16 +33,23 @@ from pyspark.sql import functions as F
 
 from rosterlens.llm.common import Words, mix, slices, stored
 
-ROUNDS = 3
+ROUNDS = 2
+RIM = 12
+JOINED, CHOICES = 4, 6
+BARE = np.uint64(0x5AD0_BA4E)
 LAST_ID = 2**63 - 1
 
 
-def symbols(words: Words, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
-    """(text, name, first word, words, is_run) of the anchors of some texts."""
+def symbols(words: Words, rounds: int = ROUNDS) -> tuple[tuple, tuple]:
+    """Long runs and rows of some texts, each as (text, name, first word, words).
+
+    A row is CHOICES high-level symbols one after the other, under the name of
+    the one chosen among them.
+    """
     sym = mix(words.hashes, 101)
     text = np.repeat(np.arange(len(words.counts)), words.counts)
     at, size = np.arange(len(sym)), np.ones(len(sym), np.int64)
-    found = []
+    runs = []
     for r in range(rounds):
         same = (sym[1:] == sym[:-1]) & (text[1:] == text[:-1])
         if same.any():
@@ -50,26 +57,69 @@ def symbols(words: Words, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
             times = np.diff(np.r_[head, len(sym)])
             sym, text, at, size = sym[head], text[head], at[head], size[head] * times
             run = times > 1
-            found.append((text[run], mix(sym[run], 7), at[run], size[run], np.ones(run.sum(), bool)))
+            long = run & ((times > 2) | (r > 0))
+            runs.append((text[long], mix(sym[long], 7), at[long], size[long]))
             sym = np.where(run, mix(sym + times.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), 9), sym)
         right = (mix(sym, 1000 + r) & np.uint64(1)).astype(bool)
         left = np.flatnonzero(~right[:-1] & right[1:] & (text[1:] == text[:-1]))
-        sym = sym.copy()
+        sym, size = sym.copy(), size.copy()
         sym[left] = mix(mix(sym[left], 11 + r) + sym[left + 1], 31 + r)
-        size = size.copy()
         size[left] += size[left + 1]
         keep = np.ones(len(sym), bool)
         keep[left + 1] = False
         sym, text, at, size = sym[keep], text[keep], at[keep], size[keep]
-    order, chosen = mix(sym, 5), np.zeros(len(sym), bool)
-    if len(sym) >= 3:
-        three = np.flatnonzero(text[:-2] == text[2:])
-        best = np.argmin(np.stack([order[three], order[three + 1], order[three + 2]]), axis=0)
-        chosen[three + best] = True
-    few = np.bincount(text, minlength=len(words.counts)) < 3
-    chosen |= few[text]
-    found.append((text[chosen], sym[chosen], at[chosen], size[chosen], np.zeros(chosen.sum(), bool)))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    none = np.zeros(0, np.int64)
+    runs = tuple(np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (none, none.astype(np.uint64), none, none)
+    span = JOINED + CHOICES - 1
+    if len(sym) < span:
+        return runs, (none, none.astype(np.uint64), none, none)
+    name = np.zeros(len(sym) - JOINED + 1, np.uint64)
+    for k in range(JOINED):
+        name = mix(name + sym[k : len(name) + k], 50 + k)
+    row = np.flatnonzero(text[: len(sym) - span + 1] == text[span - 1 :])
+    order = np.lib.stride_tricks.sliding_window_view(mix(name, 5), CHOICES)[row]
+    chosen = row + np.argmin(order, axis=1)
+    last = row + span - 1
+    return runs, (text[row], name[chosen], at[row], at[last] + size[last] - at[row])
+
+
+class Anchors:
+    """Anchors of some texts and what they say about each window (known by its first word)."""
+
+    def __init__(self, words: Words, window: int):
+        self.words, self.window = words, window
+        self.runs, self.rows = symbols(words)
+        text, name, at, size = self.runs
+        self.touched = self.starts(*self.range_of(text, at - window + 1, at + size - 1))
+        text, name, at, size = self.rows
+        inside = self.starts(*self.range_of(text, at + size + RIM - window, at - RIM))
+        owner = np.repeat(np.arange(len(words.counts)), words.counts)
+        last = words.first[1:][owner] - window
+        bare = (np.arange(len(owner)) <= last) & ~inside & ~self.touched
+        self.bare = bare
+        some = np.unique(owner[bare])
+        self.text = np.r_[self.runs[0], text, some]
+        self.name = np.r_[self.runs[1], name, np.full(len(some), BARE, np.uint64)]
+
+    def range_of(self, text, lowest, highest):
+        first = self.words.first
+        return np.maximum(first[text], lowest), np.minimum(first[text + 1] - self.window, highest)
+
+    def starts(self, lowest, highest) -> np.ndarray:
+        """Which words lie in any of the ranges."""
+        n, good = len(self.words.hashes), lowest <= highest
+        marks = np.bincount(lowest[good], minlength=n + 1) - np.bincount(highest[good] + 1, minlength=n + 1)
+        return np.cumsum(marks)[:n] > 0
+
+    def candidates(self, shared: np.ndarray) -> np.ndarray:
+        """Windows that may start elsewhere, given which of the anchors another text has."""
+        (rt, _, ra, rs), (t, _, a, size) = self.runs, self.rows
+        of_run, of_row, of_bare = np.split(shared, [len(rt), len(rt) + len(t)])
+        by_run = self.starts(*(x[of_run] for x in self.range_of(rt, ra - self.window + 1, ra + rs - 1)))
+        inner = self.range_of(t, a + size + RIM - self.window, a - RIM)
+        by_row = self.starts(*(x[of_row] for x in inner)) & ~self.starts(*(x[~of_row] for x in inner))
+        bare = self.bare & np.isin(np.repeat(np.arange(len(self.words.counts)), self.words.counts), self.text[len(rt) + len(t) :][of_bare])
+        return by_run | (by_row & ~self.touched) | bare
 
 
 def _anchors_of(window: int):
@@ -78,9 +128,9 @@ def _anchors_of(window: int):
             for lo, hi in slices(batch["text"]):
                 rows = batch.slice(lo, hi - lo)
                 words = Words(rows["text"], lower=False)
-                text, name, *_ = symbols(words)
-                long_enough = words.counts[text] >= window       # shorter texts have no window
-                pairs = np.unique(np.stack([text[long_enough].astype(np.uint64), name[long_enough]]), axis=1)
+                found = Anchors(words, window)
+                long_enough = words.counts[found.text] >= window       # shorter texts have no window
+                pairs = np.unique(np.stack([found.text[long_enough].astype(np.uint64), found.name[long_enough]]), axis=1)
                 ends = np.searchsorted(pairs[0], np.arange(len(rows) + 1, dtype=np.uint64)).astype(np.int32)
                 names = pa.ListArray.from_arrays(pa.array(ends), pa.array(pairs[1].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([rows["o"], rows["h"], rows["k"], names], ["o", "h", "k", "anchors"])
@@ -89,29 +139,19 @@ def _anchors_of(window: int):
 
 
 def _candidate_windows(window: int):
-    """Hashes of the windows that contain a shared anchor."""
+    """Hashes of the candidate windows of texts that have shared anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch["text"]):
                 rows = batch.slice(lo, hi - lo)
                 words = Words(rows["text"], lower=False)
-                text, name, at, size, is_run = symbols(words)
                 lists = rows["anchors"]
                 owner = np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy(zero_copy_only=False))
                 wanted = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 told = lambda t, n: mix(n ^ mix(t.astype(np.uint64), 3), 4)
-                hit = np.isin(told(text, name), told(owner, wanted))
-                text, at, size, is_run = text[hit], at[hit], size[hit], is_run[hit]
-                first, last = words.first[text], words.first[text + 1] - window
-                # a window holds a whole symbol, but may cut a run
-                lowest = np.maximum(first, np.where(is_run, at - window + 1, at + size - window))
-                highest = np.minimum(last, np.where(is_run, at + size - 1, at))
-                good = lowest <= highest
-                marks = np.zeros(len(words.hashes) + 1, np.int64)
-                np.add.at(marks, lowest[good], 1)
-                np.add.at(marks, highest[good] + 1, -1)
-                wanted_start = np.cumsum(marks)[:-1] > 0
+                found = Anchors(words, window)
+                wanted_start = found.candidates(np.isin(told(found.text, found.name), told(owner, wanted)))
                 one, start = words.sequences(window, 1)
                 two, _ = words.sequences(window, 2)
                 pick = wanted_start[start]
@@ -167,27 +207,26 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     if window < 50:
         raise ValueError("the anchors are only certain for windows of 50 words or more")
     passed = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    docs = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(passed)], F.col(f"`{text}`").alias("text"),
-                       F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST_ID)).alias("o"))
-    docs = docs.withColumns({"h": F.xxhash64("text"), "k": F.unhex(F.md5(F.coalesce("text", F.lit(""))))})
-    parsed = stored(
-        docs.select("o", "h", "k", "text").mapInArrow(_anchors_of(window), "o long, h long, k binary, anchors array<long>"), "parsed"
+    columns = ["text" if c == text else f"in_{i}" for i, c in enumerate(passed)]
+    docs = docs.select(
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(passed, columns, strict=True)],
+        F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST_ID)).alias("o"), F.xxhash64(F.col(f"`{text}`")).alias("h"),
     )
+    hashed = docs.select("o", "h", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("k"), "text")
+    parsed = stored(hashed.mapInArrow(_anchors_of(window), "o long, h long, k binary, anchors array<long>"), "parsed")
     classes = parsed.groupBy("k").agg(F.min("o").alias("rep"))
-    firsts = parsed.join(classes, "k").where("o = rep").select("o", "h", F.explode("anchors").alias("anchor")).distinct()
-    firsts = stored(firsts, "anchors")
+    classed = parsed.join(stored(classes, "classes"), "k")
+    firsts = stored(classed.where("o = rep").select("o", "h", F.explode("anchors").alias("anchor")), "anchors")
     shared = firsts.groupBy("anchor").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).where("lo < hi").select("anchor")
-    todo = firsts.join(stored(shared, "shared"), "anchor").groupBy("o", "h").agg(F.collect_list("anchor").alias("anchors"))
-    windows = docs.select("o", "h", "text").join(stored(todo, "todo"), ["o", "h"]).mapInArrow(
+    todo = firsts.join(stored(shared, "shared"), "anchor").groupBy("o", "h").agg(F.collect_set("anchor").alias("anchors"))
+    # the two joins below shuffle the texts the same way, so Spark moves them once and reuses the exchange
+    windows = docs.join(stored(todo, "todo"), ["o", "h"]).mapInArrow(
         _candidate_windows(window), "w1 long, w2 long, o long, h long, pos int"
     )
-    windows = stored(windows, "windows")
     least = windows.groupBy("w1", "w2").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
-    again = windows.join(stored(least, "least"), ["w1", "w2"]).where("o > lo")
-    gone = stored(again.groupBy("o", "h").agg(F.collect_set("pos").alias("__starts")), "gone")
-    told = docs.join(classes, "k").withColumn("__copy", F.col("o") > F.col("rep")).join(gone, ["o", "h"], "left")
-    columns = [f"in_{i}" for i in range(len(passed))]
-    told = told.select(*columns, "text", "__copy", "__starts")
+    gone = windows.join(least, ["w1", "w2"]).where("o > lo").groupBy("o", "h").agg(F.collect_set("pos").alias("__starts"))
+    copies = classed.groupBy("o", "h").agg(F.max(F.col("o") > F.col("rep")).alias("__copy"))
+    told = docs.join(stored(copies, "copies").join(gone, ["o", "h"], "left"), ["o", "h"])
     schema = ", ".join(f"{c} {told.schema[c].dataType.simpleString()}" for c in columns)
     out = told.mapInArrow(_cut(window, columns), f"{schema}, n_words long, n_removed long, kept string")
-    return out.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(passed)], "n_words", "n_removed", "kept")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(passed, columns, strict=True)], "n_words", "n_removed", "kept")
