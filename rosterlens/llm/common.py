@@ -22,6 +22,7 @@ from rosterlens.session import checkpoint_root
 
 SLICE_BYTES = 1 << 20
 _STORED: list[tuple[SparkSession, str]] = []
+_OPEN: list[Scratch] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,8 @@ def work_folder(spark: SparkSession, tag: str) -> str:
         atexit.register(clear_stored)
     path = f"{checkpoint_root(spark)}/llm-{tag}-{uuid.uuid4().hex[:12]}"
     _STORED.append((spark, path))
+    for block in _OPEN[-1:]:
+        block.paths.append((spark, path))
     return path
 
 
@@ -44,17 +47,41 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """
     path = work_folder(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Scratch:
+    """The tables that :func:`stored` writes in a ``with`` block are deleted at its end, but those kept."""
+
+    def __enter__(self) -> Scratch:
+        self.paths, self.kept = [], set()
+        _OPEN.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df.stored_at)
+        return df
+
+    def __exit__(self, kind, *_) -> None:
+        _OPEN.remove(self)
+        for spark, path in self.paths:
+            if path not in self.kept:
+                _delete(spark, path)
+                _STORED.remove((spark, path))
 
 
 def clear_stored() -> None:
-    """Delete the intermediate tables written by :func:`stored` (also runs at exit)."""
+    """Delete the intermediate tables that are left (also runs at exit)."""
     while _STORED:
-        spark, path = _STORED.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(*_STORED.pop())
         except Exception:  # the session has ended; nothing left to ask
             return
 
@@ -185,7 +212,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # then its smaller ones, and the node itself
         least = hung.groupBy("u").agg(F.min("v").alias("m"))
         again = hung.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = stored(again.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        edges, old = stored(again.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges"), edges
+        _delete(old.sparkSession, old.stored_at)
         now = edges.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
