@@ -9,7 +9,7 @@ from conftest import ROOT, SF_SMALL
 
 
 def test_bench_prints_one_json_line():
-    env = dict(os.environ, BENCH_SF_DIR=SF_SMALL, BENCH_CPUS="2")
+    env = dict(os.environ, BENCH_SF_DIR=SF_SMALL, BENCH_CPUS="2", BENCH_EXTRAS="0")
     out = subprocess.run(
         [sys.executable, os.path.join(ROOT, "bench.py")],
         env=env, capture_output=True, text=True, timeout=600, check=True,
@@ -17,5 +17,5 @@ def test_bench_prints_one_json_line():
     assert len(out) == 1
     d = json.loads(out[0])
     assert d["unit"] == "sec" and d["value"] > 0 and d["sf"] == 0.001
-    assert len(d["queries"]) == d["n_queries"] == 110
+    assert len(d["queries"]) == d["n_queries"] == 112
     assert all(t > 0 for t in d["queries"].values())
