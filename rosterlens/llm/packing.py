@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlens.llm.common import slices, stored
-from rosterlens.llm.tokens import encoder
+from rosterlens.llm.tokens import SLICE, encoder
 
 SHARD = 4_000
 ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 3, 6
@@ -159,7 +159,7 @@ def _tokenized(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            for lo, hi in slices(batch["text"]):
+            for lo, hi in slices(batch["text"], SLICE):
                 rows = batch.slice(lo, hi - lo)
                 every, places = encode.encode(rows["text"])
                 out: list[tuple] = []

@@ -123,7 +123,8 @@ def _blocks(n: int) -> np.ndarray:
 class _Writer:
     def __init__(self, lanes: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
-        self.out, self.at = np.zeros((lanes, 2 * BLOCK_IDS + 8), np.uint16), np.zeros(lanes, np.int64)
+        # lanes side by side: they are about as far, so their next words lie close together
+        self.out, self.at = np.zeros((2 * BLOCK_IDS + 8, lanes), np.uint16), np.zeros(lanes, np.int64)
 
     def put(self, lane: np.ndarray | slice, below: np.ndarray, freq: np.ndarray, bits: int) -> None:
         r = self.range[lane] >> np.uint64(bits)
@@ -135,15 +136,15 @@ class _Writer:
             rows = over if isinstance(lane, slice) else lane[over]
             at = self.at[rows] - 1
             while len(rows):                                   # carry into the words already out
-                self.out[rows, at] += np.uint16(1)
-                more = self.out[rows, at] == 0
+                self.out[at, rows] += np.uint16(1)
+                more = self.out[at, rows] == 0
                 rows, at = rows[more], at[more] - 1
         while True:
             small = np.flatnonzero(r < np.uint64(1 << 32))
             if not len(small):
                 break
             rows = small if isinstance(lane, slice) else lane[small]
-            self.out[rows, self.at[rows]] = (low[small] >> np.uint64(32)).astype(np.uint16)
+            self.out[self.at[rows], rows] = (low[small] >> np.uint64(32)).astype(np.uint16)
             self.at[rows] += 1
             low[small] = (low[small] & np.uint64((1 << 32) - 1)) << np.uint64(16)
             r[small] <<= np.uint64(16)
@@ -151,7 +152,7 @@ class _Writer:
 
     def close(self) -> None:
         for shift in (32, 16, 0):
-            self.out[np.arange(len(self.at)), self.at] = ((self.low >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
+            self.out[self.at, np.arange(len(self.at))] = ((self.low >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
             self.at += 1
 
 
@@ -214,7 +215,7 @@ def encode_page(ids: np.ndarray) -> bytes:
     info = np.zeros((lanes, 3), "<u4")
     info[:, 0], info[:, 1] = sizes, writer.at
     info[:, 2] = [zlib.crc32(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    words = writer.out[np.arange(writer.out.shape[1]) < writer.at[:, None]].astype("<u2")
+    words = np.ascontiguousarray(writer.out.T)[np.arange(len(writer.out)) < writer.at[:, None]].astype("<u2")
     return struct.pack(_HEAD, MAGIC, VERSION, lanes, len(table), len(ids)) + table + info.tobytes() + words.tobytes()
 
 
@@ -284,7 +285,7 @@ def _pages(path: str, end_id: int):
         from pyspark import TaskContext
 
         from rosterlens.llm.common import slices
-        from rosterlens.llm.tokens import encoder
+        from rosterlens.llm.tokens import SLICE, encoder
 
         encode, part, page = encoder(path), TaskContext.get().partitionId(), 0
         docs, sizes, held = [], [], []
@@ -295,7 +296,7 @@ def _pages(path: str, end_id: int):
             return pa.RecordBatch.from_pylist([row], _PAGE)
 
         for batch in batches:
-            for lo, hi in slices(batch["text"]):
+            for lo, hi in slices(batch["text"], SLICE):
                 rows = batch.slice(lo, hi - lo)
                 ids, places = encode.encode(rows["text"])
                 docs += rows["doc_id"].to_pylist()

@@ -19,7 +19,10 @@ import pyarrow.compute as pc
 
 from rosterlens.llm.common import mix, powers
 
-STORE_PIECES = 2_000_000
+STORE_PIECES = 2_500_000
+SLICE = 2 << 20              # bytes of text to encode at a time,
+HASH_BYTES = 1 << 16         # and to hash at a time
+_PUNCTUATION = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")     # a token of its own after letters
 _ROOTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _INVERSES = tuple(pow(r, -1, 1 << 64) for r in _ROOTS)
 
@@ -54,6 +57,12 @@ def cut_places(data: np.ndarray) -> np.ndarray:
     return cut
 
 
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Two sorted sets of columns as one, by the first."""
+    order = np.argsort(np.r_[a[0], b[0]], kind="stable")
+    return tuple(np.r_[x, y][order] for x, y in zip(a, b, strict=True))
+
+
 class Encoder:
     """Ids of texts (16-bit, or 32-bit for larger vocabularies)."""
 
@@ -68,46 +77,76 @@ class Encoder:
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = iter(range(256, 512))
         self.letters = {b: chr(b) if b in shown else chr(next(hidden)) for b in range(256)}
+        self.space = self.letters[32]
         self.spelled: list[bytes] | None = None
+        self.powers = [(powers(r, 2 * HASH_BYTES), powers(v, 2 * HASH_BYTES)) for r, v in zip(_ROOTS, _INVERSES, strict=True)]
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # known pieces as sorted (key, check, place, size): many, and the latest few, which are merged in now and then
+        self.main, self.recent = none, none
         self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
 
     def _new(self, raw: bytes) -> list[int]:
         piece = raw.decode()
-        word = piece[1:] if piece[:1] == " " else piece
-        tail = word[-1:] if word[-1:] in (",", ".") else ""
-        if word[: len(word) - len(tail)].isalpha():
-            model = self.library.model
-            ids = [t.id for t in model.tokenize(raw[: len(raw) - len(tail)].decode("latin-1").translate(self.letters))]
-            return ids + [t.id for t in model.tokenize(tail)] if tail else ids
+        word = piece[1:] if piece[0] == " " else piece
+        tail = word[-1:] if word[-1:] in _PUNCTUATION else ""
+        if (word[:-1] if tail else word).isalpha():
+            if raw.isascii():                                  # letters stand for themselves, a space has its own sign
+                spelled = piece if word is piece else self.space + word
+            else:
+                spelled = raw.decode("latin-1").translate(self.letters)
+            tokenize = self.library.model.tokenize
+            if tail:
+                return [t.id for t in tokenize(spelled[:-1])] + [t.id for t in tokenize(tail)]
+            return [t.id for t in tokenize(spelled)]
         return self.library.encode(piece, add_special_tokens=False).ids
 
     def _learn(self, keys: np.ndarray, checks: np.ndarray, raws: list[bytes]) -> None:
-        if len(self.keys) + len(keys) > STORE_PIECES:
-            self._forget()
         ids = [self._new(r) for r in raws]
         size = np.array([len(x) for x in ids], np.int64)
         total = int(size.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + total] = [i for x in ids for i in x]
-        at = self.used + np.cumsum(size) - size
+        self.recent = _merged(self.recent, (keys, checks, self.used + np.cumsum(size) - size, size))
         self.used += total
-        every = np.r_[self.keys, keys]
-        order = np.argsort(every, kind="stable")
-        self.keys = every[order]
-        for name, new in (("checks", checks), ("at", at), ("size", size)):
-            setattr(self, name, np.r_[getattr(self, name), new][order])
-
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[i] == keys, i, -1)
+        if len(self.recent[0]) > max(50_000, len(self.main[0]) // 8):
+            self.main, self.recent = _merged(self.main, self.recent), tuple(x[:0] for x in self.recent)
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(known, check, place, size) of each key."""
+        known = np.zeros(len(keys), bool)
+        out = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for part in (self.main, self.recent):
+            todo = np.flatnonzero(~known)
+            if not len(part[0]) or not len(todo):
+                continue
+            i = np.minimum(np.searchsorted(part[0], keys[todo]), len(part[0]) - 1)
+            hit = part[0][i] == keys[todo]
+            todo, i = todo[hit], i[hit]
+            known[todo] = True
+            for values, column in zip(out, part[1:], strict=True):
+                values[todo] = column[i]
+        return known, *out
+
+    def _hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of every piece, made in steps whose arrays fit a core's cache."""
+        out = np.zeros((2, len(start)), np.uint64)
+        steps = np.unique(np.r_[np.searchsorted(start, np.arange(0, len(data), HASH_BYTES)), len(start)])
+        for i, j in zip(steps[:-1], steps[1:], strict=True):
+            lo, hi = start[i], end[j - 1]
+            n = int(hi - lo)
+            if n > len(self.powers[0][0]):                      # one long piece
+                self.powers = [(powers(r, n), powers(v, n)) for r, v in zip(_ROOTS, _INVERSES, strict=True)]
+            a, b = start[i:j] - lo, end[i:j] - lo
+            bytes_ = data[lo:hi].astype(np.uint64) + np.uint64(1)
+            sums = np.zeros(n + 1, np.uint64)
+            for row, (up, down) in zip(out, self.powers, strict=True):
+                np.cumsum(bytes_ * up[:n], out=sums[1:])
+                row[i:j] = mix((sums[b] - sums[a]) * down[a])
+        return out[0], out[1]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, places where each text begins and the last ends); null is empty."""
@@ -123,24 +162,18 @@ class Encoder:
         cut[offsets] = True
         start = np.flatnonzero(cut)
         start, end = start[:-1], start[1:]
-        keys, checks = [], []
-        for root, inverse, out in zip(_ROOTS, _INVERSES, (keys, checks), strict=True):
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(root, len(data)), out=sums[1:])
-            out.append(mix((sums[end] - sums[start]) * powers(inverse, len(data))[start]))
-        keys, checks = keys[0], checks[0]
+        keys, checks = self._hashes(data, start, end)
         distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        found = self._find(distinct)
-        new = np.flatnonzero(found < 0)
+        if len(self.main[0]) + len(self.recent[0]) > STORE_PIECES:
+            self._forget()
+        known, check, at, size = self._find(distinct)
+        new = np.flatnonzero(~known)
         if len(new):
-            if len(self.keys) + len(new) > STORE_PIECES:
-                self._forget()                                   # then all of this call's pieces are new
-                new = np.arange(len(distinct))
             whole = data.tobytes()
             self._learn(distinct[new], checks[first[new]], [whole[start[i] : end[i]] for i in first[new]])
-            found = self._find(distinct)
-        at, size = self.at[found][which], self.size[found][which]
-        if not np.array_equal(self.checks[found][which], checks):        # two pieces under one key: ask the library
+            _, check[new], at[new], size[new] = self._find(distinct[new])
+        at, size = at[which], size[which]
+        if not np.array_equal(check[which], checks):                     # two pieces under one key: ask the library
             ids = [e.ids for e in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.array([i for x in ids for i in x], self.dtype), np.cumsum([0, *map(len, ids)])
         before = np.cumsum(size) - size
