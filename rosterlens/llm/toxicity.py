@@ -187,7 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chance = F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = known.where(chance < share)
     texts = docs.select(F.col(f"`{key}`").alias("__id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    sample = texts.join(sample, "__id").select("__id", "text", "toxic").withColumn("__t", F.xxhash64("text"))
+    # the sample has a bounded number of ids, so the texts need no shuffle
+    sample = texts.join(F.broadcast(sample), "__id").select("__id", "text", "toxic").withColumn("__t", F.xxhash64("text"))
     sample = stored(sample.dropDuplicates(["__t"]).drop("__t"), "labelled")     # copies would vouch for their words
     drawn = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(drawn) < 2:
