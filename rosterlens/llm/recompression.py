@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlens.llm.common import Words, mix, slices, stored
+from rosterlens.llm.common import Scratch, Words, mix, slices, stored
 
 ROUNDS = 2
 RIM = 12
@@ -213,20 +213,24 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST_ID)).alias("o"), F.xxhash64(F.col(f"`{text}`")).alias("h"),
     )
     hashed = docs.select("o", "h", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("k"), "text")
-    parsed = stored(hashed.mapInArrow(_anchors_of(window), "o long, h long, k binary, anchors array<long>"), "parsed")
-    classes = parsed.groupBy("k").agg(F.min("o").alias("rep"))
-    classed = parsed.join(stored(classes, "classes"), "k")
-    firsts = stored(classed.where("o = rep").select("o", "h", F.explode("anchors").alias("anchor")), "anchors")
-    shared = firsts.groupBy("anchor").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).where("lo < hi").select("anchor")
-    todo = firsts.join(stored(shared, "shared"), "anchor").groupBy("o", "h").agg(F.collect_set("anchor").alias("anchors"))
+    with Scratch() as scratch:
+        parsed = stored(hashed.mapInArrow(_anchors_of(window), "o long, h long, k binary, anchors array<long>"), "parsed")
+        classes = stored(parsed.groupBy("k").agg(F.min("o").alias("rep")), "classes")
+        classed = parsed.join(classes, "k")
+        copies = classed.groupBy("o", "h").agg(F.max(F.col("o") > F.col("rep")).alias("__copy"))
+        copies = scratch.keep(stored(copies, "copies"))
+        firsts = stored(classed.where("o = rep").select("o", "h", F.explode("anchors").alias("anchor")), "anchors")
+        shared = firsts.groupBy("anchor").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).where("lo < hi").select("anchor")
+        todo = firsts.join(stored(shared, "shared"), "anchor").groupBy("o", "h").agg(F.collect_set("anchor").alias("anchors"))
+        todo = scratch.keep(stored(todo, "todo"))
     # the two joins below shuffle the texts the same way, so Spark moves them once and reuses the exchange
-    windows = docs.join(stored(todo, "todo"), ["o", "h"]).mapInArrow(
+    windows = docs.join(todo, ["o", "h"]).mapInArrow(
         _candidate_windows(window), "w1 long, w2 long, o long, h long, pos int"
     )
     least = windows.groupBy("w1", "w2").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
-    gone = windows.join(least, ["w1", "w2"]).where("o > lo").groupBy("o", "h").agg(F.collect_set("pos").alias("__starts"))
-    copies = classed.groupBy("o", "h").agg(F.max(F.col("o") > F.col("rep")).alias("__copy"))
-    told = docs.join(stored(copies, "copies").join(gone, ["o", "h"], "left"), ["o", "h"])
+    # dealt anew, so that both sides of the join are plain shuffles and adaptive execution can split a window that many texts share
+    gone = windows.join(least.repartition("lo"), ["w1", "w2"]).where("o > lo").groupBy("o", "h").agg(F.collect_set("pos").alias("__starts"))
+    told = docs.join(copies.join(gone, ["o", "h"], "left"), ["o", "h"])
     schema = ", ".join(f"{c} {told.schema[c].dataType.simpleString()}" for c in columns)
     out = told.mapInArrow(_cut(window, columns), f"{schema}, n_words long, n_removed long, kept string")
     return out.select(*[F.col(n).alias(c) for c, n in zip(passed, columns, strict=True)], "n_words", "n_removed", "kept")
