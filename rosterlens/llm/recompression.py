@@ -6,16 +6,19 @@ the round puts each symbol on one side. A name is a 64-bit function of what it
 stands for, so a run or pair has the same name in every text, task and
 retry, and a round needs no dictionary to be joined.
 
-Two occurrences of one passage can differ only at the rims. In a passage without
-long runs (three words or more of one word, or any run of a later round) a rim
-loses, per round, at most one run and one symbol that pairs outwards: 2 + 2
-words, then 4 + 4. So the symbols inside 50 words less ``RIM`` = 12 on both sides
-follow from the passage alone. The high-level symbols that Spark compares stand
+Two occurrences of one passage can differ only at the rims. In a passage that
+holds no long run itself (three words or more of one word, or two or more equal
+symbols of a later round that follow from the passage) a rim loses, per round,
+at most one run and one symbol that pairs outwards: 2 + 2 words, then 4 + 4; how
+far that run goes on outside the passage does not matter. So the symbols inside
+50 words less ``RIM`` = 12 on both sides follow from the passage alone. The high-level symbols that Spark compares stand
 for ``JOINED`` neighbours; of every ``CHOICES`` of them in a row the one with the
 smallest scrambled name is an anchor. A window is a candidate if every row
-inside its rims shows an anchor that another text has too. A window that touches
-a long run, or holds no whole row, proves nothing this way and is a candidate if
-another text has a run of that symbol, or such a window (``BARE``). Spark counts
+inside its rims shows an anchor that another text has too, or if it touches a
+run whose symbol has a long run in another text. A window that is certain to
+hold a long run wherever it occurs needs the latter and is not judged by its
+rows; one that a run merely reaches into is. A window without a whole row is a
+candidate if another text has such a window (``BARE``). Spark counts
 the anchors of all texts and so reveals the candidates; only these are hashed (two
 independent 64-bit hashes), and the smallest document of every window
 decides. Copies of a whole text are one class with one representative before
@@ -38,12 +41,14 @@ RIM = 12
 JOINED, CHOICES = 4, 6
 BARE = np.uint64(0x5AD0_BA4E)
 LAST_ID = 2**63 - 1
+NEVER = 1 << 40
 
 
 def symbols(words: Words, rounds: int = ROUNDS) -> tuple[tuple, tuple]:
     """Long runs and rows of some texts, each as (text, name, first word, words).
 
-    A row is CHOICES high-level symbols one after the other, under the name of
+    Runs have one more number: a window holds a long run for certain if it has
+    so many words of this one, counted from either end of the run. A row is CHOICES high-level symbols one after the other, under the name of
     the one chosen among them.
     """
     sym = mix(words.hashes, 101)
@@ -58,7 +63,10 @@ def symbols(words: Words, rounds: int = ROUNDS) -> tuple[tuple, tuple]:
             sym, text, at, size = sym[head], text[head], at[head], size[head] * times
             run = times > 1
             long = run & ((times > 2) | (r > 0))
-            runs.append((text[long], mix(sym[long], 7), at[long], size[long]))
+            # two symbols (words: three) beyond what a rim has lost before; a symbol over 2^(r+1) words holds a run of words itself
+            unit = size // times
+            sure = np.where(unit <= 2 << r, 4 * ((1 << r) - 1) + (2 * unit if r else 3), NEVER)
+            runs.append((text[long], mix(sym[long], 7), at[long], size[long], sure[long]))
             sym = np.where(run, mix(sym + times.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), 9), sym)
         right = (mix(sym, 1000 + r) & np.uint64(1)).astype(bool)
         left = np.flatnonzero(~right[:-1] & right[1:] & (text[1:] == text[:-1]))
@@ -69,7 +77,7 @@ def symbols(words: Words, rounds: int = ROUNDS) -> tuple[tuple, tuple]:
         keep[left + 1] = False
         sym, text, at, size = sym[keep], text[keep], at[keep], size[keep]
     none = np.zeros(0, np.int64)
-    runs = tuple(np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (none, none.astype(np.uint64), none, none)
+    runs = tuple(np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (none, none.astype(np.uint64), none, none, none)
     span = JOINED + CHOICES - 1
     if len(sym) < span:
         return runs, (none, none.astype(np.uint64), none, none)
@@ -89,13 +97,13 @@ class Anchors:
     def __init__(self, words: Words, window: int):
         self.words, self.window = words, window
         self.runs, self.rows = symbols(words)
-        text, name, at, size = self.runs
-        self.touched = self.starts(*self.range_of(text, at - window + 1, at + size - 1))
+        text, name, at, size, sure = self.runs
+        self.holds_run = self.starts(*self.range_of(text, at + sure - window, at + size - sure))
         text, name, at, size = self.rows
         inside = self.starts(*self.range_of(text, at + size + RIM - window, at - RIM))
         owner = np.repeat(np.arange(len(words.counts)), words.counts)
         last = words.first[1:][owner] - window
-        bare = (np.arange(len(owner)) <= last) & ~inside & ~self.touched
+        bare = (np.arange(len(owner)) <= last) & ~inside & ~self.holds_run
         self.bare = bare
         some = np.unique(owner[bare])
         self.text = np.r_[self.runs[0], text, some]
@@ -113,13 +121,13 @@ class Anchors:
 
     def candidates(self, shared: np.ndarray) -> np.ndarray:
         """Windows that may start elsewhere, given which of the anchors another text has."""
-        (rt, _, ra, rs), (t, _, a, size) = self.runs, self.rows
+        (rt, _, ra, rs, _), (t, _, a, size) = self.runs, self.rows
         of_run, of_row, of_bare = np.split(shared, [len(rt), len(rt) + len(t)])
         by_run = self.starts(*(x[of_run] for x in self.range_of(rt, ra - self.window + 1, ra + rs - 1)))
         inner = self.range_of(t, a + size + RIM - self.window, a - RIM)
         by_row = self.starts(*(x[of_row] for x in inner)) & ~self.starts(*(x[~of_row] for x in inner))
         bare = self.bare & np.isin(np.repeat(np.arange(len(self.words.counts)), self.words.counts), self.text[len(rt) + len(t) :][of_bare])
-        return by_run | (by_row & ~self.touched) | bare
+        return by_run | (by_row & ~self.holds_run) | bare
 
 
 def _anchors_of(window: int):

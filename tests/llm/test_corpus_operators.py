@@ -492,6 +492,33 @@ def test_repeats_match_brute_force(spark, texts):
         remove_repeats(docs, window=49)
 
 
+def test_repeats_beside_longer_runs(spark):
+    """A passage whose first or last words go on as a run beside it, in one text only."""
+    rng = random.Random(16)
+    rows = []
+
+    def add(*texts):
+        rows.extend((len(rows) + i, t) for i, t in enumerate(texts))
+
+    def fresh(n):                                        # no run of the word of one pair may occur in another
+        return " ".join(f"u{rng.getrandbits(40)}" for _ in range(n))
+
+    for k, n in enumerate((49, 49, 48, 60, 120, 49)):
+        x, body = f"x{k}", fresh(n)
+        add(f"h1 h2 {x} {body}", f"{x} {x} {x} {body}")                                    # the reviewer's example at n = 49
+        x, body = f"y{k}", fresh(n)
+        add(f"{body} {x} {x} {fresh(3)}", f"{fresh(2)} {body} {x} {x} {x} {x}")
+    for k in range(40):                                  # runs of pairs: a b a b
+        a, b, body = f"a{k}", f"b{k}", fresh(rng.randint(44, 49))
+        times, inside = rng.randint(1, 5), rng.choice([f"{b}", f"{a} {b}", f"{b} {a} {b}", f"{a} {a} {b} {b}", f"{a} {b} {a} {b}"])
+        outside = f"{a} {b} " * times if k % 2 else f"{a} {a} {b} {b} " * times
+        add(f"{fresh(2)} {inside} {body} {fresh(1 + k % 7)}", f"{outside}{inside} {body}")
+        add(f"{body} {inside} {fresh(2)}", f"{fresh(1)} {body} {inside} {outside}")
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_repeats(rows)
+    assert got[1][2] == 50 and sum(r[2] > 0 for r in got) > 25
+
+
 # --- 10 shards --------------------------------------------------------------------------------------------
 def test_uniform_shards(spark):
     docs = docs_of(spark, [f"text {i % 50}" for i in range(1003)]).unionByName(docs_of(spark, ["twice"] * 2, 5000)).withColumn("shard", F.lit("x"))
