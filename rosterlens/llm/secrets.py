@@ -5,8 +5,9 @@ bytes or more. A window of ``window`` characters slides over a candidate; its
 Shannon entropy is kept up to date from the character counts (one leaves, one
 enters), so a step costs the same whatever the window. The threshold is per
 character class: hexadecimal strings can reach 4 bits, mixed ones 6. Spans of
-hot windows are merged; an allow-list (UUIDs, sequences, words, paths,
-placeholders) suppresses harmless ones.
+hot windows are merged; an allow-list suppresses harmless candidates (UUIDs,
+words, paths, numbers) and the windows that overlap a placeholder or sequence.
+What a pattern has found is cut out of a span, and the rest of it stays.
 """
 
 from __future__ import annotations
@@ -39,8 +40,9 @@ ALLOWED = (
     re.compile(rb"[A-Za-z]?[a-z]+([_/=+-]+[A-Za-z]?[a-z]*)*"),                            # words, snake or path
     re.compile(rb"[A-Z]+([_/=+-]+[A-Z]*)*"),                                              # capitals
     re.compile(rb"[0-9]+([_/=+-]+[0-9]*)*"),                                              # numbers, dates
-    re.compile(rb"(?i).*(example|placeholder|changeme|your[_-]?(key|token|secret)|x{6}|0123456789|abcdefgh).*"),
 )
+#: no secret holds one of these; what stands beside it is judged without it
+PLACEHOLDERS = re.compile(rb"(?i)example|placeholder|changeme|your[_-]?(key|token|secret)|x{6,}|0123456789|abcdefgh")
 _N_LOG_N = [0.0] + [n * log2(n) for n in range(1, 4097)]
 
 
@@ -69,12 +71,24 @@ def hot_windows(candidate: bytes, window: int, bits: float) -> list[tuple[int, i
     return out
 
 
+def outside(lo: int, hi: int, taken: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """The parts of lo to hi, of ``least`` bytes or more, that no span in ``taken`` overlaps."""
+    out, at = [], lo
+    for s, e in [*sorted(x for x in taken if x[0] < hi and lo < x[1]), (hi, hi)]:
+        if s - at >= least:
+            out.append((at, s))
+        at = max(at, e)
+    return out
+
+
 def entropy_spans(candidate: bytes, classes=None, allowed=ALLOWED) -> list[tuple[int, int]]:
     if any(a.fullmatch(candidate) for a in allowed):
         return []
     for characters, window, bits in (classes or CLASSES).values():
         if characters.fullmatch(candidate):
-            return hot_windows(candidate, window, bits)
+            fillers = [m.span() for m in PLACEHOLDERS.finditer(candidate)]
+            parts = outside(0, len(candidate), fillers, min(window, len(candidate)))
+            return [(p + lo, p + hi) for p, q in parts for lo, hi in hot_windows(candidate[p:q], window, bits)]
     return []
 
 
@@ -111,12 +125,13 @@ def scan_text(raw: bytes, hexes=(), candidates=()) -> list[tuple[str, int, int]]
     if b"AKIA" in raw:
         spans += [("access", *m.span()) for m in ACCESS.finditer(raw) if m.end() - m.start() >= ACCESS_LENGTH]
     spans += [("hex", a, b) for a, b in hexes]
-    base = list(spans)
+    base = [x[1:] for x in spans]
     for a, b in candidates:
         for lo, hi in entropy_spans(raw[a:b]):
-            lo, hi = a + lo, a + hi
-            if all(hi <= s or e <= lo for _, s, e in base):     # what a pattern has found is not told twice
-                spans.append(("entropy", lo, hi))
+            for s, e in outside(a + lo, a + hi, base, MIN_CANDIDATE):     # what a pattern has found is not told twice
+                part = raw[s:e].strip(b"_/=+-")
+                if (s, e) == (a + lo, a + hi) or not any(x.fullmatch(part) for x in ALLOWED):
+                    spans.append(("entropy", s, e))
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

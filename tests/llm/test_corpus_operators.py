@@ -90,6 +90,31 @@ def test_secrets_match_the_patterns_and_add_entropy(spark):
     assert clean[0] is None and blob not in clean[4] and "[ASSIGN]" in clean[2] and clean[8] == texts[8]
 
 
+def test_joined_secrets_are_all_found(spark):
+    rng = random.Random(9)
+    one, two = "9f86d081884c7d659a2feaa0c55ad015", "Zk3vQ8sT1xB7nLw0RyHc5JmP2uEd"
+    other = "qT7Wm2Kc9PzR4sVb8NhJ5yGd3LfX6aU"
+    letters = "abcdefghijklmnopqrstuvwyzABCDEFGHIJKLMNOPQRSTUVWYZ0123456789"             # no x
+    blob = "".join(rng.choice(letters) for _ in range(30_000))
+    texts = [
+        f"é {one}-{two} end", f"{two}/{one}/{other}", f"{two}-example-{other} é", f"xxxxxxxx{two}", f"{blob}xxxxxx{blob[::-1]}",
+        f"/opt/example/{two}", f"{one}-{one}", "your_token_example_0123456789", f"{one}-some_long_snake_case_name_of_something", f"AKIA{'A1B2' * 4}-{two}",
+    ]
+    found = {r.doc_id: r.secrets for r in find_secrets(docs_of(spark, texts)).collect()}
+    kinds = [[s.kind for s in found[i]] for i in range(len(texts))]
+    assert kinds == [
+        ["hex", "entropy"], ["entropy", "hex", "entropy"], ["entropy", "entropy"], ["entropy"], ["entropy", "entropy"],
+        ["entropy"], ["hex", "hex"], [], ["hex"], ["access", "entropy"],
+    ]
+    for i, t in enumerate(texts):
+        assert sorted(s for s in map(tuple, found[i]) if s[0] != "entropy") == sorted(brute_base(t)), i
+        assert all(a.end <= b.start for a, b in zip(found[i], found[i][1:], strict=False)), i
+    clean = {r.doc_id: r.text for r in redact_secrets(docs_of(spark, texts)).collect()}
+    assert clean[0] == "é [HEX][ENTROPY] end" and clean[4] == "[ENTROPY]xxxxxx[ENTROPY]"
+    for t in clean.values():
+        assert one not in t and two not in t and other not in t
+
+
 def test_sliding_entropy_equals_recount():
     rng = random.Random(1)
     for _ in range(30):
