@@ -190,6 +190,27 @@ def test_bounds_hold_and_estimates_are_unbiased():
     assert 1 - (1 - (1 - math.acos(0.93) / math.pi) ** bits) ** tables >= 0.99
 
 
+def test_recall_of_bit_groups(spark):
+    """One label of 6,000 vectors in 64 dimensions with the production BLOCK: pairs from 0.93 on, many just above it."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.standard_normal((3000, 64))
+    off -= (off * x).sum(axis=1, keepdims=True) * x
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cosine = rng.uniform(0.925, 0.96, (3000, 1))
+    x = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * off])
+    tables, bits = plan_tables(len(x), 0.93)
+    assert bits > 0
+    rows = [(i, v, 1) for i, v in enumerate(x.tolist())]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    want = (x @ x.T >= 0.93).sum(axis=1) - 1
+    assert all(r.n_links <= want[r.vec_id] for r in got)
+    found = sum(r.n_links for r in got)
+    print(f"tables {tables}, bits {bits}, link ends {found} of {want.sum()}")
+    assert want.sum() > 5000 and found >= 0.98 * want.sum()
+
+
 def test_hot_bucket_in_blocks(spark, monkeypatch):
     import rosterlens.llm.binary_codes as module
 
