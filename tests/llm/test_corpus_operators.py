@@ -18,7 +18,7 @@ from rosterlens.llm.binary_codes import encode, near_vectors, plan_tables, upper
 from rosterlens.llm.chat import CONTROL, chat_digests, escape, format_chats, formatted_text, unescape
 from rosterlens.llm.common import components
 from rosterlens.llm.packing import best_fit, crossover, evolve, fitness, pack, pieces_of, seeds
-from rosterlens.llm.parity_join import bands, jaccard_classes, one_of_each, part_keys, sketch
+from rosterlens.llm.parity_join import EXPECTED_SAMPLE, LEAST_SAMPLE, bands, jaccard_classes, one_of_each, part_keys, sketch
 from rosterlens.llm.phrase_index import hit_items, hit_words, phrase_matches, proximity_matches
 from rosterlens.llm.range_coder import BLOCK_IDS, ChecksumError, decode_page, encode_page, read_documents, write_ids
 from rosterlens.llm.recompression import remove_repeats
@@ -271,6 +271,18 @@ def test_many_documents_round_one_passage(spark):
     assert got == brute_classes(texts)
 
 
+def test_sample_hardly_loses_a_linked_class():
+    """The chance that a class with a partner at Jaccard 0.75 shares too little of its sample, for sets of every kind of size."""
+    for n in (40, 59, 79, 80, 100, 159, 160, 640, 5119):
+        part = 2.0 ** -math.floor(math.log2(n / EXPECTED_SAMPLE))
+        lost = sum(
+            math.comb(n, own) * part**own * (1 - part) ** (n - own)
+            * sum(math.comb(own, s) * 0.75**s * 0.25 ** (own - s) for s in range(max(1, own // 10)))
+            for own in range(LEAST_SAMPLE, min(n, 140) + 1)
+        )
+        assert lost < 1e-12, (n, lost)
+
+
 def test_parts_obey_the_pigeonhole():
     rng = np.random.default_rng(3)
     for n in (1, 2, 3, 4, 7, 12, 40, 130, 900):
