@@ -90,6 +90,29 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` plus ``name``: 1, 2, 3 ... in the given order, written.
+
+    Rows are range-partitioned and sorted; the sizes of the partitions (one
+    number each) give every partition its offset. No task sees more than a range.
+    """
+    spark = df.sparkSession
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = stored(placed, "numbered")
+    part = F.shiftright("__at", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    before, offsets = 0, []
+    for r in sizes:
+        offsets.append((r.part, before))
+        before += r.n
+    starts = spark.createDataFrame(offsets, "__part long, __before long")
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    out = placed.join(F.broadcast(starts), part == F.col("__part")).withColumn(name, F.col("__before") + inside + 1)
+    out = out.drop("__at", "__part", "__before")
+    out.stored_at = placed.stored_at
+    return out
+
+
 # --- hashing of words -----------------------------------------------------------
 _MASK = (1 << 64) - 1
 _ROOT = 0x9E3779B97F4A7C15          # odd, so it has an inverse modulo 2^64

@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10: each operator over its whole table, reduced to digest columns."""
+"""The registered queries op1 to op13: each operator over its whole table, reduced to digest columns."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlens.llm import toxicity
+from rosterlens.llm.anchor_tree import hard_negatives
 from rosterlens.llm.binary_codes import near_vectors
 from rosterlens.llm.chat import chat_digests
 from rosterlens.llm.common import table
+from rosterlens.llm.importance import resample
 from rosterlens.llm.packing import pack
 from rosterlens.llm.parity_join import jaccard_classes
 from rosterlens.llm.phrase_index import hit_items, hit_words, phrase_matches
+from rosterlens.llm.prefix_bpe import encode_documents
 from rosterlens.llm.range_coder import id_files
 from rosterlens.llm.recompression import remove_repeats
 from rosterlens.llm.secrets import find_secrets
@@ -104,6 +107,26 @@ def op10_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_documents(docs, vocabulary(), decoded=True).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), label=moved)
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_binary_codes": op2_binary_codes,
@@ -115,4 +138,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_recompression": op9_recompression,
     "op10_uniform_shards": op10_uniform_shards,
+    "op11_prefix_bpe": op11_prefix_bpe,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_importance": op13_importance,
 }

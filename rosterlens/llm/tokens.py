@@ -148,6 +148,9 @@ class Encoder:
                 row[i:j] = mix((sums[b] - sums[a]) * down[a])
         return out[0], out[1]
 
+    def _library_ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, places where each text begins and the last ends); null is empty."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -174,7 +177,7 @@ class Encoder:
             _, check[new], at[new], size[new] = self._find(distinct[new])
         at, size = at[which], size[which]
         if not np.array_equal(check[which], checks):                     # two pieces under one key: ask the library
-            ids = [e.ids for e in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            ids = self._library_ids(texts.to_pylist())
             return np.array([i for x in ids for i in x], self.dtype), np.cumsum([0, *map(len, ids)])
         before = np.cumsum(size) - size
         ids = self.flat[np.repeat(at - before, size) + np.arange(int(size.sum()))]
