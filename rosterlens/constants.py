@@ -32,6 +32,8 @@ AGE_BANDS = [
 ]
 # Whisker reach of the box statistics, in inter-quartile ranges.
 WHISKER_COEF = 1.5
+# Confidence level of the band around a fitted line.
+BAND_LEVEL = 0.95
 # Gender codes in level order and the names their pivot columns get.
 GENDER_COLUMNS = [("F", "Female"), ("M", "Male")]
 # Column of every other gender code and of missing ones.
@@ -62,3 +64,4 @@ TERM_TYPE = "termtype_desc"
 STATUS_YEAR = "STATUS_YEAR"
 STATUS = "STATUS"
 BU = "BUSINESS_UNIT"
+AGE_BAND = "agegroup"       # derived column of the band reports

@@ -21,6 +21,7 @@ from rosterlens.operators.stats import (
     linear_fit,
     share_of_total,
     six_number,
+    student_t,
     unobserved_years,
 )
 from rosterlens.operators.thresholds import (
@@ -29,6 +30,7 @@ from rosterlens.operators.thresholds import (
     best_group_means,
     bottom_share_by,
     count_by,
+    exact_quantiles,
     group_mean,
     mean_report,
     order_desc,
@@ -48,6 +50,7 @@ __all__ = [
     "box_stats",
     "count_by",
     "earliest_snapshot",
+    "exact_quantiles",
     "extreme_member_per",
     "first_row_per",
     "fit_grid",
@@ -56,7 +59,6 @@ __all__ = [
     "flow_from_events",
     "group_mean",
     "hires_by",
-
     "id_gap",
     "latest_snapshot",
     "linear_fit",
@@ -70,6 +72,7 @@ __all__ = [
     "share_of_total",
     "six_number",
     "split_by_keys",
+    "student_t",
     "terms_by",
     "to_long",
     "top_groups",

@@ -9,7 +9,9 @@ quartiles to the histogram, not to the raw rows.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,12 +112,13 @@ def linear_fit(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
     slope/intercept/r2 are NULL when the fit is undefined (fewer than two
     points or a constant ``x``). ``sxx``/``syy``/``sxy`` (sums of centred
-    squares and products) and ``avgx`` are kept for standard errors.
+    squares and products) and ``avgx``/``avgy`` are kept for standard errors.
 
     For integer columns the fit comes from exact sums (n, Σx, Σy, Σx², Σy²,
     Σxy as 38-digit decimals), followed by a few double operations in a
     fixed order. Any engine that follows the same steps gets the same
-    bits, whatever its partitioning or summation order. Other column
+    bits, whatever its partitioning or summation order; the sums (``sums``) stay with
+    the fit, so fitted values are exact up to one division. Other column
     types use the ``regr_*`` aggregates.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -130,6 +133,7 @@ def linear_fit(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
             F.regr_syy(y, x).alias("syy"),
             F.regr_sxy(y, x).alias("sxy"),
             F.regr_avgx(y, x).alias("avgx"),
+            F.regr_avgy(y, x).alias("avgy"),
         )
     dec = T.DecimalType(38, 0)
     xs, ys = F.col(x).cast(dec), F.col(y).cast(dec)
@@ -142,14 +146,26 @@ def linear_fit(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
         F.sum(xs * ys).alias("_sxy"),
     )
     n = F.col("n").cast(dec)
-    centred = sums.select(
+    exact = sums.withColumns(
+        {
+            "sums": F.struct(
+                F.col("_sx").alias("x"),
+                F.col("_sy").alias("y"),
+                (n * F.col("_sxx") - F.col("_sx") * F.col("_sx")).alias("xx"),
+                (n * F.col("_sxy") - F.col("_sx") * F.col("_sy")).alias("xy"),
+            ),
+            "_Syy": (n * F.col("_syy") - F.col("_sy") * F.col("_sy")).cast("double"),
+        }
+    )
+    centred = exact.select(
         *by,
         "n",
-        (n * F.col("_sxx") - F.col("_sx") * F.col("_sx")).cast("double").alias("_Sxx"),
-        (n * F.col("_syy") - F.col("_sy") * F.col("_sy")).cast("double").alias("_Syy"),
-        (n * F.col("_sxy") - F.col("_sx") * F.col("_sy")).cast("double").alias("_Sxy"),
-        F.col("_sx").cast("double").alias("_sxd"),
-        F.col("_sy").cast("double").alias("_syd"),
+        "sums",
+        F.col("sums.xx").cast("double").alias("_Sxx"),
+        "_Syy",
+        F.col("sums.xy").cast("double").alias("_Sxy"),
+        (F.col("_sx").cast("double") / F.col("n")).alias("avgx"),
+        (F.col("_sy").cast("double") / F.col("n")).alias("avgy"),
     )
     defined = (F.col("n") > 1) & (F.col("_Sxx") > 0)
     slope = F.col("_Sxy") / F.col("_Sxx")
@@ -158,36 +174,118 @@ def linear_fit(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
         *by,
         "n",
         F.when(defined, slope).alias("slope"),
-        F.when(defined, (F.col("_syd") - slope * F.col("_sxd")) / F.col("n")).alias("intercept"),
+        F.when(defined, _fitted(F.lit(0), slope)).alias("intercept"),
         F.when(defined, r2).alias("r2"),
         (F.col("_Sxx") / F.col("n")).alias("sxx"),
         (F.col("_Syy") / F.col("n")).alias("syy"),
         (F.col("_Sxy") / F.col("n")).alias("sxy"),
-        (F.col("_sxd") / F.col("n")).alias("avgx"),
+        "avgx",
+        "avgy",
+        "sums",
     )
 
 
-def fit_grid(fit: DataFrame, by: list[str], x_from: Column, x_to: Column, x_name: str = "x") -> DataFrame:
-    """Fitted value and its standard error at every integer ``x`` in [x_from, x_to].
+def _fitted(x: Column, slope: Column) -> Column:
+    """Value of the fitted line at integer ``x``: one division of exact integers.
+
+    (Σy · Sxx + Sxy · (n·x − Σx)) / (n · Sxx); a value half-way between two
+    rounded ones stays there. Beyond 38 digits it is mean(y) + slope · (x − mean(x)).
+    """
+    dec = T.DecimalType(38, 0)
+    n, s = F.col("n").cast(dec), F.col("sums")
+    above = F.try_add(F.try_multiply(s["y"], s["xx"]), F.try_multiply(s["xy"], F.try_subtract(F.try_multiply(n, x.cast(dec)), s["x"])))
+    below = F.try_multiply(n, s["xx"])
+    exact = F.try_divide(above.cast("double"), below.cast("double"))
+    return F.coalesce(exact, F.col("avgy") + slope * (x - F.col("avgx")))
+
+
+def fit_grid(
+    fit: DataFrame, by: list[str], x_from: Column, x_to: Column, x_name: str = "x", level: float = K.BAND_LEVEL
+) -> DataFrame:
+    """Fitted value, its standard error and its confidence band at every integer ``x`` in [x_from, x_to].
 
     ``x_from``/``x_to`` are usually scalar subqueries over the fitted data
-    (the full range shared by all groups).
+    (the full range shared by all groups). ``fit`` comes from :func:`linear_fit`.
+    The band is fit ± t · se, t the quantile of Student's distribution with
+    n − 2 degrees of freedom that leaves ``level`` in the middle; with two points
+    there is a line but neither error nor band.
     """
-    grid = fit.where(F.col("slope").isNotNull()).select(
-        *by, "n", "slope", "intercept", "sxx", "syy", "sxy", "avgx",
-        F.explode(F.sequence(x_from.cast("int"), x_to.cast("int"))).alias(x_name),
-    )
     sse = F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")
     sigma = F.sqrt(F.try_divide(F.greatest(sse, F.lit(0.0)), (F.col("n") - 2).cast("double")))
-    dx = F.col(x_name) - F.col("avgx")
-    se = sigma * F.sqrt(1.0 / F.col("n") + dx * dx / F.col("sxx"))
-    return grid.select(
-        *by,
-        x_name,
-        (F.col("intercept") + F.col("slope") * F.col(x_name)).alias("fit"),
-        F.when(F.col("n") > 2, se).alias("se_fit"),
-        F.col("n"),
+    # one error and one multiplier per group, then the grid
+    lines = fit.where(F.col("slope").isNotNull()).select(
+        "*", F.when(F.col("n") > 2, sigma).alias("_sigma"), student_t(F.col("n") - 2, level).alias("_t")
     )
+    grid = lines.select("*", F.explode(F.sequence(x_from.cast("int"), x_to.cast("int"))).alias(x_name))
+    x = F.col(x_name)
+    dx = x - F.col("avgx")
+    if "sums" in fit.columns:
+        value = _fitted(x, F.col("slope"))
+    else:
+        value = F.col("avgy") + F.col("slope") * dx
+    se = F.col("_sigma") * F.sqrt(1.0 / F.col("n") + dx * dx / F.col("sxx"))
+    rows = grid.select(*by, x_name, value.alias("fit"), se.alias("se_fit"), "_t", "n")
+    half = F.col("_t") * F.col("se_fit")
+    return rows.select(
+        *by, x_name, "fit", "se_fit", (F.col("fit") - half).alias("band_low"), (F.col("fit") + half).alias("band_high"), "n"
+    )
+
+
+_SERIES = 200      # degrees of freedom up to which Student's distribution is summed; beyond, its expansion is exact
+
+
+def _middle(theta: Column, df: Column) -> tuple[Column, Column]:
+    """P(|T| <= sqrt(df) * tan(theta)) for whole ``df``, and its derivative by theta.
+
+    The finite series in cos(theta): its terms depend on whether df is odd.
+    """
+    odd, cos = df % 2, F.cos(theta)
+    start = F.struct(
+        F.lit(0.0).alias("total"), F.when(odd == 1, cos).otherwise(F.lit(1.0)).alias("term"),
+        F.when(odd == 1, F.lit(2 / math.pi)).otherwise(F.lit(1.0)).alias("scale"),
+    )
+
+    def step(a: Column, j: Column) -> Column:
+        even_scale = F.when(j > 1, (2 * j - 1) / (2.0 * j - 2)).otherwise(F.lit(1.0))
+        return F.struct(
+            (a["total"] + a["term"]).alias("total"),
+            (a["term"] * cos * cos * (2 * j - 1 + odd) / (2.0 * j + odd)).alias("term"),
+            (a["scale"] * F.when(odd == 1, 2.0 * j / (2 * j - 1)).otherwise(even_scale)).alias("scale"),
+        )
+
+    # df = 1 has no terms: an empty list, not the two steps of a sequence that counts down
+    steps = F.when(df >= 2, F.sequence(F.lit(1), (df / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+    sums = F.aggregate(steps, start, step)
+    inside = F.sin(theta) * sums["total"]
+    chance = F.when(odd == 1, (theta + inside) * (2 / math.pi)).otherwise(inside)
+    return chance, sums["scale"] * F.pow(cos, df - 1)
+
+
+def student_t(df: Column, level: float = K.BAND_LEVEL) -> Column:
+    """The t with P(-t <= T <= t) = ``level`` under Student's distribution; NULL below one degree of freedom.
+
+    Start: the expansion around the normal quantile in powers of 1/df, whose error
+    is below 1e-11 from 200 degrees of freedom on. Below, Newton steps on the finite series.
+    """
+    z = NormalDist().inv_cdf((1 + level) / 2)
+    terms = (
+        z,
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    )
+    d = df.cast("double")
+    near = reduce(lambda a, b: a + b, [F.lit(c) / F.pow(d, F.lit(float(k))) for k, c in enumerate(terms)])
+    whole = df.cast("int")
+    start = F.when(whole == 1, F.lit(level * math.pi / 2)).otherwise(F.atan(near / F.sqrt(d)))
+
+    def closer(theta: Column, _: Column) -> Column:
+        chance, slope = _middle(theta, whole)
+        return theta - (chance - level) / slope
+
+    theta = F.aggregate(F.array(*[F.lit(i) for i in range(6)]), start, closer)
+    return F.when(df > _SERIES, near).when(df >= 1, F.sqrt(d) * F.tan(theta))
 
 
 def share_of_total(df: DataFrame, value: str, out: str = "share") -> DataFrame:

@@ -10,7 +10,6 @@ from rosterlens.functions import age_band, pair_label, years_between
 from rosterlens.operators import box_outliers, box_stats, count_by, fit_grid, linear_fit, share_of_total
 from rosterlens.plans.context import Workforce
 
-BAND_Z = 1.96            # multiplier of the 95 % band
 SLOPE_DIGITS, INTERCEPT_DIGITS, FIT_DIGITS = 6, 4, 4
 
 
@@ -60,8 +59,8 @@ def q2_3_age_fit_grid(w: Workforce) -> DataFrame:
         "year",
         F.round("fit", FIT_DIGITS).alias("fit"),
         F.round("se_fit", FIT_DIGITS).alias("se_fit"),
-        F.round(F.col("fit") - BAND_Z * F.col("se_fit"), FIT_DIGITS).alias("band_low"),
-        F.round(F.col("fit") + BAND_Z * F.col("se_fit"), FIT_DIGITS).alias("band_high"),
+        F.round("band_low", FIT_DIGITS).alias("band_low"),
+        F.round("band_high", FIT_DIGITS).alias("band_high"),
         "n",
     )
 

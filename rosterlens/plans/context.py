@@ -29,14 +29,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlens import constants as K
-from rosterlens.functions import not_sentinel_date, years_between
-from rosterlens.operators import latest_snapshot
+from rosterlens.functions import age_band, not_sentinel_date, years_between
+from rosterlens.operators import exact_quantiles, group_mean, latest_snapshot
 from rosterlens.session import master_of, session_key
 from rosterlens.sources import materialize_panel, panel_from_tables, remove_panel
 
 STORAGE_CONF = "spark.rosterlens.panel.storage"
 # quantiles of service the Q5/Q6 reports cut at (fixed values of the studied analysis)
 SERVICE_QUANTILES = (0.01, 0.1, 0.9, 0.99)
+MEAN_QUANTILES = (0.1, 0.9)
 
 
 class Workforce:
@@ -146,6 +147,29 @@ class Workforce:
         """
         return self._cuts(base).select(F.col("q")[SERVICE_QUANTILES.index(p)]).scalar()
 
+    # -- mean service per group (Q5, Q6) -----------------------------------------
+    def group_means(self, base: str, dim: str) -> DataFrame:
+        """Mean ``service`` per ``dim`` of the ``terminated`` / ``active`` base: one row per group.
+
+        Its listing and its best and worst groups read one table.
+        """
+        with self._lock:
+            cache = self.__dict__.setdefault("_mean_tables", {})
+            if (base, dim) not in cache:
+                rows = self.terminated if base == "terminated" else self.active
+                if dim == K.AGE_BAND:
+                    rows = rows.withColumn(dim, age_band(K.AGE))
+                cache[base, dim] = self._keep(group_mean(rows, K.SERVICE, [dim]))
+            return cache[base, dim]
+
+    def mean_cut(self, base: str, dim: str, p: float) -> Column:
+        """Quantile ``p`` of the group means; those of both ends come from one selection, kept as one row."""
+        with self._lock:
+            cache = self.__dict__.setdefault("_mean_cut_tables", {})
+            if (base, dim) not in cache:
+                cache[base, dim] = self._keep(exact_quantiles(self.group_means(base, dim), K.SERVICE, MEAN_QUANTILES))
+            return cache[base, dim].select(F.col("q")[MEAN_QUANTILES.index(p)]).scalar()
+
     def warm(self) -> int:
         """Build and persist every shared base now; returns the panel row count."""
         rows = self.panel.count()
@@ -156,8 +180,9 @@ class Workforce:
         return rows
 
     def release(self) -> None:
-        for df in self.__dict__.get("_cut_tables", {}).values():
-            df.unpersist()
+        for tables in ("_cut_tables", "_mean_cut_tables", "_mean_tables"):
+            for df in self.__dict__.get(tables, {}).values():
+                df.unpersist()
         for name in ("event_ages", "latest", "reasoned"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()

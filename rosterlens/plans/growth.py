@@ -39,7 +39,8 @@ def q1_2_flow_by_bu(w: Workforce) -> DataFrame:
 
 
 def q1_2_flow_by_bu_long(w: Workforce) -> DataFrame:
-    return to_long(q1_2_flow_by_bu(w))
+    """The same table in one pass over the panel, in long form."""
+    return to_long(flow_by(w.panel, [K.BU]))
 
 
 def q1_2_total_by_year(w: Workforce) -> DataFrame:

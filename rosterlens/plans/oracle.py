@@ -229,6 +229,25 @@ def _box_outliers(rows: str, key: str) -> str:
     """
 
 
+def _student_t(degrees: str) -> str:
+    """(df, t): the 0.975 quantile of Student's t, by numeric integration and halving steps.
+
+    With t = sqrt(df) * tan(a) the chance of |T| <= t is the integral of cos(u)^(df - 1) from 0 to a over that
+    from 0 to pi/2, whose tail beyond 14 / sqrt(df) is nothing. Simpson's rule; a is found one binary digit at a time.
+    """
+    simpson = (
+        "({x}) / 3000.0 * list_sum(list_transform(range(1001), lambda i: "
+        "CASE WHEN i = 0 OR i = 1000 THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END * pow(cos(({x}) * i / 1000.0), df - 1)))"
+    )
+    return f"""
+      SELECT df, CASE WHEN df >= 1 THEN sqrt(df) * tan(list_reduce(
+               list_prepend(CAST(0 AS DOUBLE), list_transform(range(1, 50), lambda b: top / pow(2.0, b))),
+               lambda a, h: CASE WHEN {simpson.format(x="a + h")} <= 0.95 * whole THEN a + h ELSE a END)) END AS t
+      FROM (SELECT df, top, {simpson.format(x="top")} AS whole
+            FROM (SELECT df, least(pi() / 2, 14 / sqrt(greatest(df, 1))) AS top FROM ({degrees})))
+    """
+
+
 def _extreme_member(dim: str, largest: bool) -> str:
     order = "n DESC" if largest else "n ASC"
     return f"""
@@ -300,14 +319,23 @@ def _ages() -> dict[str, str]:
         f"SELECT BU_action, CASE WHEN {defined} THEN round(slope, 6) + 0.0 END AS slope, "
         f"CASE WHEN {defined} THEN round(intercept, 4) + 0.0 END AS intercept, "
         f"CASE WHEN {defined} THEN round(CASE WHEN syy = 0 THEN 1.0 ELSE r2 END, 6) + 0.0 END AS r2, n FROM ({fit})")
+    # the fitted value as a fraction of whole numbers: fit = mean age + slope * (year - mean year)
+    whole = f"""
+      SELECT BU_action, CAST(count(*) AS HUGEINT) AS k, CAST(sum(year) AS HUGEINT) AS sx, CAST(sum(age) AS HUGEINT) AS sy,
+        CAST(sum(CAST(year AS HUGEINT) * year) AS HUGEINT) AS sqx, CAST(sum(CAST(year AS HUGEINT) * age) AS HUGEINT) AS pxy
+      FROM ({fit_rows}) WHERE year IS NOT NULL AND age IS NOT NULL GROUP BY BU_action
+    """
     q["q2_3_age_fit_grid"] = _with(f"""
       SELECT BU_action, year, round(fit, 4) + 0.0 AS fit, round(se, 4) + 0.0 AS se_fit,
-        round(fit - 1.96 * se, 4) + 0.0 AS band_low, round(fit + 1.96 * se, 4) + 0.0 AS band_high, n
+        round(fit - t * se, 4) + 0.0 AS band_low, round(fit + t * se, 4) + 0.0 AS band_high, n
       FROM (
-        SELECT BU_action, CAST(g.year AS INTEGER) AS year, intercept + slope * g.year AS fit, n,
+        SELECT f.BU_action, CAST(g.year AS INTEGER) AS year, n, t,
+          CAST(sy * (k * sqx - sx * sx) + (k * pxy - sx * sy) * (k * g.year - sx) AS DOUBLE)
+            / CAST(k * (k * sqx - sx * sx) AS DOUBLE) AS fit,
           CASE WHEN n > 2 THEN sqrt(greatest(syy - sxy * sxy / sxx, 0.0) / (n - 2))
                * sqrt(1.0 / n + (g.year - avgx) * (g.year - avgx) / sxx) END AS se
-        FROM ({fit}) f,
+        FROM ({fit}) f JOIN ({whole}) w ON f.BU_action IS NOT DISTINCT FROM w.BU_action
+          JOIN ({_student_t(f"SELECT DISTINCT n - 2 AS df FROM ({fit})")}) s ON s.df = f.n - 2,
           (SELECT unnest(range((SELECT min(year) FROM events), (SELECT max(year) FROM events) + 1)) AS year) g
         WHERE {defined})
     """)

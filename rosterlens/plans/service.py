@@ -2,8 +2,8 @@
 
 Both questions run the same report over a different base (the latest
 snapshot per employee, filtered to TERMINATED or ACTIVE), so the report is
-declared once as data (``REPORTS``) and expanded into query keys. The SQL
-oracle expands the same table.
+declared once as data (``_TERMINATED``, ``_ACTIVE``) and expanded into query
+keys. The SQL oracle has a report table of its own.
 """
 
 from __future__ import annotations
@@ -19,16 +19,14 @@ from rosterlens.functions import age_band
 from rosterlens.operators import (
     at_or_above,
     at_or_below,
-    best_group_means,
     bottom_share_by,
-    mean_report,
+    order_desc,
     six_number,
     top_share_by,
-    worst_group_means,
 )
 from rosterlens.plans.context import Workforce
 
-AGEGROUP = "agegroup"
+AGEGROUP = K.AGE_BAND
 
 
 @dataclass(frozen=True)
@@ -121,11 +119,12 @@ def _builder(base_name: str, r: Report, variant: str) -> Callable[[Workforce], D
                 return top_share_by(b, r.high, [r.dim], cut=w.service_cut(base_name, r.high))
             return bottom_share_by(b, r.low, [r.dim], cut=w.service_cut(base_name, r.low))
         if r.kind == "mean":
-            return mean_report(b, K.SERVICE, [r.dim])
+            return order_desc(w.group_means(base_name, r.dim), K.SERVICE, [r.dim])
         if r.kind == "extreme_mean":
-            if variant == "high":
-                return best_group_means(b, K.SERVICE, [r.dim], r.high)
-            return worst_group_means(b, K.SERVICE, [r.dim], r.low)
+            means = w.group_means(base_name, r.dim)
+            keep, p = (at_or_above, r.high) if variant == "high" else (at_or_below, r.low)
+            rows = keep(means, K.SERVICE, p, cut=w.mean_cut(base_name, r.dim, p))
+            return order_desc(rows, K.SERVICE, [r.dim])
         if r.kind == "under20":
             # the base is still grouped by employee at this point of the studied
             # analysis, so its column selection keeps EmployeeID as well
