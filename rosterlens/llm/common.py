@@ -9,7 +9,9 @@ Arrow batch is.
 from __future__ import annotations
 
 import atexit
+import gc
 import math
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -22,7 +24,8 @@ from rosterlens.session import checkpoint_root
 
 SLICE_BYTES = 1 << 20
 _STORED: list[tuple[SparkSession, str]] = []
-_OPEN: list[Scratch] = []
+_TABLES: dict[str, str] = {}     # name of the bucketed table in a folder
+_OPEN = threading.local()       # blocks of this thread: operators may run side by side
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +38,7 @@ def work_folder(spark: SparkSession, tag: str) -> str:
         atexit.register(clear_stored)
     path = f"{checkpoint_root(spark)}/llm-{tag}-{uuid.uuid4().hex[:12]}"
     _STORED.append((spark, path))
-    for block in _OPEN[-1:]:
+    for block in getattr(_OPEN, "blocks", [])[-1:]:
         block.paths.append((spark, path))
     return path
 
@@ -52,7 +55,23 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def stored_by(df: DataFrame, column: str, tag: str) -> DataFrame:
+    """Like :func:`stored`, as a table bucketed by ``column``: joins and counts on it move none of its rows.
+
+    ``df`` should come out of ``repartition(shuffle_partitions(spark), column)``, so each task writes one file.
+    """
+    spark, path = df.sparkSession, work_folder(df.sparkSession, tag)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.format("parquet").bucketBy(shuffle_partitions(spark), column).option("path", path).saveAsTable(name)
+    _TABLES[path] = name
+    out = spark.table(name)
+    out.stored_at = path
+    return out
+
+
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop(path)}")
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -62,7 +81,7 @@ class Scratch:
 
     def __enter__(self) -> Scratch:
         self.paths, self.kept = [], set()
-        _OPEN.append(self)
+        _OPEN.blocks = [*getattr(_OPEN, "blocks", []), self]
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -70,13 +89,33 @@ class Scratch:
         return df
 
     def __exit__(self, kind, *_) -> None:
-        _OPEN.remove(self)
+        _OPEN.blocks.remove(self)
         for spark, path in self.paths:
-            if path not in self.kept:
+            if path not in self.kept and (spark, path) in _STORED:
                 _delete(spark, path)
                 _STORED.remove((spark, path))
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`stored` wrote, before its block ends."""
+    entry = df.sparkSession, df.stored_at
+    if entry in _STORED:
+        _STORED.remove(entry)
+        _delete(*entry)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of DataFrames that nothing refers to any more.
+
+    Spark does so when the driver's objects are collected, which on a large
+    heap may be long after the files have filled the disks. The scheduler holds
+    on to its last job, so a job without a shuffle comes first.
+    """
+    gc.collect()
+    spark.range(1, numPartitions=1).collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear_stored() -> None:
     """Delete the intermediate tables that are left (also runs at exit)."""
     while _STORED:
@@ -236,7 +275,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = hung.groupBy("u").agg(F.min("v").alias("m"))
         again = hung.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges, old = stored(again.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges"), edges
-        _delete(old.sparkSession, old.stored_at)
+        discard(old)
         now = edges.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
