@@ -35,11 +35,14 @@ CLASSES = {
     "hex": (re.compile(rb"[0-9a-fA-F]+"), 20, 3.0),
     "mixed": (re.compile(rb"[A-Za-z0-9+/_=-]+"), 20, 3.7),
 }
+#: harmless candidates. Every byte has one way to match, so a match takes one pass. A run of letters
+#: over LONGEST_WORD is no word: it is judged by its entropy like any other string
+LONGEST_WORD = 30
 ALLOWED = (
-    re.compile(rb"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"),   # UUID
-    re.compile(rb"[A-Za-z]?[a-z]+([_/=+-]+[A-Za-z]?[a-z]*)*"),                            # words, snake or path
-    re.compile(rb"[A-Z]+([_/=+-]+[A-Z]*)*"),                                              # capitals
-    re.compile(rb"[0-9]+([_/=+-]+[0-9]*)*"),                                              # numbers, dates
+    re.compile(rb"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"),                              # UUID
+    re.compile(rb"[A-Z]?[a-z]{1,%d}(?:[_/=+-][A-Z]?[a-z]{0,%d})*" % (LONGEST_WORD, LONGEST_WORD)),                   # words, snake or path
+    re.compile(rb"[A-Z]{1,%d}(?:[_/=+-][A-Z]{0,%d})*" % (LONGEST_WORD, LONGEST_WORD)),                               # capitals
+    re.compile(rb"[0-9]+(?:[_/=+-][0-9]*)*"),                                                                        # numbers, dates
 )
 #: no secret holds one of these; what stands beside it is judged without it
 PLACEHOLDERS = re.compile(rb"(?i)example|placeholder|changeme|your[_-]?(key|token|secret)|x{6,}|0123456789|abcdefgh")
