@@ -3,16 +3,20 @@
 Documents become pieces of at most ``capacity`` tokens; pieces are spread over
 shards of about ``SHARD`` pieces by hash, so one shard's problem has a fixed
 size whatever the corpus. Each shard is solved by ``ISLANDS`` islands, each
-with its own seed and population. A solution is a list of bins. Crossover
-injects whole well-filled bins of one parent into the other, drops the bins
-that then hold a document twice, and best-fits the displaced documents,
-longest first. After every epoch an island's best solution migrates to the next
-island of its shard; the best of all islands is the shard's result. What
-the shards leave in badly filled bins is packed once more, together.
+with its own seed and population, which it keeps from epoch to epoch. A solution
+is a list of bins. Crossover injects whole well-filled bins of one parent into
+another one, drops the bins that then hold a document twice, and best-fits the
+displaced documents, longest first, after exchanging some for shorter ones of bins
+that are not full. After every epoch an island's elite migrates
+to the next island of its shard; the best of all islands is the shard's
+result. An island whose best solution needs no more bins than the tokens fill is done: it
+breeds no further. What the shards leave in badly filled bins is packed once
+more, together.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import zlib
@@ -27,7 +31,8 @@ from rosterlens.llm.common import slices, stored
 from rosterlens.llm.tokens import SLICE, encoder
 
 SHARD = 4_000
-ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 3, 6
+ISLANDS, EPOCHS, POPULATION, CHILDREN = 3, 3, 6, 24     # children an island breeds in one epoch, if it must
+EXCHANGES = 200         # bins that a crossover tries to fill better
 LOOSE = 0.97            # bins of the shards filled less than this are packed again
 PIECE = "struct<doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint>"
 
@@ -88,18 +93,56 @@ def crossover(rng: random.Random, lengths: list[int], one: list[list[int]], two:
     kept.sort(key=lambda b: sum(lengths[i] for i in b))
     for _ in range(min(rng.randint(0, 4), len(kept))):
         displaced += kept.pop(0)
+    kept = [list(b) for b in kept]
+    displaced = exchanged(rng, lengths, kept, displaced, capacity)
     displaced.sort(key=lambda i: -lengths[i])
     return best_fit(lengths, displaced, capacity, [*injected, *kept])
 
 
+def exchanged(rng: random.Random, lengths: list[int], bins: list[list[int]], displaced: list[int], capacity: int) -> list[int]:
+    """Displaced documents after exchanges that fill bins better: one or two of a bin against a longer one.
+
+    What comes out is shorter, so it is easier to place. Looks at ``EXCHANGES`` bins.
+    """
+    displaced = sorted(displaced, key=lambda i: lengths[i])
+    for b in rng.sample(bins, min(EXCHANGES, len(bins))):
+        free = capacity - sum(lengths[i] for i in b)
+        if not free or not displaced:
+            continue
+        sizes = [lengths[i] for i in displaced]
+        best, gain = None, 0
+        for out in [(i,) for i in b] + [(i, j) for k, i in enumerate(b) for j in b[k + 1 :]]:
+            size = sum(lengths[i] for i in out)
+            at = bisect.bisect_right(sizes, size + free) - 1         # the longest that fits in their place
+            if at >= 0 and sizes[at] - size > gain:
+                best, gain = (out, at), sizes[at] - size
+        if best:
+            out, at = best
+            b[:] = [i for i in b if i not in out] + [displaced.pop(at)]
+            for i in out:
+                bisect.insort(displaced, i, key=lambda i: lengths[i])
+    return displaced
+
+
+def least_bins(lengths: list[int], capacity: int) -> int:
+    """No solution has fewer bins."""
+    return -(-sum(lengths) // capacity)
+
+
 def evolve(rng: random.Random, lengths: list[int], population: list, capacity: int, children: int) -> list:
-    population = [[list(b) for b in p] for p in population]
+    """The population, best first, after ``children`` crossovers of two different parents, or fewer if the bound is met."""
     score = lambda p: fitness(lengths, p, capacity)
+    bound = least_bins(lengths, capacity)
+    ranked = sorted(((score(p), [list(b) for b in p]) for p in population), key=lambda x: x[0], reverse=True)
     for _ in range(children):
-        one, two = (rng.choice(population) for _ in range(2))
-        population.append(crossover(rng, lengths, one, two, capacity))
-        population.remove(min(population, key=score))
-    return sorted(population, key=score, reverse=True)
+        if -ranked[0][0][0] <= bound or len(ranked) < 2:
+            break
+        (_, one), (_, two) = rng.sample(ranked, 2)
+        child = crossover(rng, lengths, one, two, capacity)
+        told = score(child)
+        if all(told != s for s, _ in ranked):                # a twin would only crowd the others out
+            ranked = sorted([*ranked[: POPULATION - 1], (told, child)], key=lambda x: x[0], reverse=True)
+    return [p for _, p in ranked]
 
 
 def seeds(rng: random.Random, lengths: list[int], capacity: int, size: int) -> list:
@@ -126,21 +169,36 @@ def _bins(place: list[int]) -> list[list[int]]:
     return list(out.values())
 
 
+_STATE = pa.schema(
+    [("shard", pa.int64()), ("island", pa.int32()), ("bins", pa.int64()), ("fill", pa.float64()),
+     ("population", pa.list_(pa.list_(pa.int32())))]
+)
+
+
 def _epoch(capacity: int):
-    """(shard, island, lengths, best, migrant) -> best: one epoch of one island per row."""
+    """(shard, island, epoch, lengths, population, migrant) -> the island's population, best first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 lengths = row["lengths"]
                 rng = random.Random(row["shard"] * 1009 + row["island"] * 31 + row["epoch"])
-                population = seeds(rng, lengths, capacity, POPULATION)
-                population += [_bins(p) for p in (row["best"], row["migrant"]) if p is not None]
-                best = evolve(rng, lengths, population, capacity, CHILDREN)[0]
-                told = fitness(lengths, best, capacity)
+                if row["population"] is None:
+                    # one plain best fit; more only where it misses the bound
+                    population = seeds(rng, lengths, capacity, 1)
+                    if len(population[0]) > least_bins(lengths, capacity):
+                        population += seeds(rng, lengths, capacity, POPULATION)[1:]
+                else:
+                    population = [_bins(p) for p in row["population"]]
+                    if row["migrant"] is not None:
+                        population = [*population[: POPULATION - 1], _bins(row["migrant"])]
+                population = evolve(rng, lengths, population, capacity, CHILDREN)
+                told = fitness(lengths, population[0], capacity)
+                if -told[0] <= least_bins(lengths, capacity):
+                    population = population[:1]
+                flat = [_flat(p, len(lengths)) for p in population]
                 yield pa.RecordBatch.from_pylist(
-                    [{"shard": row["shard"], "island": row["island"], "bins": -told[0], "fill": told[1], "best": _flat(best, len(lengths))}],
-                    pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("bins", pa.int64()), ("fill", pa.float64()), ("best", pa.list_(pa.int32()))]),
+                    [{"shard": row["shard"], "island": row["island"], "bins": -told[0], "fill": told[1], "population": flat}], _STATE
                 )
 
     return run
@@ -184,19 +242,29 @@ def _pack_shards(pieces: DataFrame, capacity: int, shards: int, tag: str) -> Dat
     dealt = stored(dealt.groupBy("shard").agg(F.array_sort(F.collect_list(packed)).alias("pieces")), f"{tag}-shards")
     lengths = F.transform("pieces", lambda p: p["length"].cast("int")).alias("lengths")
     islands = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
-    told = "shard long, island int, bins long, fill double, best array<int>"
-    state, none = None, F.lit(None).cast("array<int>")
+    told = "shard long, island int, bins long, fill double, population array<array<int>>"
+    state = None
     spread = max(1, shards * ISLANDS)
+    bound = F.ceil(F.aggregate("lengths", F.lit(0).cast("long"), lambda total, n: total + n) / capacity)
     for epoch in range(EPOCHS):
         rows = dealt.select("shard", lengths, islands)
         if state is None:
-            rows = rows.withColumns({"best": none, "migrant": none})
+            rows = rows.withColumns({"population": F.lit(None).cast("array<array<int>>"), "migrant": F.lit(None).cast("array<int>")})
         else:
-            best = state.select("shard", "island", "best")
-            moved = state.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("best").alias("migrant"))
-            rows = rows.join(best, ["shard", "island"]).join(moved, ["shard", "island"])
-        rows = rows.withColumn("epoch", F.lit(epoch)).repartition(min(spread, 4096), "shard", "island")
-        state = stored(rows.mapInArrow(_epoch(capacity), told), f"{tag}-islands")
+            # shards that met the bound are done
+            missed = dealt.select("shard", lengths).select("shard", bound.alias("least")).join(
+                state.groupBy("shard").agg(F.min("bins").alias("now")), "shard"
+            ).where("now > least").select("shard")
+            own = state.select("shard", "island", "population")
+            moved = state.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("population")[0].alias("migrant"))
+            rows = rows.join(missed, "shard").join(own, ["shard", "island"]).join(moved, ["shard", "island"])
+        rows = rows.withColumn("epoch", F.lit(epoch)).repartition(spread, "shard", "island")
+        new = stored(rows.mapInArrow(_epoch(capacity), told), f"{tag}-islands")
+        if state is not None:
+            new_shards = new.select("shard").distinct()
+            new = stored(state.join(new_shards, "shard", "left_anti").unionByName(new), f"{tag}-islands")
+        state = new
+    state = state.withColumn("best", F.col("population")[0])
     best = state.groupBy("shard").agg(F.max(F.struct(-F.col("bins"), "fill", "island", "best"))["best"].alias("best"))
     each = dealt.join(best, "shard").select("shard", F.inline(F.arrays_zip("pieces", F.col("best").alias("bin"))))
     each = each.select("shard", F.col("bin").cast("long").alias("bin"), "pieces.*")

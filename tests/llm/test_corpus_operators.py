@@ -115,6 +115,24 @@ def test_joined_secrets_are_all_found(spark):
         assert one not in t and two not in t and other not in t
 
 
+def test_separator_runs_are_fast_and_long_letters_are_judged():
+    """Ten thousand separators between a word and a digit; one token of a megabyte; letters that are no word."""
+    import time
+
+    from rosterlens.llm.secrets import scan_text
+
+    for text in ("a" + "-" * 10_000 + "1", "1" + "_" * 10_000 + "a", "A" + "=" * 10_000 + "b1", "-" * 1_000_000, "ab-" * 300_000 + "1"):
+        start = time.perf_counter()
+        entropy_spans(text.encode())
+        assert time.perf_counter() - start < (0.1 if len(text) < 20_000 else 5)
+    long = ("x" * 500_000 + " " + "Ab3" * 300_000).encode()
+    assert scan_text(long) == []
+    assert entropy_spans(b"ordinary-words_and/paths-With-Capitals") == []
+    assert entropy_spans(b"DONAUDAMPFSCHIFFFAHRT") == [] and entropy_spans(b"verantwortungsbewusstsein") == []
+    key = b"qzwhxvkjmfpgybdrnctlsoueaiqkzvjxwhmgfpbd"                    # 40 letters
+    assert entropy_spans(key) and entropy_spans(key.upper())
+
+
 def test_sliding_entropy_equals_recount():
     rng = random.Random(1)
     for _ in range(30):
@@ -284,19 +302,27 @@ def test_sample_hardly_loses_a_linked_class():
 
 
 def test_parts_obey_the_pigeonhole():
+    """Linked sets share as many keys of a layout as each of them needs; folded sketches bound the difference."""
     rng = np.random.default_rng(3)
-    for n in (1, 2, 3, 4, 7, 12, 40, 130, 900):
-        for _ in range(20):
-            a = rng.integers(0, 2**63, n, dtype=np.uint64)
-            gone = int(rng.integers(0, n // 4 + 1))
-            extra = int(rng.integers(0, n // 3 + 1))
-            b = np.r_[a[gone:], rng.integers(0, 2**63, extra, dtype=np.uint64)]
-            both, either = n - gone, n + extra
-            if 100 * both >= 75 * either and len(b):
-                ka, kb = (part_keys(np.sort(x), bands(len(x) * 4 // 3 + 4)) for x in (a, b))
-                assert len(np.intersect1d(ka, kb)), (n, gone, extra)
-                differ = np.bitwise_count(sketch(a).view(np.uint64) ^ sketch(b).view(np.uint64)).sum()
-                assert differ <= gone + extra
+
+    def fold(words, n):
+        while len(words) > n:
+            words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+        return words
+
+    for n in [1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 16, 31, 32, 33, 63, 64, 65, 100, 127, 128, 170, 256, 300, 511, 700, 1024, 1365] * 6:
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        for gone, extra in ((n // 4, 0), (0, n // 3), (n // 7, max(0, (4 * (n - n // 7)) // 3 - n)), (0, 0)):
+            b = np.r_[a[gone:], rng.integers(0, 2**63, extra).astype(np.uint64)]
+            common, either = n - gone, n + extra
+            if 100 * common < 75 * either or not len(b):
+                continue
+            ka, kb = (part_keys(np.sort(x), bands(len(x) * 4 // 3 + 4)) for x in (a, b))
+            shared = [(len(np.intersect1d(x, y)), need, other) for x, need in ka for y, other in kb]
+            assert any(s >= max(need, other) for s, need, other in shared), (n, gone, extra)
+            ska, skb = sketch(a).view(np.uint64), sketch(b).view(np.uint64)
+            words = min(len(ska), len(skb))
+            assert np.bitwise_count(fold(ska, words) ^ fold(skb, words)).sum() <= gone + extra
 
 
 def test_components(spark):
@@ -462,6 +488,47 @@ def test_packing(spark, library, texts):
     assert pack(docs.limit(0), vocabulary()).count() == 0
 
 
+def test_search_beats_best_fit():
+    """Triples that fill a bin exactly: best fit misses the bound, the search closes most of the gap."""
+    from rosterlens.llm.packing import POPULATION, least_bins
+
+    gap_before = gap_after = 0
+    for seed in range(4):
+        rng = random.Random(seed)
+        lengths = []
+        for _ in range(30):
+            a, b = rng.randint(26, 49), rng.randint(26, 49)
+            lengths += [a, b, 100 - a - b] if a + b < 75 else [a, 100 - a]
+        population = seeds(rng, lengths, 100, POPULATION)
+        bound = least_bins(lengths, 100)
+        for _ in range(6):
+            population = evolve(rng, lengths, population, 100, 60)
+        assert sorted(i for b in population[0] for i in b) == list(range(len(lengths)))
+        assert all(sum(lengths[i] for i in b) <= 100 for p in population for b in p)
+        plain = best_fit(lengths, sorted(range(len(lengths)), key=lambda i: -lengths[i]), 100)
+        gap_before += len(plain) - bound
+        gap_after += len(population[0]) - bound
+    assert gap_before > 0 and gap_after <= gap_before / 2, (gap_before, gap_after)
+
+
+def test_islands_improve_a_shard(spark, monkeypatch):
+    """The whole Spark path on pieces that best fit packs badly."""
+    import rosterlens.llm.packing as packing
+
+    rng = random.Random(7)
+    lengths = []
+    for _ in range(40):
+        a, b = rng.randint(26, 49), rng.randint(26, 49)
+        lengths += [a, b, 100 - a - b] if a + b < 75 else [a, 100 - a]
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    monkeypatch.setattr(packing, "CHILDREN", 80)
+    got = packing._pack_shards(pieces, 100, 1, "test").collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(lengths)))
+    plain = best_fit(lengths, sorted(range(len(lengths)), key=lambda i: -lengths[i]), 100)
+    bins = {r.bin: r.filled for r in got}
+    assert max(bins.values()) <= 100 and packing.least_bins(lengths, 100) <= len(bins) < len(plain)
+
+
 def test_genetic_steps_keep_every_document():
     rng = random.Random(3)
     lengths = [rng.randint(1, 100) for _ in range(200)]
