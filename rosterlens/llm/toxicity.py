@@ -1,8 +1,11 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier.
 
 1. *Voters.* Words and word beginnings that are far commoner in toxic than in
-   clean documents of a bounded labelled sample each give one lexicon voter; a
-   few pattern voters look at numbers of distinct hits, at density, shouting
+   clean documents of a bounded labelled sample are the candidates. They are taken
+   one by one, each time the one in the most toxic documents that have fewer than
+   ``COVER`` voters yet, until no document gains: every kind of toxic
+   document that any candidate tells gets voters, rare kinds and languages too. A few
+   pattern voters look at numbers of distinct hits, at density, shouting
    and address. A voter says "toxic" or abstains.
 2. *Label model.* The votes of the sample, without its labels, are explained by
    a latent class: EM estimates every voter's firing rate in either class.
@@ -19,6 +22,7 @@ Labels, language, source and id are never inputs of a score.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,9 +35,8 @@ from pyspark.sql import functions as F
 from rosterlens.llm.common import stored
 
 MAX_LABELLED = 16_000        # expected size of the labelled sample, half of it toxic where there are so many
-MAX_WORDS, MAX_BEGINNINGS = 160, 80
-LEAST_DOCUMENTS = 4          # different toxic documents a lexicon entry must be in, and at least
-LEAST_SHARE = 0.003          # this share of the sample's toxic documents
+COVER = 12                   # voters that every toxic document of the sample gets, where there are so many
+LEAST_DOCUMENTS = 4          # different toxic documents a lexicon entry must be in
 LEAST_ODDS = 3.5             # log odds of an entry
 BEGINNINGS = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -67,6 +70,42 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield told(counts)
 
 
+def _document_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entry, document) of a task's rows."""
+    for batch in batches:
+        for text, i in zip(batch["text"].to_pylist(), batch["__id"].to_pylist(), strict=True):
+            names = sorted(entries_of(text or ""))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([i] * len(names), pa.int64())], ["entry", "document"])
+
+
+def covering(documents: dict[str, set[int]], cover: int) -> list[str]:
+    """Entries, best first, so that every document has ``cover`` of them or all it is in.
+
+    Always the entry in the most documents that still lack some; ties by name. An
+    entry found in the very documents of another one tells nothing new and is left out.
+    """
+    lacking = {d: cover for ds in documents.values() for d in ds}
+    heap = [(-len(ds), entry) for entry, ds in documents.items()]
+    heapq.heapify(heap)
+    out, seen = [], set()
+    while heap:
+        told, entry = heapq.heappop(heap)
+        gain = sum(1 for d in documents[entry] if lacking[d])
+        if not gain:
+            continue
+        if heap and (-gain, entry) > heap[0]:                # others may gain more by now
+            heapq.heappush(heap, (-gain, entry))
+            continue
+        same = frozenset(documents[entry])
+        if same in seen:
+            continue
+        seen.add(same)
+        out.append(entry)
+        for d in same:
+            lacking[d] = max(0, lacking[d] - 1)
+    return out
+
+
 class Voters:
     """Votes and strengths of the lexicon and pattern voters."""
 
@@ -175,8 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     Only rows outside the held-out fold are read. The sample is bounded by
     ``max_labelled`` rows (by a hash of the id, at most half of it per class);
-    only its lexicon (top entries) and its votes reach the driver. Without
-    both classes the model is a constant.
+    only the toxic documents of its lexicon candidates and its votes reach the
+    driver. Without both classes the model is a constant.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col(f"`{key}`").isNotNull() & ~held_out(key))
     known = known.groupBy(F.col(f"`{key}`").alias("__id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -194,18 +233,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if len(drawn) < 2:
         return {"lexicon": [], "weights": [], "intercept": -2.0}
     counted = sample.select("text", "toxic").mapInArrow(_document_counts, "entry string, toxic long, clean long")
-    totals = counted.groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where(
-        F.col("t") >= max(LEAST_DOCUMENTS, LEAST_SHARE * drawn[1])
-    )
+    totals = counted.groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where(F.col("t") >= LEAST_DOCUMENTS)
     odds = F.log((F.col("t") + 0.5) / (drawn[1] + 1.0)) - F.log((F.col("c") + 0.5) / (drawn[0] + 1.0))
-    useful = stored(totals.withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS), "lexicon")
-    lexicon = []
-    for kind, most in ((~F.col("entry").endswith("*"), MAX_WORDS), (F.col("entry").endswith("*"), MAX_BEGINNINGS)):
-        top = useful.where(kind).orderBy(F.col("t").desc(), "entry").limit(most)
-        lexicon += [r["entry"] for r in top.collect()]
+    useful = stored(totals.withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).select("entry"), "lexicon")
+    told = sample.where("toxic = 1").mapInArrow(_document_entries, "entry string, document long").join(useful, "entry")
+    documents: dict[str, set[int]] = {}
+    for r in told.toLocalIterator():
+        documents.setdefault(r["entry"], set()).add(r["document"])
+    lexicon = covering(documents, COVER)
     voters = Voters(sorted(lexicon))
-    rows = sample.mapInArrow(_strengths(voters.lexicon, ["toxic", "__id"]), "toxic int, __id long, x array<double>").orderBy("__id").collect()
-    x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows])
+    rows = sample.mapInArrow(_strengths(voters.lexicon, ["toxic", "__id"]), "toxic int, __id long, x array<double>").toArrow().sort_by("__id")
+    y = rows["toxic"].to_numpy()
+    x = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), voters.size)
     q, _ = label_model((x > 0).astype(float), float(y.mean()))
     weights, intercept = train_linear(x, q)
     shift = best_intercept(x @ weights, y)
