@@ -9,6 +9,7 @@ Arrow batch is.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import math
 import threading
@@ -125,6 +126,15 @@ def clear_stored() -> None:
             return
 
 
+def give_back_memory() -> None:
+    """Return what a Python worker has freed to the system: workers live on, and stages add up otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):        # another C library keeps its own counsel
+        pass
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlens.llm.common import Scratch, numbered, slices, stored
+from rosterlens.llm.common import Scratch, give_back_memory, numbered, slices, stored
 
 # --- fixed values ---------------------------------------------------------------
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -176,6 +176,7 @@ def _bucketed(most: int, buckets: int):
                     ],
                     ["doc_id", "n_words", "n_features", "buckets"],
                 )
+            give_back_memory()
 
     return run
 

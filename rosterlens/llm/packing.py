@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlens.llm.common import slices, stored
+from rosterlens.llm.common import give_back_memory, slices, stored
 from rosterlens.llm.tokens import SLICE, encoder
 
 SHARD = 4_000
@@ -230,6 +230,7 @@ def _tokenized(path: str, capacity: int, end_id: int):
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names)
+            give_back_memory()
 
     return run
 

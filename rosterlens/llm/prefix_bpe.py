@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlens.llm.common import slices
+from rosterlens.llm.common import give_back_memory, slices
 from rosterlens.llm.tokens import SLICE, Encoder
 
 STORE_PAIRS = 1_000_000      # pair tests a worker remembers; then it starts afresh
@@ -258,6 +258,7 @@ def _encoded(path: str, decoded: bool, special: bool):
                     said = [encoder.read(ids[a:b]).decode(errors="replace") for a, b in zip(places[:-1], places[1:], strict=True)]
                     out.append(pa.array(said, pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names)
+            give_back_memory()
 
     return run
 
