@@ -24,12 +24,16 @@ from pyspark.sql import functions as F
 from rosterlens.session import checkpoint_root
 
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 2_000             # rows of an Arrow batch
 _STORED: list[tuple[SparkSession, str]] = []
 _TABLES: dict[str, str] = {}     # name of the bucketed table in a folder
 _OPEN = threading.local()       # blocks of this thread: operators may run side by side
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts or vectors. Batches to Python workers are kept small: a row may be a long text or a large set."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

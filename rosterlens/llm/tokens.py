@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 from rosterlens.llm.common import mix, powers
 
-STORE_PIECES = 2_500_000
+STORE_PIECES = 1_000_000
 SLICE = 2 << 20              # bytes of text to encode at a time,
 HASH_BYTES = 1 << 16         # and to hash at a time
 _PUNCTUATION = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")     # a token of its own after letters
