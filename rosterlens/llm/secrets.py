@@ -200,19 +200,18 @@ def redact(text: str | None, spans: list) -> str | None:
 
 def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by its kind in brackets; other columns unchanged."""
-    found = find_secrets(docs, text)
     columns = docs.columns
-    named = found.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(columns)], F.col(f"`{text}`").alias("text"), "secrets")
-    at = columns.index(text)
+    named = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(columns)], F.col(f"`{text}`").alias("text"))
+    ins, at = [f"in_{i}" for i in range(len(columns))], columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # scan and replacement in one pass: one worker a task
+        for batch in _scan(batches, [*ins, "text"]):
             new = [
                 redact(t, s) if s else t
                 for t, s in zip(batch["text"].to_pylist(), batch["secrets"].to_pylist(), strict=True)
             ]
-            out = [batch[f"in_{i}"] if i != at else pa.array(new, pa.string()) for i in range(len(columns))]
-            yield pa.RecordBatch.from_arrays(out, [f"in_{i}" for i in range(len(columns))])
+            yield pa.RecordBatch.from_arrays([batch[c] if i != at else pa.array(new, pa.string()) for i, c in enumerate(ins)], ins)
 
-    schema = ", ".join(f"in_{i} {named.schema[f'in_{i}'].dataType.simpleString()}" for i in range(len(columns)))
+    schema = ", ".join(f"{c} {named.schema[c].dataType.simpleString()}" for c in ins)
     return named.mapInArrow(run, schema).select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(columns)])
