@@ -19,10 +19,21 @@ from rosterlens.llm.secrets import redact_secrets
 from rosterlens.llm.tokens import vocabulary
 
 
+def _aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that no operator adds, and those names."""
+    names = {c: f"kept_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(kept) for c, kept in names.items()]), names
+
+
+def _back(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return docs.select(*[F.col(kept).alias(c) for c, kept in names.items()])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores 0.5 or more go."""
+    """Documents that the classifier scores 0.5 or more go; all columns stay as they are."""
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("score < 0.5").select(*docs.columns)
+    renamed, names = _aside(docs)
+    return _back(toxicity.score(renamed, model, text=names["text"]).where("score < 0.5"), names)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +42,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with any ten-word phrase of the benchmark go."""
-    return phrase_matches(docs, table(spark, sf_dir, "benchmark")).where("size(hits) = 0").select(*docs.columns)
+    """Documents with any ten-word phrase of the benchmark go; all columns stay as they are."""
+    renamed, names = _aside(docs)
+    named = renamed.withColumnsRenamed({names["doc_id"]: "doc_id", names["text"]: "text"})
+    clean = phrase_matches(named, table(spark, sf_dir, "benchmark")).where("size(hits) = 0")
+    return _back(clean.withColumnsRenamed({"doc_id": names["doc_id"], "text": names["text"]}), names)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
