@@ -21,6 +21,7 @@ once with ``warm()``) and keeps it for the next query:
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from rosterlens import constants as K
 from rosterlens.functions import age_band, not_sentinel_date, years_between
 from rosterlens.operators import exact_quantiles, group_mean, latest_snapshot
-from rosterlens.session import master_of, session_key
-from rosterlens.sources import materialize_panel, panel_from_tables, remove_panel
+from rosterlens.session import checkpoint_root, master_of, session_key
+from rosterlens.sources import import_panel_csv, materialize_panel, panel_from_tables, remove_panel, write_panel_csv
 
 STORAGE_CONF = "spark.rosterlens.panel.storage"
 # quantiles of service the Q5/Q6 reports cut at (fixed values of the studied analysis)
@@ -170,6 +171,18 @@ class Workforce:
                 cache[base, dim] = self._keep(exact_quantiles(self.group_means(base, dim), K.SERVICE, MEAN_QUANTILES))
             return cache[base, dim].select(F.col("q")[MEAN_QUANTILES.index(p)]).scalar()
 
+    # -- the panel by way of raw CSV files (S1, S3, S4) ------------------------------
+    @property
+    def imported(self) -> DataFrame:
+        """The panel written as raw CSV files and imported from them as a table, once."""
+        with self._lock:
+            if "_imported" not in self.__dict__:
+                spark = self.panel.sparkSession
+                self._import_folder = f"{checkpoint_root(spark)}/rosterlens-import-{uuid.uuid4().hex[:12]}"
+                write_panel_csv(self.panel, f"{self._import_folder}/csv")
+                self._imported, _ = import_panel_csv(spark, f"{self._import_folder}/csv", f"{self._import_folder}/panel")
+            return self._imported
+
     def warm(self) -> int:
         """Build and persist every shared base now; returns the panel row count."""
         rows = self.panel.count()
@@ -179,7 +192,8 @@ class Workforce:
             self._cuts(name).count()
         return rows
 
-    def release(self) -> None:
+    def unpersist(self) -> None:
+        """Give up what is persisted; DataFrames in use compute it again."""
         for tables in ("_cut_tables", "_mean_cut_tables", "_mean_tables"):
             for df in self.__dict__.get(tables, {}).values():
                 df.unpersist()
@@ -189,11 +203,17 @@ class Workforce:
         if "_panel" in self.__dict__:
             if self.storage == "cache":
                 self._panel.unpersist()
-            if self._path:
-                remove_panel(self._panel.sparkSession, self._path)
+
+    def release(self) -> None:
+        """Also delete what was written: no DataFrame of this context may be in use any more."""
+        self.unpersist()
+        for path in (self._path, self.__dict__.get("_import_folder")):
+            if path:
+                remove_panel(self._panel.sparkSession, path)
 
 
 _CONTEXTS: dict[tuple[str, ...], tuple[list[str], Workforce]] = {}
+_REPLACED: list[Workforce] = []     # their files may still be read; clear_contexts deletes them
 _LOCK = threading.Lock()
 _TABLES = ("orders", "customer", "nation")
 
@@ -202,7 +222,8 @@ def workforce(spark: SparkSession, sf_dir: str) -> Workforce:
     """The shared context for ``sf_dir`` in this session; its panel is built on first use.
 
     A context belongs to the files that were there: when files were added or
-    removed since, it is released and a new one takes its place.
+    removed since, a new one takes its place. What the old one wrote stays until
+    :func:`clear_contexts`, as queries may be reading it.
     """
     default = "cache" if master_of(spark).startswith("local") else "table"
     storage = spark.conf.get(STORAGE_CONF, None) or default
@@ -220,12 +241,15 @@ def workforce(spark: SparkSession, sf_dir: str) -> Workforce:
         if held is None or held[0] != files:
             _CONTEXTS[key] = (files, Workforce(build, storage=storage))
             if held is not None:
-                held[1].release()
+                held[1].unpersist()
+                _REPLACED.append(held[1])
         return _CONTEXTS[key][1]
 
 
 def clear_contexts() -> None:
+    """Release every context, replaced ones included, with the files they wrote."""
     with _LOCK:
-        for _, ctx in _CONTEXTS.values():
+        for ctx in [*_REPLACED, *(held for _, held in _CONTEXTS.values())]:
             ctx.release()
+        _REPLACED.clear()
         _CONTEXTS.clear()

@@ -447,6 +447,8 @@ def _overview() -> dict[str, str]:
             f"(SELECT CAST({gap} AS DOUBLE) AS g, CAST({years} AS DOUBLE) AS y FROM panel)"),
         "qx_bu_jobs": _with("SELECT DISTINCT BUSINESS_UNIT, job_title FROM panel"),
         "qx_bu_depts": _with("SELECT DISTINCT BUSINESS_UNIT, department_name FROM panel"),
+        "qx_csv_panel": _with("SELECT * EXCLUDE (snapshot_id) FROM panel"),
+        "qx_csv_latest": _with("SELECT * EXCLUDE (snapshot_id) FROM latest"),
     }
 
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterlens.plans import ages, growth, hiring, overview, reasons, service
+from rosterlens.plans import ages, growth, hiring, imports, overview, reasons, service
 from rosterlens.plans.context import Workforce, workforce
 
 ANALYSES: dict[str, Callable[[Workforce], DataFrame]] = {}
-for _module in (overview, growth, ages, reasons, hiring, service):
+for _module in (overview, growth, ages, reasons, hiring, service, imports):
     ANALYSES.update(_module.QUERIES)
 
 

@@ -1,7 +1,15 @@
 """Sources: derived panel from the order tables, raw CSV, Parquet panel table."""
 
 from rosterlens.sources.derived import PANEL_COLUMNS, panel_from_frames, panel_from_tables
-from rosterlens.sources.raw_csv import RAW_SCHEMA, check_employee_ids, check_panel_schema, read_panel_csv, typed_panel
+from rosterlens.sources.raw_csv import (
+    RAW_SCHEMA,
+    check_employee_ids,
+    check_panel_schema,
+    import_panel_csv,
+    read_panel_csv,
+    typed_panel,
+    write_panel_csv,
+)
 from rosterlens.sources.store import materialize_panel, read_panel, remove_panel, write_panel
 
 __all__ = [
@@ -9,6 +17,7 @@ __all__ = [
     "RAW_SCHEMA",
     "check_employee_ids",
     "check_panel_schema",
+    "import_panel_csv",
     "materialize_panel",
     "panel_from_frames",
     "panel_from_tables",
@@ -17,4 +26,5 @@ __all__ = [
     "remove_panel",
     "typed_panel",
     "write_panel",
+    "write_panel_csv",
 ]

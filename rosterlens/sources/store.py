@@ -21,11 +21,14 @@ def write_panel(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Partitioned by year; the rows of a year are spread by employee over a few files.
 
     A year gets an eighth of the shuffle partitions as files, however many tasks
-    the panel comes from; an employee's rows of a year share a file.
+    the panel comes from; an employee's rows of a year share a file. The shuffle
+    is a rebalance: Spark cuts a partition over the advisory size, such as that of
+    an employee with very many rows, into several tasks, each with its own file,
+    and puts small ones together.
     """
     per_year = max(1, int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-    spread = panel.repartition(F.col(K.STATUS_YEAR), F.pmod(F.xxhash64(K.ID), F.lit(per_year)))
-    spread.write.mode(mode).partitionBy(K.STATUS_YEAR).parquet(path)
+    spread = panel.withColumn("_spread", F.pmod(F.xxhash64(K.ID), F.lit(per_year))).hint("rebalance", K.STATUS_YEAR, "_spread")
+    spread.drop("_spread").write.mode(mode).partitionBy(K.STATUS_YEAR).parquet(path)
 
 
 def read_panel(spark: SparkSession, path: str) -> DataFrame:
@@ -33,10 +36,28 @@ def read_panel(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*PANEL_COLUMNS)
 
 
+def _located(spark: SparkSession, path: str):
+    """(file system, Hadoop path) of ``path``."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _located(spark, path)
+    return fs.exists(target)
+
+
 def remove_panel(spark: SparkSession, path: str) -> None:
     """Delete a written panel."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    fs, target = _located(spark, path)
+    fs.delete(target, True)
+
+
+def rename_panel(spark: SparkSession, path: str, to: str) -> None:
+    """Give a written panel its final name."""
+    fs, source = _located(spark, path)
+    if not fs.rename(source, _located(spark, to)[1]):
+        raise OSError(f"cannot rename {path} to {to}")
 
 
 def materialize_panel(spark: SparkSession, panel: DataFrame, tag: str) -> tuple[DataFrame, str]:

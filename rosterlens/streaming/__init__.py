@@ -20,11 +20,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rosterlens import constants as K
 from rosterlens.session import checkpoint_root
-from rosterlens.sources.raw_csv import READ_OPTIONS, ROW_IDS, SPLIT_IDS, TEXT_SCHEMA, positioned, typed_panel
+from rosterlens.sources.raw_csv import READ_OPTIONS, TEXT_SCHEMA, positioned, typed_panel
 
 INGEST_BATCH = "ingest_batch"
-# snapshot ids of a batch stay below this, so they grow with the batch
-_BATCH_IDS = SPLIT_IDS * ROW_IDS
+# a snapshot id is the batch, the slot of the split in the batch's files, and the row in the reading task
+_ROW_IDS, _SLOTS = 1 << 23, 1 << 18
+_BATCHES = (1 << 63) // (_ROW_IDS * _SLOTS)       # 4 million: 8 years at one a minute
 
 
 def snapshot_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -37,8 +38,10 @@ def snapshot_stream(spark: SparkSession, source_dir: str, max_files_per_trigger:
 
 def _append_batch(store_path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        typed = typed_panel(batch)
-        typed = typed.withColumn(K.SNAPSHOT, F.lit(batch_id) * F.lit(_BATCH_IDS) + F.col(K.SNAPSHOT))
+        if batch_id >= _BATCHES:
+            raise OverflowError(f"snapshot ids end at batch {_BATCHES}; go on with a new panel table")
+        typed = typed_panel(batch, row_ids=_ROW_IDS, slots=_SLOTS)
+        typed = typed.withColumn(K.SNAPSHOT, F.lit(batch_id * _ROW_IDS * _SLOTS) + F.col(K.SNAPSHOT))
         (
             typed.withColumn(INGEST_BATCH, F.lit(batch_id))
             .write.mode("overwrite")

@@ -17,5 +17,5 @@ def test_bench_prints_one_json_line():
     assert len(out) == 1
     d = json.loads(out[0])
     assert d["unit"] == "sec" and d["value"] > 0 and d["sf"] == 0.001
-    assert len(d["queries"]) == d["n_queries"] == 112
+    assert len(d["queries"]) == d["n_queries"] == 114
     assert all(t > 0 for t in d["queries"].values())
