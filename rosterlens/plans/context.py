@@ -33,7 +33,7 @@ from rosterlens import constants as K
 from rosterlens.functions import age_band, not_sentinel_date, years_between
 from rosterlens.operators import exact_quantiles, group_mean, latest_snapshot
 from rosterlens.session import checkpoint_root, master_of, session_key
-from rosterlens.sources import import_panel_csv, materialize_panel, panel_from_tables, remove_panel, write_panel_csv
+from rosterlens.sources import import_panel_csv, listing_digest, materialize_panel, panel_from_tables, remove_panel, write_panel_csv
 
 STORAGE_CONF = "spark.rosterlens.panel.storage"
 # quantiles of service the Q5/Q6 reports cut at (fixed values of the studied analysis)
@@ -212,7 +212,7 @@ class Workforce:
                 remove_panel(self._panel.sparkSession, path)
 
 
-_CONTEXTS: dict[tuple[str, ...], tuple[list[str], Workforce]] = {}
+_CONTEXTS: dict[tuple[str, ...], tuple[str, Workforce]] = {}
 _REPLACED: list[Workforce] = []     # their files may still be read; clear_contexts deletes them
 _LOCK = threading.Lock()
 _TABLES = ("orders", "customer", "nation")
@@ -221,8 +221,8 @@ _TABLES = ("orders", "customer", "nation")
 def workforce(spark: SparkSession, sf_dir: str) -> Workforce:
     """The shared context for ``sf_dir`` in this session; its panel is built on first use.
 
-    A context belongs to the files that were there: when files were added or
-    removed since, a new one takes its place. What the old one wrote stays until
+    A context belongs to the files that were there: when files were added,
+    removed or rewritten since, a new one takes its place. What the old one wrote stays until
     :func:`clear_contexts`, as queries may be reading it.
     """
     default = "cache" if master_of(spark).startswith("local") else "table"
@@ -230,11 +230,11 @@ def workforce(spark: SparkSession, sf_dir: str) -> Workforce:
     sf_dir = sf_dir.rstrip("/")
     # one context per session: DataFrames are bound to the session that made them
     key = (*session_key(spark), sf_dir, storage)
-    files = sorted(f for t in _TABLES for f in spark.read.parquet(f"{sf_dir}/{t}.parquet").inputFiles())
+    files = listing_digest(spark, [f"{sf_dir}/{t}.parquet" for t in _TABLES])
 
     def build() -> tuple[DataFrame, str | None]:
         panel = panel_from_tables(spark, sf_dir)
-        return materialize_panel(spark, panel, "|".join([*key[:3], *files])) if storage == "table" else (panel, None)
+        return materialize_panel(spark, panel, "|".join([*key[:3], files])) if storage == "table" else (panel, None)
 
     with _LOCK:  # queries may be started from several threads; nothing runs on the cluster in here
         held = _CONTEXTS.get(key)

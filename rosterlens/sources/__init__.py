@@ -10,7 +10,7 @@ from rosterlens.sources.raw_csv import (
     typed_panel,
     write_panel_csv,
 )
-from rosterlens.sources.store import materialize_panel, read_panel, remove_panel, write_panel
+from rosterlens.sources.store import listing_digest, materialize_panel, read_panel, remove_panel, write_panel
 
 __all__ = [
     "PANEL_COLUMNS",
@@ -18,6 +18,7 @@ __all__ = [
     "check_employee_ids",
     "check_panel_schema",
     "import_panel_csv",
+    "listing_digest",
     "materialize_panel",
     "panel_from_frames",
     "panel_from_tables",

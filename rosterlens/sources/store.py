@@ -8,6 +8,7 @@ projection is pushed into the Parquet scan.
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,34 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+_STATUS = re.compile(r"path=(.*?); isDirectory=(true|false);(.*?)modification_time=(\d+);", re.DOTALL)
+_LENGTH = re.compile(r"length=(\d+);")
+
+
+def listing_digest(spark: SparkSession, paths: list[str]) -> str:
+    """Digest of the names, lengths and times of the files under ``paths``, from listings alone.
+
+    No Spark job and no footer is read. A folder's listing comes in one call and is
+    folded into the digest at once, so nothing is held for each file. Names
+    that Spark's readers skip (a leading ``_`` or ``.``) do not count.
+    """
+    digest = hashlib.sha256()
+    as_text = spark._jvm.org.apache.commons.lang3.ArrayUtils.toString
+    for path in paths:
+        todo = [path]
+        while todo:
+            fs, folder = _located(spark, todo.pop())
+            found = _STATUS.findall(as_text(fs.listStatus(folder)))
+            for name, is_folder, rest, changed in sorted(found):
+                if name.rsplit("/", 1)[-1].startswith(("_", ".")):
+                    continue
+                if is_folder == "true":
+                    todo.append(name)
+                else:
+                    digest.update(repr((name, _LENGTH.findall(rest), changed)).encode())
+    return digest.hexdigest()
+
+
 def remove_panel(spark: SparkSession, path: str) -> None:
     """Delete a written panel."""
     fs, target = _located(spark, path)

@@ -120,3 +120,28 @@ def test_ids_follow_file_names_not_task_packing(spark, tmp_path):
     panel = read_panel_csv(spark, str(src))
     assert panel.select(K.SNAPSHOT).distinct().count() == 2001
     assert latest_snapshot(panel).first().city_name == "First"
+
+
+def test_listing_digest_sees_every_change(spark, tmp_path):
+    from rosterlens.sources import listing_digest
+
+    folder, file = tmp_path / "t.parquet", tmp_path / "one.parquet"
+    (folder / "y=1").mkdir(parents=True)
+    (folder / "a").write_bytes(b"12")
+    (folder / "y=1" / "b").write_bytes(b"34")
+    file.write_bytes(b"5")
+    digest = lambda: listing_digest(spark, [str(folder), str(file)])
+    seen = [digest()]
+    assert digest() == seen[0]
+    (folder / "_SUCCESS").write_bytes(b"")                 # names that readers skip
+    (folder / "_temporary").mkdir()
+    (folder / "_temporary" / "c").write_bytes(b"x")
+    assert digest() == seen[0]
+    (folder / "y=1" / "b").write_bytes(b"345")             # rewritten in place
+    seen.append(digest())
+    (folder / "y=1" / "d").write_bytes(b"")                # added, nested
+    seen.append(digest())
+    file.unlink()
+    file.mkdir()                                           # a file replaced by an empty folder
+    seen.append(digest())
+    assert len(set(seen)) == 4
