@@ -34,7 +34,7 @@ from rosterlens.llm.common import work_folder
 MAGIC, VERSION = b"CMRC", 1
 BLOCK_IDS = 1024
 CONTEXTS = 512               # hashed contexts per order and block
-PAGE_IDS = 4 << 20           # a page is closed at so many ids, so a task holds one page at a time
+PAGE_IDS = 4 << 20           # a page is cut at so many ids once half as many follow, so a task holds 3/2 of it at a time
 _HEAD = "<4sHIIQ"
 _TOTAL, _EVENTS = 20, 15     # bits of the order-0 and of the event frequencies
 _LEARN = 0.06
@@ -191,7 +191,7 @@ def encode_page(ids: np.ndarray) -> bytes:
     table = zlib.compress(freq.astype("<u4").tobytes(), 1)
     below = np.cumsum(freq) - freq
     lanes = len(sizes)
-    steps = np.zeros((lanes, BLOCK_IDS), np.int64)
+    steps = np.zeros((lanes, BLOCK_IDS), np.int32)
     steps.reshape(-1)[: len(ids)] = ids
     steps = np.ascontiguousarray(steps.T)
     mixer, writer = _Mixer(lanes), _Writer(lanes)
@@ -279,7 +279,12 @@ _PAGE = pa.schema(
 
 
 def _pages(path: str, end_id: int):
-    """Sorted texts of one partition -> its pages."""
+    """Sorted texts of one partition -> its pages.
+
+    The coder works on a page's blocks side by side, so a page of few blocks costs
+    as much time as one of many: a short rest goes into the page before it, and only
+    a partition that is small itself makes a page under half of ``PAGE_IDS``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -289,10 +294,14 @@ def _pages(path: str, end_id: int):
 
         encode, part, page = encoder(path), TaskContext.get().partitionId(), 0
         docs, sizes, held = [], [], []
-
-        def closed():
-            ids = np.concatenate(held)
-            row = {"part": part, "page": page, "n_ids": len(ids), "docs": docs, "sizes": sizes, "payload": encode_page(ids)}
+        cut, docs_cut, total, after = 0, 0, 0, 0       # slices and documents of the page that is full, ids in all and behind it
+
+        def closed(slices_in, docs_in):
+            ids = np.concatenate(held[:slices_in])
+            row = {
+                "part": part, "page": page, "n_ids": len(ids), "docs": docs[:docs_in], "sizes": sizes[:docs_in],
+                "payload": encode_page(ids),
+            }
             return pa.RecordBatch.from_pylist([row], _PAGE)
 
         for batch in batches:
@@ -302,11 +311,18 @@ def _pages(path: str, end_id: int):
                 docs += rows["doc_id"].to_pylist()
                 sizes += (np.diff(places) + 1).tolist()
                 held.append(np.insert(ids, places[1:], end_id))
-                if sum(map(len, held)) >= PAGE_IDS:
-                    yield closed()
-                    page, docs, sizes, held = page + 1, [], [], []
+                total += len(held[-1])
+                if cut:
+                    after += len(held[-1])
+                elif total >= PAGE_IDS:
+                    cut, docs_cut = len(held), len(docs)
+                if 2 * after >= PAGE_IDS:
+                    yield closed(cut, docs_cut)
+                    page, docs, sizes, held = page + 1, docs[docs_cut:], sizes[docs_cut:], held[cut:]
+                    total, after = after, 0
+                    cut, docs_cut = (len(held), len(docs)) if total >= PAGE_IDS else (0, 0)
         if docs:
-            yield closed()
+            yield closed(len(held), len(docs))
 
     return run
 

@@ -671,3 +671,26 @@ def test_matrix_is_hypergeometric():
     matrix = communication_matrix([5, 0, 90, 17], [40, 40, 32], 3)
     assert [sum(r) for r in matrix] == [5, 0, 90, 17] and [sum(c) for c in zip(*matrix, strict=True)] == [40, 40, 32]
     assert hypergeometric(rng, 0, 5, 3) == 0 and hypergeometric(rng, 5, 0, 3) == 3
+
+
+@pytest.mark.parametrize("n", [1, 3, 9, 14, 15, 40])
+def test_a_short_rest_goes_into_the_page_before(library, monkeypatch, n):
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    from rosterlens.llm import range_coder
+
+    monkeypatch.setattr(range_coder, "PAGE_IDS", 100)
+    monkeypatch.setattr(TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 3})()))
+    texts = [" word" * (9 if i % 5 else 19 * (i % 2)) for i in range(n)] + ([" word" * 400] if n == 40 else [])
+    ids = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": [t]}) for i, t in enumerate(texts)]
+    pages = [p for b in range_coder._pages(vocabulary(), 2)(iter(batches)) for p in b.to_pylist()]
+    assert [p["page"] for p in pages] == list(range(len(pages))) and {p["part"] for p in pages} == {3}
+    assert [d for p in pages for d in p["docs"]] == list(range(len(texts)))
+    assert [k for p in pages for k in p["sizes"]] == [len(x) for x in ids]
+    assert np.concatenate([decode_page(p["payload"]) for p in pages]).tolist() == sum(ids, [])
+    assert all(p["n_ids"] == sum(p["sizes"]) for p in pages)
+    longest = max(map(len, ids))
+    assert all(p["n_ids"] >= 50 for p in pages) or len(pages) == 1
+    assert all(p["n_ids"] < 150 + longest for p in pages)
