@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from rosterlens import constants as K
 from rosterlens.functions import parse_mdy_date
 from rosterlens.operators.joins import broadcast_if_small
-from rosterlens.sources.store import path_exists, read_panel, remove_panel, rename_panel, write_panel
+from rosterlens.sources.store import path_exists, read_panel, remove_panel, rename_panel, unsorted_partitions, write_panel
 
 _DATES = [K.RECORD_DATE, K.BIRTH_DATE, K.HIRE_DATE, K.TERM_DATE]
 
@@ -62,6 +62,8 @@ READ_OPTIONS = {
 FILE, SIZE, BLOCK, LENGTH = "_file", "_file_size", "_block", "_block_length"
 # snapshot id = slot in which the file split starts * ROW_IDS + row in the reading task; 2^36 slots of that many rows
 ROW_IDS = 1 << 27
+# rows of a written file, which its task sorts in memory; while so many files are enough (see csv_files), fewer
+SORTED_ROWS, FEW_ROWS = 500_000, 100_000
 # a list of more files than this is joined, not broadcast
 MAX_BROADCAST_FILES = 1 << 20
 
@@ -160,16 +162,24 @@ def read_panel_csv(spark: SparkSession, path: str, check_ids: bool = True) -> Da
     return panel
 
 
+def csv_files(rows: int, unsorted: int) -> int:
+    """Number of files for so many rows: a file's rows fit its task's memory, however many rows there are."""
+    return max(1, min(unsorted, -(-rows // FEW_ROWS)), -(-rows // SORTED_ROWS))
+
+
 def write_panel_csv(panel: DataFrame, path: str) -> None:
     """Write the panel in the raw form, its files and rows in ``snapshot_id`` order.
 
+    The rows are counted first: partitions sized by bytes alone hold as many rows
+    as their shuffle files hold compressed, and spill while they are sorted.
     Missing values become ``NA``, so a text that reads "NA" is missing when read back.
     """
     raw = [
         F.concat(F.date_format(f.name, K.RAW_DATE_FORMAT), F.lit(" 0:00")).alias(f.name) if f.name in _DATES else F.col(f.name)
         for f in RAW_SCHEMA.fields
     ]
-    ordered = panel.repartitionByRange(K.SNAPSHOT).sortWithinPartitions(K.SNAPSHOT)
+    files = csv_files(panel.count(), unsorted_partitions(panel.sparkSession))
+    ordered = panel.repartitionByRange(files, K.SNAPSHOT).sortWithinPartitions(K.SNAPSHOT)
     ordered.select(*raw).write.option("header", True).option("nullValue", K.RAW_NULL_TEXT).csv(path)
 
 

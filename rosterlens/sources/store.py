@@ -18,6 +18,11 @@ from rosterlens.session import checkpoint_root
 from rosterlens.sources.derived import PANEL_COLUMNS
 
 
+def unsorted_partitions(spark: SparkSession) -> int:
+    """Up to so many shuffle partitions a task appends to one file each, without holding or sorting its rows."""
+    return max(1, int(spark.conf.get("spark.shuffle.sort.bypassMergeThreshold", "200")))
+
+
 def write_panel(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Partitioned by year; the rows of a year are spread by employee over a few files.
 
@@ -25,10 +30,13 @@ def write_panel(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
     the panel comes from; an employee's rows of a year share a file. The shuffle
     is a rebalance: Spark cuts a partition over the advisory size, such as that of
     an employee with very many rows, into several tasks, each with its own file,
-    and puts small ones together.
+    and puts small ones together. Its partitions are few enough that a task appends
+    rows to them as they come: with more, Spark holds and sorts them, and spills.
     """
-    per_year = max(1, int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-    spread = panel.withColumn("_spread", F.pmod(F.xxhash64(K.ID), F.lit(per_year))).hint("rebalance", K.STATUS_YEAR, "_spread")
+    partitions = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per_year = max(1, partitions // 8)
+    spread = panel.withColumn("_spread", F.pmod(F.xxhash64(K.ID), F.lit(per_year)))
+    spread = spread.hint("rebalance", min(partitions, unsorted_partitions(panel.sparkSession)), K.STATUS_YEAR, "_spread")
     spread.drop("_spread").write.mode(mode).partitionBy(K.STATUS_YEAR).parquet(path)
 
 

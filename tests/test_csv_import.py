@@ -150,3 +150,36 @@ def test_stream_batches_past_the_old_bound(spark, tmp_path):
     assert ids == sorted(set(ids)) and len(ids) == 6 and ids[0] > 0
     with pytest.raises(OverflowError):
         write(batch, _BATCHES)
+
+
+def test_written_files_are_sized_by_rows(spark, tmp_path, monkeypatch):
+    """A file's rows fit the memory that sorts them, whatever the bytes of their shuffle."""
+    from rosterlens.sources import raw_csv
+
+    assert [raw_csv.csv_files(n, 200) for n in (0, 1, 100_000, 100_001, 54_000_000, 1_000_000_000)] == [1, 1, 1, 2, 200, 2000]
+    monkeypatch.setattr(raw_csv, "FEW_ROWS", 2)
+    (tmp_path / "a.csv").write_text("\n".join([LINES[0], *[",".join(["%d" % i, *LINES[1].split(",")[1:]]) for i in range(40)]]) + "\n")
+    panel = read_panel_csv(spark, str(tmp_path / "a.csv"))
+    raw_csv.write_panel_csv(panel, str(tmp_path / "out"))
+    files = sorted((tmp_path / "out").glob("part-*"))
+    ids = [int(line.split(",")[0]) for f in files for line in f.read_text().splitlines()[1:]]
+    assert len(files) > 10 and ids == list(range(40))
+
+
+def test_import_shuffles_without_holding_rows(spark, tmp_path):
+    """With more shuffle partitions than that, every task would hold, sort and spill its rows."""
+    from rosterlens.sources.store import unsorted_partitions, write_panel
+
+    (tmp_path / "a.csv").write_text(CSV)
+    seen = []
+    frame = type(spark.range(1))
+    hint = frame.hint
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        frame.hint = lambda self, name, *args: seen.append(args) or hint(self, name, *args)
+        spark.conf.set("spark.sql.shuffle.partitions", "1000")
+        write_panel(read_panel_csv(spark, str(tmp_path / "a.csv")), str(tmp_path / "out"))
+    finally:
+        frame.hint = hint
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0][0] == unsorted_partitions(spark) == 200
