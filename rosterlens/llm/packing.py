@@ -230,7 +230,7 @@ def _tokenized(path: str, capacity: int, end_id: int):
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names)
-            give_back_memory()
+            give_back_memory(encoders=True)
 
     return run
 

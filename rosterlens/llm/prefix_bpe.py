@@ -258,7 +258,7 @@ def _encoded(path: str, decoded: bool, special: bool):
                     said = [encoder.read(ids[a:b]).decode(errors="replace") for a, b in zip(places[:-1], places[1:], strict=True)]
                     out.append(pa.array(said, pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names)
-            give_back_memory()
+            give_back_memory(encoders=True)
 
     return run
 

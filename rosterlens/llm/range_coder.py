@@ -69,14 +69,16 @@ class _Mixer:
         make = lambda k: (np.full(n * k, 0.15, np.float32), np.full(n * k, 0.1, np.float32))
         self.chances = [make(8), make(4), make(1)]
         self.weight = np.full((3, n), 1 / 3, np.float32)
-        self.last = np.zeros(n, np.int64)
-        self.mixed_in = np.zeros(n, np.int64)          # hash part of the id before
+        # 16 bits hold an id, and all that is used of the hashes
+        self.last = np.zeros(n, np.uint16)
+        self.mixed_in = np.zeros(n, np.uint16)         # hash part of the id before
 
     def predict(self, n: int):
         """Event frequencies of the first n lanes; keeps what update() needs."""
-        h = self.last[:n] * 40503
+        h = self.last[:n] * np.uint16(40503)
         i1 = self.base[:n] + ((h >> 4) & (CONTEXTS - 1))
-        i2 = self.base[:n] + (((h + self.mixed_in[:n]) >> 3) & (CONTEXTS - 1))
+        h += self.mixed_in[:n]
+        i2 = self.base[:n] + ((h >> 3) & (CONTEXTS - 1))
         e1, e2 = self.one.take(i1), self.two.take(i2)
         p1, p2 = e1 >> 2, e2 >> 2
         j8 = self.by8[:n] + ((e2 & 3) + ((p1 == p2) << 2))
@@ -109,7 +111,7 @@ class _Mixer:
         for table, i, e in ((self.one, i1, e1), (self.two, i2, e2)):
             sure = e & 3
             table[i] = np.where((e ^ fresh) < 4, e + (sure < 3), np.where(sure > 0, e - 1, fresh))
-        self.mixed_in[:n] = self.last[:n] * 60493
+        self.mixed_in[:n] = self.last[:n] * np.uint16(60493)
         self.last[:n] = ids
 
 
@@ -128,9 +130,9 @@ class _Writer:
 
     def put(self, lane: np.ndarray | slice, below: np.ndarray, freq: np.ndarray, bits: int) -> None:
         r = self.range[lane] >> np.uint64(bits)
-        low = self.low[lane] + r * below.astype(np.uint64)
-        r *= freq.astype(np.uint64)
-        over = np.flatnonzero(low >> np.uint64(48))
+        low = self.low[lane] + r * below.view(np.uint64)
+        r *= freq.view(np.uint64)
+        over = np.flatnonzero(low > np.uint64((1 << 48) - 1))
         if len(over):
             low[over] &= np.uint64((1 << 48) - 1)
             rows = over if isinstance(lane, slice) else lane[over]
@@ -169,8 +171,8 @@ class _Reader:
 
     def take(self, lane: np.ndarray | slice, below: np.ndarray, freq: np.ndarray, bits: int) -> None:
         r = self.range[lane] >> np.uint64(bits)
-        code = self.code[lane] - r * below.astype(np.uint64)
-        r *= freq.astype(np.uint64)
+        code = self.code[lane] - r * below.view(np.uint64)
+        r *= freq.view(np.uint64)
         while True:
             small = np.flatnonzero(r < np.uint64(1 << 32))
             if not len(small):

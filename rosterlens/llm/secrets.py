@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlens.llm.common import slices
+from rosterlens.llm.common import give_back_memory, slices
 
 # --- fixed values: the base patterns, on bytes with A-Z lowered where letters match in either case ---
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=-]+)")
@@ -161,6 +161,7 @@ def _scan(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.
                     spans = [(k, int(place[a]), int(place[b])) for k, a, b in spans]
                 out.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
             yield pa.RecordBatch.from_arrays([rows[c] for c in columns] + [pa.array(out, pa.list_(span))], [*columns, "secrets"])
+        give_back_memory()
 
 
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:

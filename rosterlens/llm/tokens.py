@@ -10,6 +10,7 @@ Tests compare the ids with the library's for whole texts.
 
 from __future__ import annotations
 
+import math
 import os
 import sys
 
@@ -19,8 +20,10 @@ import pyarrow.compute as pc
 
 from rosterlens.llm.common import mix, powers
 
-STORE_PIECES = 1_000_000
-SLICE = 2 << 20              # bytes of text to encode at a time,
+STORE_PIECES = 700_000       # once a worker knows more, it starts anew
+FULL = 0.75                  # share of the store's rows that may be taken
+SIZE_BITS = 28               # of a piece's number of ids; the rest is its place
+SLICE = 1 << 20              # bytes of text to encode at a time,
 HASH_BYTES = 1 << 16         # and to hash at a time
 _PUNCTUATION = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")     # a token of its own after letters
 _ROOTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -57,10 +60,41 @@ def cut_places(data: np.ndarray) -> np.ndarray:
     return cut
 
 
-def _merged(a: tuple, b: tuple) -> tuple:
-    """Two sorted sets of columns as one, by the first."""
-    order = np.argsort(np.r_[a[0], b[0]], kind="stable")
-    return tuple(np.r_[x, y][order] for x, y in zip(a, b, strict=True))
+class _Store:
+    """Known pieces in an open hash table of keys; by its rows also 32 bits of a second hash, place and size.
+
+    At most ``FULL`` of the rows are taken. The key 0 marks a free row.
+    """
+
+    def __init__(self, rows: int = 1 << 16):
+        self.n, self.keys, self.checks, self.places = 0, np.zeros(rows, np.uint64), np.zeros(rows, np.uint32), np.zeros(rows, np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key; a free row where the key is not known."""
+        last = len(self.keys) - 1
+        at = (keys & np.uint64(last)).astype(np.int64)
+        there = self.keys[at]
+        todo = np.flatnonzero((there != keys) & (there != 0))
+        while len(todo):
+            next_ = (at[todo] + 1) & last
+            at[todo] = next_
+            there = self.keys[next_]
+            todo = todo[(there != keys[todo]) & (there != 0)]
+        return at
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, places: np.ndarray) -> None:
+        """Distinct keys that are not there yet."""
+        if self.n + len(keys) > FULL * len(self.keys):
+            old, taken = (self.keys, self.checks, self.places), np.flatnonzero(self.keys)
+            self.__init__(1 << math.ceil(math.log2((self.n + len(keys)) / FULL)))
+            self.add(*[x[taken] for x in old])
+            del old, taken
+        self.n += len(keys)
+        todo = np.arange(len(keys))
+        while len(todo):
+            at = self.find(keys[todo])
+            self.keys[at], self.checks[at], self.places[at] = keys[todo], checks[todo], places[todo]
+            todo = todo[self.keys[at] != keys[todo]]             # of two keys for one free row the later stays
 
 
 class Encoder:
@@ -79,13 +113,12 @@ class Encoder:
         self.letters = {b: chr(b) if b in shown else chr(next(hidden)) for b in range(256)}
         self.space = self.letters[32]
         self.spelled: list[bytes] | None = None
+        self.tails = {c: [t.id for t in self.library.model.tokenize(c)] for c in _PUNCTUATION}
         self.powers = [(powers(r, 2 * HASH_BYTES), powers(v, 2 * HASH_BYTES)) for r, v in zip(_ROOTS, _INVERSES, strict=True)]
         self._forget()
 
     def _forget(self) -> None:
-        none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        # known pieces as sorted (key, check, place, size): many, and the latest few, which are merged in now and then
-        self.main, self.recent = none, none
+        self.known = _Store()
         self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
 
     def _new(self, raw: bytes) -> list[int]:
@@ -99,37 +132,26 @@ class Encoder:
                 spelled = raw.decode("latin-1").translate(self.letters)
             tokenize = self.library.model.tokenize
             if tail:
-                return [t.id for t in tokenize(spelled[:-1])] + [t.id for t in tokenize(tail)]
+                return [t.id for t in tokenize(spelled[:-1])] + self.tails[tail]
             return [t.id for t in tokenize(spelled)]
         return self.library.encode(piece, add_special_tokens=False).ids
 
+    def _many(self, raws: list[bytes]) -> tuple[list[int], np.ndarray]:
+        """(ids of all pieces in a row, number of ids of each)."""
+        new, ids, ends = self._new, [], []
+        for raw in raws:
+            ids += new(raw)
+            ends.append(len(ids))
+        return ids, np.diff(np.array(ends, np.int64), prepend=0)
+
     def _learn(self, keys: np.ndarray, checks: np.ndarray, raws: list[bytes]) -> None:
-        ids = [self._new(r) for r in raws]
-        size = np.array([len(x) for x in ids], np.int64)
-        total = int(size.sum())
-        while self.used + total > len(self.flat):
+        ids, size = self._many(raws)
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = [i for x in ids for i in x]
-        self.recent = _merged(self.recent, (keys, checks, self.used + np.cumsum(size) - size, size))
-        self.used += total
-        if len(self.recent[0]) > max(50_000, len(self.main[0]) // 8):
-            self.main, self.recent = _merged(self.main, self.recent), tuple(x[:0] for x in self.recent)
-
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(known, check, place, size) of each key."""
-        known = np.zeros(len(keys), bool)
-        out = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        for part in (self.main, self.recent):
-            todo = np.flatnonzero(~known)
-            if not len(part[0]) or not len(todo):
-                continue
-            i = np.minimum(np.searchsorted(part[0], keys[todo]), len(part[0]) - 1)
-            hit = part[0][i] == keys[todo]
-            todo, i = todo[hit], i[hit]
-            known[todo] = True
-            for values, column in zip(out, part[1:], strict=True):
-                values[todo] = column[i]
-        return known, *out
+        self.flat[self.used : self.used + len(ids)] = ids
+        place = self.used + np.cumsum(size) - size
+        self.known.add(keys, checks, place << SIZE_BITS | size)
+        self.used += len(ids)
 
     def _hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of every piece, made in steps whose arrays fit a core's cache."""
@@ -166,19 +188,22 @@ class Encoder:
         start = np.flatnonzero(cut)
         start, end = start[:-1], start[1:]
         keys, checks = self._hashes(data, start, end)
-        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.main[0]) + len(self.recent[0]) > STORE_PIECES:
+        keys, checks = np.maximum(keys, np.uint64(1)), checks.astype(np.uint32)
+        if self.known.n > STORE_PIECES:
             self._forget()
-        known, check, at, size = self._find(distinct)
-        new = np.flatnonzero(~known)
+        row = self.known.find(keys)
+        new = np.flatnonzero(self.known.keys[row] == 0)
         if len(new):
+            _, first = np.unique(keys[new], return_index=True)
+            first = new[first]
             whole = data.tobytes()
-            self._learn(distinct[new], checks[first[new]], [whole[start[i] : end[i]] for i in first[new]])
-            _, check[new], at[new], size[new] = self._find(distinct[new])
-        at, size = at[which], size[which]
-        if not np.array_equal(check[which], checks):                     # two pieces under one key: ask the library
+            self._learn(keys[first], checks[first], [whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+            row = self.known.find(keys)
+        if not np.array_equal(self.known.checks[row], checks):           # two pieces under one key: ask the library
             ids = self._library_ids(texts.to_pylist())
             return np.array([i for x in ids for i in x], self.dtype), np.cumsum([0, *map(len, ids)])
+        at = self.known.places[row]
+        at, size = at >> SIZE_BITS, at & ((1 << SIZE_BITS) - 1)
         before = np.cumsum(size) - size
         ids = self.flat[np.repeat(at - before, size) + np.arange(int(size.sum()))]
         places = np.r_[before, size.sum()][np.searchsorted(start, offsets)]

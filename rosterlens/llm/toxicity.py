@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterlens.llm.common import stored
+from rosterlens.llm.common import give_back_memory, stored
 
 MAX_LABELLED = 16_000        # expected size of the labelled sample, half of it toxic where there are so many
 COVER = 12                   # voters that every toxic document of the sample gets, where there are so many
@@ -257,6 +257,7 @@ def _strengths(lexicon: list[str], columns: list[str]):
         for batch in batches:
             x = [voters.strengths(t).tolist() for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch[c] for c in columns] + [pa.array(x, pa.list_(pa.float64()))], [*columns, "x"])
+            give_back_memory()
 
     return run
 
@@ -279,6 +280,7 @@ def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                 margin = intercept + (float(voters.strengths(t or "") @ weights) if lexicon else 0.0)
                 out.append(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
             yield pa.RecordBatch.from_arrays([batch[c] for c in columns] + [pa.array(out, pa.float64())], [*columns, "score"])
+            give_back_memory()
 
     schema = ", ".join(f"{c} {named.schema[c].dataType.simpleString()}" for c in columns)
     scored = named.mapInArrow(run, f"{schema}, score double")

@@ -694,3 +694,53 @@ def test_a_short_rest_goes_into_the_page_before(library, monkeypatch, n):
     longest = max(map(len, ids))
     assert all(p["n_ids"] >= 50 for p in pages) or len(pages) == 1
     assert all(p["n_ids"] < 150 + longest for p in pages)
+
+
+def test_encoder_ids_in_a_store_that_grows_and_starts_anew(monkeypatch):
+    from rosterlens.llm import tokens
+
+    rng = np.random.default_rng(11)
+    texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(1, 9, 4000)) + "!" for _ in range(6)]
+    texts += [None, "", "  x\n\ny é漢 z,, it's a-b $$ 12"] + texts[:2]
+    mine = tokens.Encoder(vocabulary())
+    monkeypatch.setattr(tokens, "STORE_PIECES", 9_000)
+    mine.known = tokens._Store(16)
+    for t in texts:
+        ids, places = mine.encode(pa.array([t, t], pa.string()))
+        want = mine.library.encode(t or "", add_special_tokens=False).ids
+        assert ids.tolist() == want * 2 and places.tolist() == [0, len(want), 2 * len(want)]
+        assert mine.known.n <= tokens.FULL * len(mine.known.keys) and mine.known.n == np.count_nonzero(mine.known.keys)
+
+
+def test_store_keeps_keys_of_one_row():
+    from rosterlens.llm.tokens import _Store
+
+    keys = (np.arange(1, 400, dtype=np.uint64) << np.uint64(20)) | np.uint64(5)     # all would lie in one row
+    store = _Store(16)
+    for part in (keys[:3], keys[3:200], keys[200:390]):
+        store.add(part, part.astype(np.uint32), part.astype(np.int64))
+    row = store.find(keys)
+    assert np.array_equal(store.keys[row[:390]], keys[:390]) and not store.keys[row[390:]].any()
+    assert np.array_equal(store.places[row[:390]], keys[:390].astype(np.int64))
+
+
+def test_encoders_go_with_the_first_task_that_has_no_use_for_them():
+    from rosterlens.llm.common import give_back_memory
+
+    kept = encoder(vocabulary())
+    give_back_memory(encoders=True)
+    assert encoder(vocabulary()) is kept
+    give_back_memory()
+    assert encoder(vocabulary()) is not kept
+
+
+def test_shingle_sets_are_sorted_and_distinct_within_each_text():
+    from rosterlens.llm.common import Words
+    from rosterlens.llm.parity_join import shingle_sets
+
+    texts = ["a b", None, "a b c d e f a b c d e f", "", "x", "p q r s t u v w"]
+    text, hashes = shingle_sets(Words(pa.array(texts), lower=True), 5)
+    assert text.tolist() == [0] + [2] * 6 + [4] + [5] * 4
+    for i, t in enumerate(texts):
+        alone = shingle_sets(Words(pa.array([t], pa.string()), lower=True), 5)[1]
+        assert np.array_equal(hashes[text == i], np.unique(alone))
