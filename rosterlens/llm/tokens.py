@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 
 from rosterlens.llm.common import mix, powers
 
-STORE_PIECES = 700_000       # once a worker knows more, it starts anew
+STORE_PIECES = 1_000_000     # once a worker knows more, it starts anew
 FULL = 0.75                  # share of the store's rows that may be taken
 SIZE_BITS = 28               # of a piece's number of ids; the rest is its place
 SLICE = 1 << 20              # bytes of text to encode at a time,
@@ -71,12 +71,12 @@ class _Store:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The row of each key; a free row where the key is not known."""
-        last = len(self.keys) - 1
-        at = (keys & np.uint64(last)).astype(np.int64)
+        rows = len(self.keys)
+        at = (keys % np.uint64(rows)).astype(np.int64)
         there = self.keys[at]
         todo = np.flatnonzero((there != keys) & (there != 0))
         while len(todo):
-            next_ = (at[todo] + 1) & last
+            next_ = (at[todo] + 1) % rows
             at[todo] = next_
             there = self.keys[next_]
             todo = todo[(there != keys[todo]) & (there != 0)]
@@ -86,7 +86,7 @@ class _Store:
         """Distinct keys that are not there yet."""
         if self.n + len(keys) > FULL * len(self.keys):
             old, taken = (self.keys, self.checks, self.places), np.flatnonzero(self.keys)
-            self.__init__(1 << math.ceil(math.log2((self.n + len(keys)) / FULL)))
+            self.__init__(math.ceil(1.25 * (self.n + len(keys)) / FULL))
             self.add(*[x[taken] for x in old])
             del old, taken
         self.n += len(keys)
@@ -118,7 +118,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = _Store()
+        self.known = self.flat = None
+        self.known = _Store(math.ceil(1.05 * STORE_PIECES / FULL))      # whole at once: a larger copy would stand beside it
         self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
 
     def _new(self, raw: bytes) -> list[int]:
