@@ -41,8 +41,8 @@ def exact_quantiles(df: DataFrame, col: str, ps: tuple[float, ...], accuracy: in
         lo, hi = near[2 * i], near[2 * i + 1]
         aggregates.append(
             F.struct(
-                F.any_value(lo).alias("lo"),
-                F.any_value(hi).alias("hi"),
+                F.max(lo).alias("lo"),
+                F.max(hi).alias("hi"),
                 F.count_if(v < lo).alias("below"),
                 F.count_if(v == lo).alias("at_lo"),
                 F.sort_array(F.collect_list(F.when((v > lo) & (v < hi), v))).alias("inside"),
