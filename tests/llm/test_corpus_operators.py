@@ -744,3 +744,29 @@ def test_shingle_sets_are_sorted_and_distinct_within_each_text():
     for i, t in enumerate(texts):
         alone = shingle_sets(Words(pa.array([t], pa.string()), lower=True), 5)[1]
         assert np.array_equal(hashes[text == i], np.unique(alone))
+
+
+def test_near_copies_meet_few_of_the_component_they_belong_to(spark, monkeypatch):
+    """A group of n near copies, half of them connected: the other half need a few pairs each, not n / 2."""
+    from rosterlens.llm import parity_join
+
+    n, words, met = 240, [f"w{i}" for i in range(200)], []
+    texts = [" ".join(w if i != k % 200 else f"own{k}" for i, w in enumerate(words)) for k in range(n)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    plain = parity_join.stored
+
+    def stored(df, tag):
+        out = plain(df, tag)
+        if tag == "pairs":
+            met.append(out.count())
+        return out
+
+    def half(sets, links):
+        some = sets.where("cid % 2 = 0").select("cid")
+        links.label = plain(some.crossJoin(some.agg(F.min("cid").alias("component"))), "label")
+
+    monkeypatch.setattr(parity_join, "stored", stored)
+    monkeypatch.setattr(parity_join, "_joined_copies", half)
+    got = jaccard_classes(docs).collect()
+    assert {r.component_id for r in got} == {0}
+    assert sum(met) <= 12 * n
