@@ -120,7 +120,11 @@ class PrefixBpe:
             self.merge[vocabulary[a], vocabulary[b]] = r
         if any(self.rank[x] > self.rank[t] for t, pair in self.parts.items() for x in pair):
             raise ValueError("a merge comes before those of its parts")
-        sound = {s: i for s, i in sorted(vocabulary.items(), key=lambda x: self.rank[x[1]]) if len(s) == 1 or self._whole(i)}
+        sound, whole = {}, set()
+        for s, i in sorted(vocabulary.items(), key=lambda x: self.rank[x[1]]):      # parts come before what they make
+            if len(s) == 1 or whole.issuperset(self.parts.get(i, ())) and self._whole(i):
+                sound[s] = i
+                whole.add(i)
         self.automaton = SuffixAutomaton(sound)
         self.known: dict[tuple[int, int], bool] = {}
 

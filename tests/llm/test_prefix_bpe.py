@@ -130,3 +130,11 @@ def test_query(spark):
         ids = LIBRARY.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), sha(",".join(map(str, ids))))
         assert r.decoded_sha256 == sha(LIBRARY.decode(ids, skip_special_tokens=False))
+
+
+def test_token_of_a_part_that_no_text_is_encoded_to():
+    """baa is never made (aa comes first), so neither is bbaa."""
+    spelled = [b"a", b"b", b"aa", b"ba", b"ab", b"baa", b"bbaa"]
+    words, merges = {s: i for i, s in enumerate(spelled)}, [(b"a", b"a"), (b"b", b"a"), (b"a", b"b"), (b"ba", b"a"), (b"b", b"baa")]
+    for raw in (b"bbaa", b"bbaaa", b"baa"):
+        assert PrefixBpe(words, merges).encode(raw) == slow_bpe(raw, words, merges)
