@@ -35,7 +35,9 @@ def exact_quantiles(df: DataFrame, col: str, ps: tuple[float, ...], accuracy: in
     """
     v, margin = F.col(col).cast("double"), 2 / accuracy
     ends = [max(0.0, min(1.0, x)) for p in ps for x in (p - margin, p + margin)]
-    near = df.select(F.percentile_approx(v, ends, accuracy).alias("near")).scalar()
+    # joined, not a scalar subquery: in an aggregate that may not be one over rows numbered as they come
+    near = F.broadcast(df.select(F.percentile_approx(v, ends, accuracy).alias("near")))
+    df, v, near = df.select(v.alias("v")).crossJoin(near), F.col("v"), F.col("near")
     aggregates = [F.count(v).alias("n")]
     for i in range(len(ps)):
         lo, hi = near[2 * i], near[2 * i + 1]

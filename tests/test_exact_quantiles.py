@@ -65,3 +65,10 @@ def test_best_and_worst_share_one_table(spark):
         assert {r.city_name for r in worst.collect()} == {c for c, v in means.items() if v <= lo}
     finally:
         w.release()
+
+
+def test_rows_numbered_as_they_come(spark):
+    """A plan with a number by row place (as of a CSV panel) is not deterministic, and its quantiles are all the same."""
+    df = spark.range(101).withColumn("place", F.monotonically_increasing_id()).select(F.when(F.col("place") >= 0, F.col("id")).alias("v"))
+    assert exact_quantiles(df, "v", (0.1, 0.5)).first().q == [10.0, 50.0]
+    assert df.where(F.col("v") >= exact_quantiles(df, "v", (0.9,)).select(F.col("q")[0]).scalar()).count() == 11
