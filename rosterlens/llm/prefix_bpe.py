@@ -213,6 +213,10 @@ class PrefixEncoder(Encoder):
         pieces = self.library.pre_tokenizer.pre_tokenize_str(raw.decode())
         return [i for piece, _ in pieces for i in self.model.encode(bytes(self.bytes_of[c] for c in piece))]
 
+    def _each(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[list[int]]:
+        whole = data.tobytes()
+        return (self._new(whole[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True))
+
     def _library_ids(self, texts: list[str]) -> list[list[int]]:
         """Ids of the texts without the store (two strings met under one key)."""
         return [self._new(t.encode()) if t else [] for t in texts]

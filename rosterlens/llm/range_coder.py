@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 
 from rosterlens.llm.common import work_folder
 
-MAGIC, VERSION = b"CMRC", 1
+MAGIC, VERSION = b"CMRC", 2
 BLOCK_IDS = 1024
-CONTEXTS = 512               # hashed contexts per order and block
-PAGE_IDS = 4 << 20           # a page is cut at so many ids once half as many follow, so a task holds 3/2 of it at a time
+GROUPS, SLOTS = 256, 4        # hashed order-1 contexts of a block; its prediction and those of the order-2 contexts that end in it
+PAGE_IDS = 8 << 20           # a page is cut at so many ids once half as many follow, so a task holds 3/2 of it at a time
 _HEAD = "<4sHIIQ"
 _TOTAL, _EVENTS = 20, 15     # bits of the order-0 and of the event frequencies
+_PLACE = 21                  # bits of an order-0 frequency beside what lies below it
 _LEARN = 0.06
 
 
@@ -58,61 +59,94 @@ def order0(counts: np.ndarray) -> np.ndarray:
 
 
 class _Mixer:
-    """The adaptive state of all blocks (lanes) of a page."""
+    """The adaptive state of all blocks (lanes) of a page.
+
+    Work on all lanes is arithmetic on whole arrays, stacked by order or by model: choices by mask are several
+    times as slow. Both predictions of a context lie side by side, so one fetch from memory brings both.
+    """
 
     def __init__(self, lanes: int):
         n = self.lanes = lanes
-        self.one, self.two = np.zeros(n * CONTEXTS, np.int32), np.zeros(n * CONTEXTS, np.int32)   # id << 2 | confidence
-        self.lane = np.arange(n)
-        self.base, self.by8, self.by4 = self.lane * CONTEXTS, self.lane * 8, self.lane * 4
+        self.table = np.zeros(n * GROUPS * SLOTS, np.int32)      # id << 2 | confidence; of each group the order-1 slot first
+        lane = np.arange(n)
+        self.base, self.by8, self.by4 = lane * (GROUPS * SLOTS), lane * 8, lane * 4
         # chances of an order-2 and of an order-1 hit, by order-2 evidence, by order-1 evidence, by order 0
-        make = lambda k: (np.full(n * k, 0.15, np.float32), np.full(n * k, 0.1, np.float32))
-        self.chances = [make(8), make(4), make(1)]
+        pair = np.array([0.15, 0.1], np.float32).view(np.int64)[0]       # side by side, moved as one
+        self.by2, self.by1, self.by0 = np.full(n * 8, pair), np.full(n * 4, pair), np.full(n, pair)
         self.weight = np.full((3, n), 1 / 3, np.float32)
-        # 16 bits hold an id, and all that is used of the hashes
+        # 16 bits hold an id, and all that is used of its hash
         self.last = np.zeros(n, np.uint16)
-        self.mixed_in = np.zeros(n, np.uint16)         # hash part of the id before
+        self.slot = np.ones(n, np.int64)                         # of the id before, in the group
 
     def predict(self, n: int):
-        """Event frequencies of the first n lanes; keeps what update() needs."""
-        h = self.last[:n] * np.uint16(40503)
-        i1 = self.base[:n] + ((h >> 4) & (CONTEXTS - 1))
-        h += self.mixed_in[:n]
-        i2 = self.base[:n] + ((h >> 3) & (CONTEXTS - 1))
-        e1, e2 = self.one.take(i1), self.two.take(i2)
-        p1, p2 = e1 >> 2, e2 >> 2
-        j8 = self.by8[:n] + ((e2 & 3) + ((p1 == p2) << 2))
-        j4 = self.by4[:n] + (e1 & 3)
-        (a2, a1), (b2, b1), (c2, c1) = self.chances
-        two, one = (a2.take(j8), b2.take(j4), c2[:n]), (a1.take(j8), b1.take(j4), c1[:n])
-        w = self.weight
-        m2 = w[0, :n] * two[0] + w[1, :n] * two[1] + w[2, :n] * two[2]
-        m1 = w[0, :n] * one[0] + w[1, :n] * one[1] + w[2, :n] * one[2]
+        """Ids that are expected (by order 2, by order 1) and event frequencies of the first n lanes; keeps what update() needs."""
+        group = self.last[:n] * np.uint16(40503) >> np.uint16(8)
+        i1 = self.base[:n] + (group << np.uint16(2))
+        i2 = i1 + self.slot[:n]
+        e = np.empty((2, n), np.int32)
+        self.table.take(i1, out=e[1], mode="clip")
+        self.table.take(i2, out=e[0], mode="clip")
+        ids, sure = e >> 2, e & 3
+        j8 = self.by8[:n] + sure[0]
+        j8 += (ids[0] == ids[1]).view(np.int8).astype(np.int64) << 2
+        j4 = self.by4[:n] + sure[1]
+        pairs = np.empty((3, n), np.int64)
+        self.by2.take(j8, out=pairs[0], mode="clip")
+        self.by1.take(j4, out=pairs[1], mode="clip")
+        pairs[2] = self.by0[:n]
+        both = pairs.view(np.float32).reshape(3, n, 2)
+        two, one = np.ascontiguousarray(both[:, :, 0]), np.ascontiguousarray(both[:, :, 1])
+        w = self.weight[:, :n]
         scale = np.float32((1 << _EVENTS) - 3)
-        f2, f1 = (m2 * scale).astype(np.int64) + 1, (m1 * scale).astype(np.int64) + 1
-        self.kept = (n, i1, i2, e1, e2, j8, j4, two, one, m2, m1)
-        return p2, p1, f2, f1
-
-    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        n, i1, i2, e1, e2, j8, j4, two, one, m2, m1 = self.kept
+        m2, m1 = w * two, w * one
+        f2 = ((m2[0] + m2[1] + m2[2]) * scale).astype(np.int32) + 1
+        f1 = ((m1[0] + m1[1] + m1[2]) * scale).astype(np.int32) + 1
+        self.kept = (n, i1, i2, e, ids, sure, j8, j4, pairs, two, one)
+        return ids[0], ids[1], f2, f1
+
+    def update(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """Learn the ids (int32) and events (1 or 0, int32) of the lanes that predict() was asked for."""
+        n, i1, i2, e, ids, sure, j8, j4, pairs, two, one = self.kept
         w = self.weight[:, :n]
-        near2, near1 = hit2 * np.float32(0.9) + np.float32(0.002), hit1 * np.float32(0.9) + np.float32(0.002)
-        likely = np.empty((3, n), np.float32)
-        learn = np.float32(_LEARN)
-        for k, place in enumerate((j8, j4, slice(0, n))):
-            likely[k] = np.where(hit2, two[k], np.where(hit1, one[k], 1 - two[k] - one[k]))
-            new2, new1 = two[k] + (near2 - two[k]) * learn, one[k] + (near1 - one[k]) * learn
-            self.chances[k][0][place] = new2
-            self.chances[k][1][place] = new1
+        is2, is1 = hit2.astype(np.float32), hit1.astype(np.float32)
+        likely = 1 - two
+        likely -= one
+        likely *= 1 - is2 - is1
+        likely += two * is2
+        likely += one * is1
         likely *= w
         likely *= np.float32(0.96) / (likely[0] + likely[1] + likely[2])
         np.add(likely, np.float32(0.04 / 3), out=w)
-        fresh = ids.astype(np.int32) << 2
-        for table, i, e in ((self.one, i1, e1), (self.two, i2, e2)):
-            sure = e & 3
-            table[i] = np.where((e ^ fresh) < 4, e + (sure < 3), np.where(sure > 0, e - 1, fresh))
-        self.mixed_in[:n] = self.last[:n] * np.uint16(60493)
-        self.last[:n] = ids
+        both = pairs.view(np.float32).reshape(3, n, 2)
+        for k, (chances, hit) in enumerate(((two, is2), (one, is1))):
+            chances *= np.float32(1 - _LEARN)
+            np.add(chances, hit * np.float32(0.9 * _LEARN) + np.float32(0.002 * _LEARN), out=both[:, :, k])
+        self.by2[j8], self.by1[j4], self.by0[:n] = pairs
+        # right: more sure, up to 3; wrong: less sure, or the new id
+        right = -(ids == x).view(np.int8).astype(np.int32)
+        some = -sure >> 31
+        fresh = x << 2
+        wrong = ((e - 1) ^ fresh) & some
+        wrong ^= fresh
+        new = np.minimum(e + 1, e | 3)
+        new ^= wrong
+        new &= right
+        new ^= wrong
+        self.table[i1] = new[1]
+        self.table[i2] = new[0]
+        self.slot[:n] = np.maximum(self.last[:n] * np.uint16(60493) >> np.uint16(14), np.uint16(1))
+        self.last[:n] = x
+
+
+def _turned(rows: np.ndarray) -> np.ndarray:
+    """The transpose, made of strips that fit a core's cache."""
+    out = np.empty(rows.shape[::-1], rows.dtype)
+    for i in range(0, max(rows.shape), 32):
+        if len(rows) < len(out):
+            out[i : i + 32] = rows[:, i : i + 32].T
+        else:
+            out[:, i : i + 32] = rows[i : i + 32].T
+    return out
 
 
 def _blocks(n: int) -> np.ndarray:
@@ -123,102 +157,129 @@ def _blocks(n: int) -> np.ndarray:
 
 
 class _Writer:
+    """Range coder of all lanes. A carry waits in ``low``, above its 48 bits, until the lane's next word goes out."""
+
     def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
+        self.lanes, self.low, self.range = lanes, np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
         # lanes side by side: they are about as far, so their next words lie close together
-        self.out, self.at = np.zeros((2 * BLOCK_IDS + 8, lanes), np.uint16), np.zeros(lanes, np.int64)
+        self.out, self.at = np.zeros((2 * BLOCK_IDS + 8) * lanes, np.uint16), np.arange(lanes)
+
+    def _word(self, rows: np.ndarray, low: np.ndarray) -> None:
+        """The top word of each row's ``low`` goes out."""
+        top = low >> np.uint64(32)
+        at = self.at[rows]
+        over = np.flatnonzero(top > np.uint64(0xFFFF))
+        if len(over):
+            back = at[over] - self.lanes
+            while len(back):                                   # carry into the words already out
+                self.out[back] += np.uint16(1)
+                back = back[self.out[back] == 0] - self.lanes
+        self.out[at] = top.astype(np.uint16)
+        self.at[rows] = at + self.lanes
 
     def put(self, lane: np.ndarray | slice, below: np.ndarray, freq: np.ndarray, bits: int) -> None:
         r = self.range[lane] >> np.uint64(bits)
-        low = self.low[lane] + r * below.view(np.uint64)
-        r *= freq.view(np.uint64)
-        over = np.flatnonzero(low > np.uint64((1 << 48) - 1))
-        if len(over):
-            low[over] &= np.uint64((1 << 48) - 1)
-            rows = over if isinstance(lane, slice) else lane[over]
-            at = self.at[rows] - 1
-            while len(rows):                                   # carry into the words already out
-                self.out[at, rows] += np.uint16(1)
-                more = self.out[at, rows] == 0
-                rows, at = rows[more], at[more] - 1
-        while True:
-            small = np.flatnonzero(r < np.uint64(1 << 32))
-            if not len(small):
-                break
-            rows = small if isinstance(lane, slice) else lane[small]
-            self.out[self.at[rows], rows] = (low[small] >> np.uint64(32)).astype(np.uint16)
-            self.at[rows] += 1
-            low[small] = (low[small] & np.uint64((1 << 32) - 1)) << np.uint64(16)
-            r[small] <<= np.uint64(16)
+        low = self.low[lane] + r * below.astype(np.uint64)
+        r *= freq.astype(np.uint64)
+        small = np.flatnonzero(r < np.uint64(1 << 32))
+        while len(small):
+            left = low[small]
+            self._word(small if isinstance(lane, slice) else lane[small], left)
+            low[small] = (left & np.uint64((1 << 32) - 1)) << np.uint64(16)
+            wide = r[small] << np.uint64(16)
+            r[small] = wide
+            small = small[wide < np.uint64(1 << 32)]
         self.low[lane], self.range[lane] = low, r
 
-    def close(self) -> None:
-        for shift in (32, 16, 0):
-            self.out[self.at, np.arange(len(self.at))] = ((self.low >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
-            self.at += 1
+    def close(self) -> tuple[np.ndarray, np.ndarray]:
+        """(words of all lanes, lane by lane; how many of each)."""
+        every = np.arange(self.lanes)
+        for _ in range(3):
+            self._word(every, self.low)
+            self.low = (self.low & np.uint64((1 << 32) - 1)) << np.uint64(16)
+        counts = self.at // max(1, self.lanes)
+        most = int(counts.max(initial=0))
+        out = _turned(self.out[: most * self.lanes].reshape(most, self.lanes))
+        return out[np.arange(most) < counts[:, None]], counts
 
 
 class _Reader:
     def __init__(self, words: np.ndarray, starts: np.ndarray):
-        self.words, self.at = np.r_[words, np.zeros(8, np.uint16)].astype(np.uint64), starts + 3
-        w = [self.words[starts + i] for i in range(3)]
+        self.words, self.at = np.r_[words, np.zeros(8, np.uint16)], starts + 3
+        w = [self.words[starts + i].astype(np.uint64) for i in range(3)]
         self.code = (w[0] << np.uint64(32)) | (w[1] << np.uint64(16)) | w[2]
         self.range = np.full(len(starts), (1 << 48) - 1, np.uint64)
 
-    def value(self, lane: np.ndarray | slice, bits: int) -> np.ndarray:
-        r = self.range[lane] >> np.uint64(bits)
-        return np.minimum(self.code[lane] // r, np.uint64((1 << bits) - 1)).astype(np.int64)
-
-    def take(self, lane: np.ndarray | slice, below: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        r = self.range[lane] >> np.uint64(bits)
-        code = self.code[lane] - r * below.view(np.uint64)
-        r *= freq.view(np.uint64)
-        while True:
-            small = np.flatnonzero(r < np.uint64(1 << 32))
-            if not len(small):
-                break
+    def event(self, n: int, f2: np.ndarray, f1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order-2 hit, order-1 hit) of the first n lanes, 1 or 0."""
+        r, code = self.range[:n] >> np.uint64(_EVENTS), self.code[:n]
+        to2, to1 = r * f2.astype(np.uint64), r * f1.astype(np.uint64)
+        to1 += to2
+        not2, missed = (code >= to2).view(np.uint8).astype(np.uint64), (code >= to1).view(np.uint8).astype(np.uint64)
+        begin = not2 * to2 + missed * (to1 - to2)
+        end = to2 + not2 * (to1 - to2) + missed * ((r << np.uint64(_EVENTS)) - to1)
+        self._shift(slice(0, n), code - begin, end - begin)
+        return (1 - not2.astype(np.int32)), (not2 - missed).astype(np.int32)
+
+    def symbols(self, lane: np.ndarray, symbol: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The ids of the lanes (numbers) by order 0."""
+        r, code = self.range[lane] >> np.uint64(_TOTAL), self.code[lane]
+        ids = symbol.take((code // r).astype(np.int64), mode="clip")
+        place = places[ids]
+        code -= r * (place >> _PLACE).astype(np.uint64)
+        r *= (place & ((1 << _PLACE) - 1)).astype(np.uint64)
+        self._shift(lane, code, r)
+        return ids
+
+    def _shift(self, lane: np.ndarray | slice, code: np.ndarray, r: np.ndarray) -> None:
+        small = np.flatnonzero(r < np.uint64(1 << 32))
+        while len(small):
             rows = small if isinstance(lane, slice) else lane[small]
-            code[small] = (code[small] << np.uint64(16)) | self.words[self.at[rows]]
-            self.at[rows] += 1
-            r[small] <<= np.uint64(16)
+            at = self.at[rows]
+            code[small] = (code[small] << np.uint64(16)) | self.words.take(at, mode="clip")
+            self.at[rows] = at + 1
+            wide = r[small] << np.uint64(16)
+            r[small] = wide
+            small = small[wide < np.uint64(1 << 32)]
         self.code[lane], self.range[lane] = code, r
 
 
 def encode_page(ids: np.ndarray) -> bytes:
     """One page from any number of ids below 2^16."""
-    ids = np.asarray(ids, np.int64)
+    ids = np.asarray(ids)
     sizes = _blocks(len(ids))
-    counts = np.bincount(ids, minlength=1)
+    counts = np.zeros(1 << 16, np.int64)
+    for i in range(0, len(ids), 1 << 18):
+        counts += np.bincount(ids[i : i + (1 << 18)], minlength=1 << 16)
     freq = order0(counts)
     table = zlib.compress(freq.astype("<u4").tobytes(), 1)
-    below = np.cumsum(freq) - freq
+    places = (np.cumsum(freq) - freq) << _PLACE | freq
     lanes = len(sizes)
-    steps = np.zeros((lanes, BLOCK_IDS), np.int32)
+    steps = np.zeros((lanes, BLOCK_IDS), np.uint16)
     steps.reshape(-1)[: len(ids)] = ids
-    steps = np.ascontiguousarray(steps.T)
+    steps = _turned(steps)
     mixer, writer = _Mixer(lanes), _Writer(lanes)
-    one = 1 << _EVENTS
     for t in range(int(sizes.max(initial=0))):
         n = lanes if t < sizes[-1] else lanes - 1
-        x = steps[t, :n]
+        x = steps[t, :n].astype(np.int32)
         p2, p1, f2, f1 = mixer.predict(n)
-        hit2 = x == p2
-        hit1 = (x == p1) & ~hit2
-        event_below = np.where(hit2, 0, np.where(hit1, f2, f2 + f1))
-        event_freq = np.where(hit2, f2, np.where(hit1, f1, one - f2 - f1))
-        lane = slice(0, n)
-        writer.put(lane, event_below, event_freq, _EVENTS)
-        missed = np.flatnonzero(~(hit2 | hit1))
-        writer.put(missed, below[x[missed]], freq[x[missed]], _TOTAL)
+        hit2 = (x == p2).view(np.int8).astype(np.int32)
+        hit1 = (x == p1).view(np.int8) * (1 - hit2)
+        miss = 1 - hit2 - hit1
+        writer.put(
+            slice(0, n), (f2 + f1 * miss) * (1 - hit2), f2 * hit2 + f1 * hit1 + ((1 << _EVENTS) - f2 - f1) * miss, _EVENTS
+        )
+        missed = np.flatnonzero(miss)
+        place = places[x[missed]]
+        writer.put(missed, place >> _PLACE, place & ((1 << _PLACE) - 1), _TOTAL)
         mixer.update(x, hit2, hit1)
-    writer.close()
-    raw = ids.astype("<u4").tobytes()
-    cuts = np.r_[0, np.cumsum(sizes)] * 4
+    del mixer, steps
+    raw, cuts = ids.astype("<u4"), np.r_[0, np.cumsum(sizes)]
     info = np.zeros((lanes, 3), "<u4")
-    info[:, 0], info[:, 1] = sizes, writer.at
+    words, info[:, 1] = writer.close()
+    info[:, 0] = sizes
     info[:, 2] = [zlib.crc32(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    words = np.ascontiguousarray(writer.out.T)[np.arange(len(writer.out)) < writer.at[:, None]].astype("<u2")
-    return struct.pack(_HEAD, MAGIC, VERSION, lanes, len(table), len(ids)) + table + info.tobytes() + words.tobytes()
+    return struct.pack(_HEAD, MAGIC, VERSION, lanes, len(table), len(ids)) + table + info.tobytes() + words.astype("<u2").tobytes()
 
 
 def decode_page(page: bytes, blocks: slice | None = None) -> np.ndarray:
@@ -242,33 +303,24 @@ def decode_page(page: bytes, blocks: slice | None = None) -> np.ndarray:
     sizes, lanes = info[:, 0], len(info)
     if not lanes:
         return np.zeros(0, np.uint32)
-    below = np.cumsum(freq) - freq
-    symbol = np.repeat(np.arange(len(freq)), freq)
+    places = (np.cumsum(freq) - freq) << _PLACE | freq
+    symbol = np.repeat(np.arange(len(freq)).astype(np.uint16), freq)
     mixer, reader = _Mixer(lanes), _Reader(words, starts)
-    out = np.zeros((BLOCK_IDS, lanes), np.uint32)
-    one = 1 << _EVENTS
+    out = np.zeros((BLOCK_IDS, lanes), np.uint16)
     for t in range(int(sizes.max())):
         n = lanes if t < sizes[-1] else lanes - 1
         p2, p1, f2, f1 = mixer.predict(n)
-        lane = slice(0, n)
-        v = reader.value(lane, _EVENTS)
-        hit2 = v < f2
-        hit1 = (v < f2 + f1) & ~hit2
-        reader.take(
-            lane, np.where(hit2, 0, np.where(hit1, f2, f2 + f1)), np.where(hit2, f2, np.where(hit1, f1, one - f2 - f1)), _EVENTS
-        )
-        x = np.where(hit2, p2, p1)
-        missed = np.flatnonzero(~(hit2 | hit1))
-        x[missed] = symbol[reader.value(missed, _TOTAL)]
-        reader.take(missed, below[x[missed]], freq[x[missed]], _TOTAL)
+        hit2, hit1 = reader.event(n, f2, f1)
+        x = p2 * hit2 + p1 * (1 - hit2)
+        missed = np.flatnonzero(hit2 + hit1 == 0)
+        x[missed] = reader.symbols(missed, symbol, places)
         mixer.update(x, hit2, hit1)
         out[t, :n] = x
-    ids = np.ascontiguousarray(out.T).reshape(-1)
-    keep = (np.arange(BLOCK_IDS) < sizes[:, None]).reshape(-1)
-    ids = ids[keep].astype("<u4")
-    raw, cuts = ids.tobytes(), np.r_[0, np.cumsum(sizes)] * 4
+    del mixer
+    cuts = np.r_[0, np.cumsum(sizes)]
+    ids = _turned(out).reshape(-1)[: cuts[-1]].astype("<u4")      # all blocks but the last are full
     for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if zlib.crc32(raw[a:b]) != info[i, 2]:
+        if zlib.crc32(ids[a:b]) != info[i, 2]:
             raise ChecksumError(f"block {i} is damaged")
     return ids
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -137,16 +138,32 @@ class Encoder:
             return [t.id for t in tokenize(spelled)]
         return self.library.encode(piece, add_special_tokens=False).ids
 
-    def _many(self, raws: list[bytes]) -> tuple[list[int], np.ndarray]:
+    def _each(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[list[int]]:
+        """Ids of pieces in the order of ``data``; words of ASCII letters alone go to the model as they are."""
+        whole, tokenize, new, space, tails = data.tobytes(), self.library.model.tokenize, self._new, self.space, self.tails
+        text = whole.decode("latin-1")                         # a character a byte
+        wide = np.maximum.reduceat(np.append(data, np.uint8(0)), np.stack([start, end], axis=1).ravel())[::2] > 127
+        for a, b, led, other in zip(start.tolist(), end.tolist(), (data[start] == 32).tolist(), wide.tolist(), strict=True):
+            if not other:
+                word = text[a + led : b]
+                if word.isalpha():
+                    yield [t.id for t in tokenize(space + word if led else word)]
+                    continue
+                if word[:-1].isalpha() and word[-1] in tails:
+                    yield [t.id for t in tokenize(space + word[:-1] if led else word[:-1])] + tails[word[-1]]
+                    continue
+            yield new(whole[a:b])
+
+    def _many(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[int], np.ndarray]:
         """(ids of all pieces in a row, number of ids of each)."""
-        new, ids, ends = self._new, [], []
-        for raw in raws:
-            ids += new(raw)
+        ids, ends = [], []
+        for piece in self._each(data, start, end):
+            ids += piece
             ends.append(len(ids))
         return ids, np.diff(np.array(ends, np.int64), prepend=0)
 
-    def _learn(self, keys: np.ndarray, checks: np.ndarray, raws: list[bytes]) -> None:
-        ids, size = self._many(raws)
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        ids, size = self._many(data, start, end)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
@@ -196,9 +213,8 @@ class Encoder:
         new = np.flatnonzero(self.known.keys[row] == 0)
         if len(new):
             _, first = np.unique(keys[new], return_index=True)
-            first = new[first]
-            whole = data.tobytes()
-            self._learn(keys[first], checks[first], [whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+            first = np.sort(new[first])
+            self._learn(keys[first], checks[first], data, start[first], end[first])
             row = self.known.find(keys)
         if not np.array_equal(self.known.checks[row], checks):           # two pieces under one key: ask the library
             ids = self._library_ids(texts.to_pylist())
