@@ -3,7 +3,8 @@
 An id is coded as one of three events: it is what the order-2 context predicts,
 it is what the order-1 context predicts, or neither, in which case it is coded by
 its order-0 frequency (a table per page, sent once). Every context predicts the
-id that followed it last, with a confidence. The order-2 contexts that end in one id share its group. Three models state the chances of
+id that followed it last, with a confidence; the order-2 contexts that end in one
+id lie beside its order-1 context. Three models state the chances of
 the events, from the order-2 evidence (its confidence, and whether both
 orders agree), the order-1 evidence and order 0 alone; a Bayesian mixture
 weighs them by how well each has predicted so far. The mixed chances drive a
