@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlens.llm.common import Scratch, stored
+from rosterlens.llm.common import Scratch, release_shuffles, stored
 from rosterlens.operators.joins import broadcast_if_small
 
 NOT_IN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -107,13 +107,21 @@ def phrase_matches(
     empty text has no words and no hits; an empty benchmark hits nothing.
     Columns of ``docs`` named like the new ones are replaced.
     """
+    spark = docs.sparkSession
     with Scratch() as scratch:
+        # what a step has broadcast or shuffled goes before the next one
         windows = stored(test_windows(items, item_key, item_text, length), "windows")
+        release_shuffles(spark)
         index = build_index(docs, windows, key, text)
-        starts = _candidates(index, _rarest_terms(index, windows, LISTS), LISTS).where("start >= 0")
+        release_shuffles(spark)
+        rarest = _rarest_terms(index, windows, LISTS)
+        release_shuffles(spark)
+        starts = _candidates(index, rarest, LISTS).where("start >= 0")
         told = starts.join(broadcast_if_small(windows, MAX_BROADCAST), "wid")
         per_text = told.groupBy("__a", "__b").agg(F.collect_list(F.struct("start", "w", "items")).alias("__c"))
         per_text = scratch.keep(stored(per_text, "candidates"))
+        del starts, told
+    release_shuffles(spark)
     joined = _keyed(docs.drop("n_words", "hits"), key, text).join(per_text, ["__a", "__b"], "left")
     joined = joined.withColumn("__w", words(F.col(f"`{text}`")))
     exact = F.filter(
