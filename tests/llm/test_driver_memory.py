@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 from rosterlens.llm import phrase_index
-from rosterlens.llm.common import release_shuffles
+from rosterlens.llm.common import give_back_driver_memory, release_shuffles
 
 
 def test_freed_memory_of_the_driver_is_given_back(spark):
@@ -16,6 +16,7 @@ def test_freed_memory_of_the_driver_is_given_back(spark):
     if not statm.exists():
         pytest.skip("memory can't be read here")
     held = lambda: int(statm.read_text().split()[1]) * 4096 / 1e6
+    release_shuffles(spark)                                          # what the first job takes is not counted
     packers = [jvm.java.util.zip.Deflater() for _ in range(1500)]    # their memory is outside the heap
     for _ in range(4):
         jvm.System.gc()
@@ -23,11 +24,11 @@ def test_freed_memory_of_the_driver_is_given_back(spark):
         if i % 20:                                                   # some stay, so that no arena is free to its end
             packer.end()
     before = held()
-    release_shuffles(spark)
+    give_back_driver_memory(spark)                                   # part of release_shuffles, without its collection
     after = held()
     for packer in packers:
         packer.end()
-    assert before - after > 60
+    assert before - after > 25
 
 
 def test_phrase_matches_releases_each_step(spark, monkeypatch):
